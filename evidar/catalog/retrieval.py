@@ -171,7 +171,8 @@ ORACLES["expand_queries"] = f"WITH {QUESTIONS_SQL} SELECT query_id, mode, pos AS
 # ---- vectors -----------------------------------------------------------------
 def cosine_topk(t):
     chunks = vector_chunks(t).withColumn("reliability", F.lit(1.0)).withColumn("number", F.lit(0))
-    asked = questions(t, vectors=True).filter(F.col("embedding").isNotNull()).withColumn("text", F.lit(""))
+    asked = questions(t, vectors=True).filter(F.col("embedding").isNotNull()).withColumn(
+        "want_type", F.lit(None).cast("string")).withColumn("want_page", F.lit(None).cast("int"))
     near = hybrid.vector_candidates(asked, chunks, 10)
     scored = hybrid.score_vectors(asked, chunks, near).join(chunks.select("chunk_id", "chunk_ordinal"), "chunk_id")
     best = ranking.rank_hits(scored.filter("vector_score > 0"), 10, "vector_score")

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from evidar.config import DEFAULT, Config
 from evidar.functions.expr import (
@@ -86,7 +87,7 @@ def normalize_ws(c: Column | str) -> Column:
     return trim_ws(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 

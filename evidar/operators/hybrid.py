@@ -61,8 +61,7 @@ def vector_candidates(queries: DataFrame, chunks: DataFrame, keep: int, cfg: Con
     docs = docs.select("collection_id", "doc_block", "ask_block", "chunk_id", "chunk_ordinal", "content_type",
                        "number", "reliability", F.col("embedding").cast("array<double>").alias("embedding"))
     asks = asks.select("collection_id", "doc_block", "ask_block", "query_id",
-                       type_hint("text").alias("want_type"), page_hint("text").alias("want_page"),
-                       F.col("embedding").cast("array<double>").alias("embedding"))
+                       "want_type", "want_page", F.col("embedding").cast("array<double>").alias("embedding"))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -122,7 +121,7 @@ def unmatched_candidates(variants: DataFrame, index: LexicalIndex, cfg: Config =
         return top_k(place, ["collection_id", *keys], order, depth, "_pos")
 
     asked = variants.select(
-        *VARIANT, "collection_id", type_hint("text").alias("content_type"), page_hint("text").alias("number")
+        *VARIANT, "collection_id", F.col("want_type").alias("content_type"), F.col("want_page").alias("number")
     )
     lists = [
         asked.drop("number").join(by(["content_type"], cfg.type_boost), ["collection_id", "content_type"]),
@@ -146,7 +145,7 @@ def hybrid_score(
     """A3: lexical share of the best lexical score, vector part and boosts, times reliability."""
     best = lexical.groupBy(*VARIANT).agg(F.max("lexical_score").alias("_best"))
     asked = variants.select(
-        *VARIANT, type_hint("text").alias("_type"), page_hint("text").alias("_page"),
+        *VARIANT, F.col("want_type").alias("_type"), F.col("want_page").alias("_page"),
         F.col("embedding").isNotNull().alias("_has_vector"),
     ).join(best, VARIANT, "left")
     scored = lexical.join(asked, VARIANT)
@@ -170,8 +169,13 @@ def hybrid_score(
 
 def score_variants(queries: DataFrame, chunks: DataFrame, index: LexicalIndex, cfg: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Scores of every candidate of every query variant, and the variants."""
-    # A variant without tokens ranks nothing, even when it has a vector.
-    variants = expand_queries(queries).filter(F.size(tokenize("text")) > 0)
+    # A variant without tokens ranks nothing, even when it has a vector. The small
+    # table is written once: many branches below start from it.
+    variants = saved(
+        expand_queries(queries).filter(F.size(tokenize("text")) > 0)
+        .withColumn("want_type", type_hint("text")).withColumn("want_page", page_hint("text")),
+        "variants",
+    )
     others = unmatched_candidates(variants, index, cfg)
     with_vectors = "embedding" in queries.columns and "embedding" in chunks.columns
     if with_vectors:

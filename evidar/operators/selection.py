@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidar.config import DEFAULT, Config
@@ -14,10 +14,15 @@ from evidar.operators.ranking import evenly_spaced, first_per_locator, rank_hits
 from evidar.operators.slices import carry
 
 
+def passes_gate(cfg: Config = DEFAULT) -> Column:
+    """Enough lexical support, or a near vector."""
+    lexical = (F.col("lexical_score") >= cfg.gate_lexical) & (F.col("token_coverage") >= cfg.gate_coverage)
+    return lexical | (F.col("vector_score") >= cfg.gate_vector)
+
+
 def qa_gate(hits: DataFrame, k: int, cfg: Config = DEFAULT) -> DataFrame:
     """K1 first half: keep well-supported hits, best ``k`` per query."""
-    lexical = (F.col("lexical_score") >= cfg.gate_lexical) & (F.col("token_coverage") >= cfg.gate_coverage)
-    return rank_hits(hits.filter(lexical | (F.col("vector_score") >= cfg.gate_vector)), k)
+    return rank_hits(hits.filter(passes_gate(cfg)), k)
 
 
 def expand_neighbours(hits: DataFrame, chunks: DataFrame, count: int, cfg: Config = DEFAULT) -> DataFrame:
@@ -50,7 +55,11 @@ def expand_neighbours(hits: DataFrame, chunks: DataFrame, count: int, cfg: Confi
 
 def context_fill(hits: DataFrame, queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """K2: positive hits first, then evenly spaced chunks of the collection until ``k``."""
-    best = rank_hits(hits.filter(F.col("hybrid_score") > 0), k)
+    return fill_evenly(rank_hits(hits.filter(F.col("hybrid_score") > 0), k), queries, chunks, k)
+
+
+def fill_evenly(best: DataFrame, queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """K2 second half: ``best`` holds at most ``k`` ranked rows per query."""
     spread = evenly_spaced(chunks, ["collection_id"], "chunk_ordinal", k).select(
         "collection_id", "chunk_id", "chunk_ordinal", "file_name", "slot"
     )

@@ -9,9 +9,11 @@ from evidar.config import DEFAULT, Config
 from evidar.functions.text import is_document_wide
 from evidar.operators.hybrid import rrf, score_variants
 from evidar.operators.lexical import LexicalIndex, build_index
+from evidar.operators.ranking import rank_hits
 from evidar.operators.selection import (
-    context_fill, document_coverage, expand_neighbours, mmr_select, qa_gate, rerank,
+    document_coverage, expand_neighbours, fill_evenly, mmr_select, passes_gate, rerank,
 )
+from evidar.session import saved
 
 
 def fused_hits(queries: DataFrame, chunks: DataFrame, index: LexicalIndex | None = None, cfg: Config = DEFAULT) -> DataFrame:
@@ -24,13 +26,16 @@ def retrieve_chunks(
     queries: DataFrame, chunks: DataFrame, k: int, index: LexicalIndex | None = None, cfg: Config = DEFAULT
 ) -> DataFrame:
     """Top ``k`` evidence per query: gate and neighbours for ``qa``, context fill otherwise."""
-    hits = fused_hits(queries, chunks, index, cfg).join(
-        chunks.select("collection_id", "chunk_id", "file_name"), ["collection_id", "chunk_id"]
-    ).join(queries.select("query_id", "mode"), "query_id")
+    hits = fused_hits(queries, chunks, index, cfg).join(queries.select("query_id", "mode"), "query_id")
     is_qa = F.col("mode") == "qa"
-    gated = qa_gate(hits.filter(is_qa), k, cfg)
-    answers = expand_neighbours(gated, chunks, k, cfg)
-    others = context_fill(hits.filter(~is_qa), queries.filter(~is_qa), chunks, k)
+    supported = F.when(is_qa, passes_gate(cfg)).otherwise(F.col("hybrid_score") > 0)
+    # At most k rows per query; the steps below read them several times.
+    best = saved(rank_hits(hits.filter(supported), k), "hits").join(
+        chunks.select("collection_id", "chunk_id", "file_name"), ["collection_id", "chunk_id"]
+    )
+    answers = expand_neighbours(best.filter(is_qa), chunks, k, cfg)
+    asked = queries.filter(~is_qa)
+    others = fill_evenly(best.filter(~is_qa), asked, chunks, k)
     both = answers.unionByName(others, allowMissingColumns=True).drop("mode")
     return both.join(queries.select("query_id", "mode"), "query_id").fillna(False, ["adjacent"])
 
@@ -60,7 +65,7 @@ def retrieve(
     attributes = chunks.select("collection_id", "chunk_id", F.col("number").alias("_number"), F.col("content_type").alias("_type"))
     hits = hits.join(attributes, ["collection_id", "chunk_id"]).withColumn("number", F.col("_number")).withColumn(
         "content_type", F.col("_type")).drop("_number", "_type", "adjacent")
-    chosen = mmr_select(hits, chunks, cfg.diverse, cfg)
+    chosen = saved(mmr_select(saved(hits, "candidates"), chunks, cfg.diverse, cfg), "chosen")
     evidence = expand_neighbours(chosen, chunks, cfg.evidence, cfg).select(
         "query_id", "collection_id", "mode", "chunk_id", "rank", "score", "adjacent",
         F.lit("ranked").alias("strategy"),
