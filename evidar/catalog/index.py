@@ -231,8 +231,10 @@ def flatten_nodes(t):
 QUERIES["flatten_nodes"] = tables(flatten_nodes)
 ORACLES["flatten_nodes"] = f"""
 WITH leaf AS (SELECT conv_id, role, turn, {norm('text')} AS text FROM conversations),
-mid AS (SELECT conv_id, role, CASE role WHEN 'system' THEN 'system part' ELSE {norm("string_agg(text, chr(10) ORDER BY turn) FILTER (text <> '')")} END AS text FROM leaf GROUP BY ALL)
-SELECT conv_id AS doc_id, md5({norm("string_agg(text, chr(10) ORDER BY CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END)")}) AS digest FROM mid GROUP BY conv_id
+mid AS (SELECT conv_id, role, string_agg(text, chr(10) ORDER BY turn) FILTER (text <> '') AS text FROM leaf GROUP BY ALL),
+two AS (SELECT conv_id, role, CASE role WHEN 'system' THEN 'system part' ELSE {norm("text")} END AS text FROM mid),
+one AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END) AS text FROM two GROUP BY conv_id)
+SELECT conv_id AS doc_id, md5({norm("text")}) AS digest FROM one
 """
 
 
@@ -252,8 +254,9 @@ QUERIES["merge_native_ocr"] = tables(merge_native_ocr)
 
 def _ocr_pages(t):
     return t("events").select(
-        F.col("user_id").alias("doc_id"), F.element_at(F.array(F.lit("auto"), F.lit("force"), F.lit("none")), (F.col("user_id") % 3 + 1).cast("int")).alias("mode"),
-        F.col("event_id").alias("number"), F.col("value").alias("confidence"), (F.col("event_id") % 1000).alias("duration_ms"),
+        F.floor(F.col("event_id") / 100).alias("doc_id"),
+        F.element_at(F.array(F.lit("auto"), F.lit("force"), F.lit("none")), (F.floor(F.col("event_id") / 100) % 3 + 1).cast("int")).alias("mode"),
+        (F.col("event_id") % 100 + 1).alias("number"), F.col("value").alias("confidence"), (F.col("event_id") % 1000).alias("duration_ms"),
         F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status"))
 
 
@@ -263,11 +266,11 @@ def ocr_summary(t):
 
 QUERIES["ocr_summary"] = tables(ocr_summary)
 ORACLES["ocr_summary"] = """
-SELECT user_id AS doc_id, count(*) AS total_pages, count(*) FILTER (event_type <> 'error') AS successful_pages,
+SELECT event_id // 100 AS doc_id, count(*) AS total_pages, count(*) FILTER (event_type <> 'error') AS successful_pages,
   count(*) FILTER (event_type = 'error') AS failed_pages, round(avg(value) FILTER (event_type <> 'error'), 1) AS average_confidence,
   sum(event_id % 1000)::BIGINT AS duration_ms,
-  coalesce(string_agg(event_id::VARCHAR, ',' ORDER BY event_id) FILTER (event_type = 'error'), '') AS failed_page_numbers
-FROM events GROUP BY user_id
+  coalesce(string_agg((event_id % 100 + 1)::VARCHAR, ',' ORDER BY event_id) FILTER (event_type = 'error'), '') AS failed_page_numbers
+FROM events GROUP BY event_id // 100
 """
 
 
@@ -278,7 +281,7 @@ def ocr_failure_check(t):
 
 QUERIES["ocr_failure_check"] = tables(ocr_failure_check)
 ORACLES["ocr_failure_check"] = f"""
-WITH p AS (SELECT user_id AS doc_id, ['auto', 'force', 'none'][user_id % 3 + 1] AS mode, count(*) AS pages, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY ALL),
+WITH p AS (SELECT event_id // 100 AS doc_id, ['auto', 'force', 'none'][(event_id // 100) % 3 + 1] AS mode, count(*) AS pages, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY ALL),
 n AS (SELECT doc_id, bool_or(length({norm('text')}) >= 24 AND regexp_matches(text, '[A-Za-z0-9]')) AS meaningful FROM documents GROUP BY ALL)
 SELECT p.*, CASE mode WHEN 'force' THEN failed = pages OR (failed > 0 AND (pages <= 10 OR failed / pages > 0.1))
   WHEN 'auto' THEN pages > 0 AND failed = pages AND NOT coalesce(meaningful, FALSE) ELSE FALSE END AS must_retry
