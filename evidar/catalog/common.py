@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table. One small file would be read by one task, so a table with
     fewer files than cores is spread out first; a large table is left as it is."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    for field in df.schema.fields:
+        if field.dataType.typeName() == "timestamp_ntz":
+            # The given times are UTC whatever the session time zone is.
+            micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {field.name})")
+            df = df.withColumn(field.name, F.timestamp_micros(micros))
     cores = spark.sparkContext.defaultParallelism
     if name in TEXT_TABLES and len(df.inputFiles()) < cores:
         return df.repartition(cores)
