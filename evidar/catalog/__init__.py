@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["text", "retrieval", "index", "answers", "sessions"]
+MODULES = ["text", "retrieval", "index", "answers", "sessions", "streams"]
 
 
 def _collect(attribute: str) -> dict:

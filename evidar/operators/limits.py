@@ -67,10 +67,10 @@ def rate_limit(requests: DataFrame, limit: int, window_ms: int) -> DataFrame:
     ).select("k", F.col("at").alias("now_ms"), "opened")
     placed = carry(
         keyed.join(opened, ["k", "now_ms"]), ["k", "opened"], F.floor((F.col("now_ms") - F.col("opened")) * 64 / window_ms),
-        ["now_ms", "seq"], index="_n")
-    allowed = F.col("_n") <= limit
+        ["now_ms", "seq"], index="nth")
+    allowed = F.col("nth") <= limit
     reset = F.col("opened") + window_ms
     return placed.select(
         *requests.columns, allowed.alias("allowed"),
-        F.when(allowed, F.lit(limit) - F.col("_n")).otherwise(0).cast("bigint").alias("remaining"), reset.alias("reset_at"),
+        F.when(allowed, F.lit(limit) - F.col("nth")).otherwise(0).cast("bigint").alias("remaining"), reset.alias("reset_at"),
         F.when(~allowed, F.greatest(F.ceil((reset - F.col("now_ms")) / 1_000), F.lit(1))).alias("retry_after_s"))
