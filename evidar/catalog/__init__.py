@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["text", "retrieval", "index", "answers", "sessions", "streams"]
+MODULES = ["text", "retrieval", "index", "answers", "sessions", "streams", "evaluation", "records"]
 
 
 def _collect(attribute: str) -> dict:
