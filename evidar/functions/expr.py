@@ -63,3 +63,8 @@ def safe_number(c: Column) -> Column:
     """String or number to a finite double, NULL otherwise."""
     number = c.try_cast("double")
     return F.when(F.isnan(number) | (F.abs(number) == float("inf")), None).otherwise(number)
+
+
+def one_of(c: Column, words: Iterable[str]) -> Column:
+    """Whether a text without spaces is one of ``words``; a single literal, so cheap to plan."""
+    return F.contains(F.lit(" " + " ".join(words) + " "), F.concat(F.lit(" "), c, F.lit(" ")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evidar.functions.expr import col, first_match, let
+from evidar.functions.expr import col, first_match, let, one_of
 
 # ---- fixed values -------------------------------------------------------------
 HYPOTHETICAL_LABEL = "Hypothetical example - not taken directly from the lecture."
@@ -44,7 +44,7 @@ def stem(word: Column) -> Column:
 def attribution_terms(text: Column | str) -> Column:
     """Stemmed content words of a claim or quote; provenance labels do not count."""
     plain = F.replace(F.replace(col(text), F.lit(HYPOTHETICAL_LABEL), F.lit("")), F.lit(LECTURE_LABEL), F.lit(""))
-    kept = F.filter(words(plain), lambda w: ~w.isin(TERM_STOP_WORDS))
+    kept = F.filter(words(plain), lambda w: ~one_of(w, TERM_STOP_WORDS))
     return F.filter(F.transform(kept, stem), lambda w: (F.length(w) >= 2) | w.rlike("^[0-9]+$"))
 
 
@@ -58,7 +58,7 @@ def coverage_of(claim_terms: Column, evidence_terms: Column) -> Column:
     def share(claim: Column) -> Column:
         veto = F.exists(
             claim,
-            lambda w: (w.rlike("^[0-9]+$") | w.isin(CRITICAL_TERMS)) & ~F.array_contains(evidence_terms, w),
+            lambda w: (w.rlike("^[0-9]+$") | one_of(w, CRITICAL_TERMS)) & ~F.array_contains(evidence_terms, w),
         )
         return let(
             F.size(F.array_intersect(claim, evidence_terms)),

@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType
 
 from evidar.config import DEFAULT, Config
 from evidar.functions.expr import (
-    SPACE, clamp, col, empty_strings, first_match, let, trim_ws, word,
+    SPACE, clamp, col, empty_strings, first_match, let, one_of, trim_ws, word,
 )
 
 # ---- fixed values: word lists and patterns that decide the results ----------
@@ -121,7 +121,7 @@ def comparable_text(c: Column | str) -> Column:
 
 
 def _han_tokens(text: Column) -> Column:
-    kept = lambda t: ~t.isin(HAN_STOP_TOKENS)
+    kept = lambda t: ~one_of(t, HAN_STOP_TOKENS)
 
     def from_run(run: Column) -> Column:
         single = F.when(F.length(run) == 1, F.array(run)).otherwise(empty_strings())
@@ -143,7 +143,7 @@ def tokenize_normalized(text: Column) -> Column:
     """Tokens of text that is already normalised and lower-cased."""
     latin = F.filter(
         F.regexp_extract_all(text, F.lit(f"({LATIN_TOKEN})"), F.lit(1)),
-        lambda t: (F.length(t) > 1) & ~t.isin(STOP_WORDS),
+        lambda t: (F.length(t) > 1) & ~one_of(t, STOP_WORDS),
     )
     return F.when(text.rlike(HAN), F.concat(latin, _han_tokens(text))).otherwise(latin)
 

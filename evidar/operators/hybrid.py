@@ -123,15 +123,15 @@ def unmatched_candidates(variants: DataFrame, index: LexicalIndex, cfg: Config =
     asked = variants.select(
         *VARIANT, "collection_id", F.col("want_type").alias("content_type"), F.col("want_page").alias("number")
     )
-    lists = [
-        asked.drop("number").join(by(["content_type"], cfg.type_boost), ["collection_id", "content_type"]),
-        asked.drop("content_type").join(by(["number"], cfg.page_boost), ["collection_id", "number"]),
-        asked.join(by(["content_type", "number"], cfg.type_boost + cfg.page_boost), ["collection_id", "content_type", "number"]),
-        # At most depth - 1 of these have a positive score when the rest is needed.
-        asked.select(*VARIANT, "collection_id").join(
-            top_k(place, ["collection_id"], [F.col("chunk_ordinal")], 2 * depth, "_pos"), "collection_id"
-        ),
-    ]
+    # At most depth - 1 of the first 2 * depth chunks have a positive score when the rest is needed.
+    first = top_k(place, ["collection_id"], [F.col("chunk_ordinal")], 2 * depth, "_pos")
+    lists = [asked.select(*VARIANT, "collection_id").join(first, "collection_id")]
+    if not asked.filter("content_type IS NOT NULL OR number IS NOT NULL").isEmpty():
+        kind, page, both = ["content_type"], ["number"], ["content_type", "number"]
+        lists += [
+            asked.select(*VARIANT, "collection_id", *keys).join(by(keys, boost), ["collection_id", *keys])
+            for keys, boost in ((kind, cfg.type_boost), (page, cfg.page_boost), (both, cfg.type_boost + cfg.page_boost))
+        ]
     out = None
     for part in lists:
         part = part.select(*VARIANT, *PLACE)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidar.config import DEFAULT, Config
-from evidar.functions.expr import let, r6
+from evidar.functions.expr import let, one_of, r6
 from evidar.functions.text import LATIN_TOKEN, STOP_WORDS, evidence_reliability, normalize_ws, tokenize
 from evidar.operators.joins import is_small, join_hot
 from evidar.operators.ranking import top_k
@@ -22,20 +22,16 @@ class LexicalIndex:
     """One row per chunk with its term counts; every statistic derives from it."""
 
     forward: DataFrame
+    frequencies: DataFrame
+    stats: DataFrame
 
     @property
     def postings(self) -> DataFrame:
-        return self.forward.select(*PLACE, "n_tokens", F.inline("terms"))
+        return postings_of(self.forward)
 
-    @property
-    def frequencies(self) -> DataFrame:
-        return self.postings.groupBy("collection_id", "token").agg(F.count(F.lit(1)).alias("df"))
 
-    @property
-    def stats(self) -> DataFrame:
-        return self.forward.groupBy("collection_id").agg(
-            F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("avg_len")
-        )
+def postings_of(forward: DataFrame) -> DataFrame:
+    return forward.select(*PLACE, "n_tokens", F.inline("terms"))
 
 
 def term_counts(tokens: Column, title_tokens: Column) -> Column:
@@ -78,7 +74,14 @@ def build_index(chunks: DataFrame, materialize: bool = True) -> LexicalIndex:
     forward = tokenised.select(
         *PLACE, F.size("_tokens").alias("n_tokens"), term_counts(F.col("_tokens"), F.col("_title")).alias("terms")
     )
-    return LexicalIndex(saved(forward, "forward") if materialize else forward)
+    if materialize:
+        forward = saved(forward, "forward")
+    frequencies = postings_of(forward).groupBy("collection_id", "token").agg(F.count(F.lit(1)).alias("df"))
+    stats = forward.groupBy("collection_id").agg(F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("avg_len"))
+    if materialize:
+        # Read by every scoring step; far smaller than the postings.
+        frequencies, stats = saved(frequencies, "frequencies"), saved(stats, "stats")
+    return LexicalIndex(forward, frequencies, stats)
 
 
 def corpus_stats(chunks: DataFrame, materialize: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -135,7 +138,7 @@ def phrase_hits(queries: DataFrame, chunks: DataFrame, index: LexicalIndex, cfg:
             "anchors",
             F.array_distinct(F.filter(
                 F.regexp_extract_all("phrase", F.lit(inner), F.lit(1)),
-                lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS),
+                lambda w: (F.length(w) > 1) & ~one_of(w, STOP_WORDS),
             )),
         )
     )
@@ -155,6 +158,8 @@ def phrase_hits(queries: DataFrame, chunks: DataFrame, index: LexicalIndex, cfg:
         .select("query_id", "variant_pos", "collection_id", "chunk_id")
     )
     rest = phrases.filter(F.size("anchors") == 0)
+    if rest.isEmpty():
+        return by_word
     sizes = rest.groupBy("collection_id").agg(F.ceil(F.count(F.lit(1)) / cfg.phrase_block).alias("n_blocks"))
     blocks = (
         rest.join(sizes, "collection_id")
