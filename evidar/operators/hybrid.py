@@ -18,10 +18,13 @@ from evidar.config import DEFAULT, Config
 from evidar.functions.expr import r6
 from evidar.functions.text import cosine, dot, page_hint, question_variants, structure_boost, tokenize, type_hint, unit
 from evidar.operators.lexical import PLACE, LexicalIndex, bm25
+from evidar.operators.joins import BROADCAST_ROWS, hint_small, is_small
 from evidar.operators.ranking import top_k
 from evidar.session import saved
 
 VARIANT = ["query_id", "variant_pos"]
+# Most vectors that are broadcast: at 256 numbers each about 40 MB.
+VECTOR_ROWS = 20_000
 
 
 def expand_queries(queries: DataFrame) -> DataFrame:
@@ -142,29 +145,37 @@ def unmatched_candidates(variants: DataFrame, index: LexicalIndex, cfg: Config =
 def hybrid_score(
     lexical: DataFrame, variants: DataFrame, vectors: DataFrame | None = None, cfg: Config = DEFAULT
 ) -> DataFrame:
-    """A3: lexical share of the best lexical score, vector part and boosts, times reliability."""
+    """A3: lexical share of the best lexical score, vector part and boosts, times reliability.
+
+    ``variants`` has want_type, want_page and embedding.  ``vectors``: collection_id, chunk_id, embedding.
+    """
+    few = is_small(variants)
     best = lexical.groupBy(*VARIANT).agg(F.max("lexical_score").alias("_best"))
     asked = variants.select(
         *VARIANT, F.col("want_type").alias("_type"), F.col("want_page").alias("_page"),
         F.col("embedding").isNotNull().alias("_has_vector"),
+        (unit("embedding") if vectors is not None else F.lit(None).cast("array<double>")).alias("_q"),
     ).join(best, VARIANT, "left")
-    scored = lexical.join(asked, VARIANT)
-    if vectors is None:
-        scored = scored.withColumn("vector_score", F.lit(0.0))
-    else:
-        scored = scored.join(vectors, [*VARIANT, "collection_id", "chunk_id"], "left").fillna(0.0, ["vector_score_raw"])
-        scored = scored.withColumnRenamed("vector_score_raw", "vector_score")
+    scored = lexical.join(hint_small(asked, few), VARIANT)
+    near = F.lit(0.0)
+    if vectors is not None:
+        stored = vectors.select("collection_id", "chunk_id", unit("embedding").alias("_c")).filter("_c IS NOT NULL")
+        scored = scored.join(hint_small(stored, is_small(stored, VECTOR_ROWS)), ["collection_id", "chunk_id"], "left")
+        alike = F.col("_q").isNotNull() & F.col("_c").isNotNull() & (F.size("_q") == F.size("_c"))
+        near = F.when(alike, dot(F.col("_q"), F.col("_c"))).otherwise(F.lit(0.0))
+    scored = scored.withColumn("_near", near)
     share = F.when(F.col("_best") > 0, F.col("lexical_score") / F.col("_best")).otherwise(F.lit(0.0))
     boost = structure_boost(
         F.col("title_hit"), F.col("content_type") == F.col("_type"), F.col("number") == F.col("_page"), cfg
     )
     raw = F.when(
         F.col("_has_vector"),
-        share * cfg.lexical_weight + F.greatest(F.col("vector_score"), F.lit(0.0)) * cfg.vector_weight + boost,
+        share * cfg.lexical_weight + F.greatest(F.col("_near"), F.lit(0.0)) * cfg.vector_weight + boost,
     ).otherwise(share + boost)
-    return scored.withColumn("hybrid_score", r6(raw * F.col("reliability"))).withColumn(
-        "vector_score", r6(F.col("vector_score"))
-    ).drop("_best", "_type", "_page", "_has_vector")
+    return scored.select(
+        *VARIANT, *PLACE, "lexical_score", "token_coverage",
+        r6(F.col("_near")).alias("vector_score"), r6(raw * F.col("reliability")).alias("hybrid_score"),
+    )
 
 
 def score_variants(queries: DataFrame, chunks: DataFrame, index: LexicalIndex, cfg: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
@@ -177,32 +188,22 @@ def score_variants(queries: DataFrame, chunks: DataFrame, index: LexicalIndex, c
         "variants",
     )
     others = unmatched_candidates(variants, index, cfg)
-    with_vectors = "embedding" in queries.columns and "embedding" in chunks.columns
-    if with_vectors:
-        featured = chunks.select("collection_id", "chunk_id", "embedding").join(
-            index.forward.select(*PLACE), ["collection_id", "chunk_id"]
-        )
-        near = vector_candidates(variants.filter("variant_pos = 0"), featured, cfg.rrf_depth, cfg)
+    vectors = None
+    if "embedding" in queries.columns and "embedding" in chunks.columns:
+        vectors = chunks.select("collection_id", "chunk_id", "embedding").filter("embedding IS NOT NULL")
+        place = index.forward.select(*PLACE)
+        near = vector_candidates(
+            variants.filter("variant_pos = 0"), vectors.join(place, ["collection_id", "chunk_id"]), cfg.rrf_depth, cfg)
         others = others.unionByName(
-            near.join(index.forward.select(*PLACE), ["collection_id", "chunk_id"])
-            .select("query_id", F.lit(0).alias("variant_pos"), *PLACE)
-        )
-    # Read several times below (best score, ranks, vectors), so written once.
+            near.join(place, ["collection_id", "chunk_id"]).select("query_id", F.lit(0).alias("variant_pos"), *PLACE))
+    # Read several times below (best score, ranks, scores), so written once.
     lexical = saved(bm25(variants, chunks, index, cfg, also=others), "lexical")
-    vectors = None
-    if with_vectors:
-        pairs = lexical.filter("variant_pos = 0").select("query_id", "collection_id", "chunk_id")
-        stored = chunks.select("collection_id", "chunk_id", unit("embedding").alias("_c")).filter("_c IS NOT NULL")
-        asked = variants.filter("variant_pos = 0").select("query_id", unit("embedding").alias("_q")).filter("_q IS NOT NULL")
-        vectors = pairs.join(stored, ["collection_id", "chunk_id"]).join(asked, "query_id").select(
-            "query_id", F.lit(0).alias("variant_pos"), "collection_id", "chunk_id",
-            F.when(F.size("_q") == F.size("_c"), dot(F.col("_q"), F.col("_c"))).otherwise(F.lit(0.0)).alias("vector_score_raw"),
-        )
     return hybrid_score(lexical, variants, vectors, cfg), variants
 
 
-def rrf(scored: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def rrf(scored: DataFrame, variants: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """A4: fuse the variant rankings and blend with the score of the question itself."""
+    few = is_small(variants, BROADCAST_ROWS // cfg.rrf_depth)
     ranked = top_k(scored, VARIANT, [F.col("hybrid_score").desc(), F.col("chunk_ordinal")], cfg.rrf_depth)
     credit = ranked.groupBy("query_id", "collection_id", "chunk_id").agg(
         F.sum(1 / (F.lit(cfg.rrf_k) + F.col("rank"))).alias("_credit")
@@ -213,7 +214,7 @@ def rrf(scored: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     )
     return (
         scored.filter("variant_pos = 0").drop("variant_pos")
-        .join(share, ["query_id", "collection_id", "chunk_id"], "left")
+        .join(hint_small(share, few), ["query_id", "collection_id", "chunk_id"], "left")
         .fillna(0.0, ["_share"])
         .withColumn("rrf_score", r6(F.col("_share")))
         .withColumn("score", r6(F.col("hybrid_score") * cfg.hybrid_blend + F.col("_share") * cfg.rrf_blend))

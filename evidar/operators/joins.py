@@ -25,3 +25,8 @@ def join_hot(big: DataFrame, side: DataFrame, keys: list[str], spread_by: str, s
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     repeated = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*keys, "_salt"]).drop("_salt")
+
+
+def hint_small(df: DataFrame, small: bool) -> DataFrame:
+    """``df`` with a broadcast hint when its size was checked."""
+    return F.broadcast(df) if small else df

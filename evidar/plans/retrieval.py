@@ -9,6 +9,7 @@ from evidar.config import DEFAULT, Config
 from evidar.functions.text import is_document_wide
 from evidar.operators.hybrid import rrf, score_variants
 from evidar.operators.lexical import LexicalIndex, build_index
+from evidar.operators.joins import hint_small, is_small
 from evidar.operators.ranking import rank_hits
 from evidar.operators.selection import (
     document_coverage, expand_neighbours, fill_evenly, mmr_select, passes_gate, rerank,
@@ -18,15 +19,16 @@ from evidar.session import saved
 
 def fused_hits(queries: DataFrame, chunks: DataFrame, index: LexicalIndex | None = None, cfg: Config = DEFAULT) -> DataFrame:
     """Scored candidates of every query, before any gate."""
-    scored, _ = score_variants(queries, chunks, index or build_index(chunks), cfg)
-    return rrf(scored, cfg)
+    scored, variants = score_variants(queries, chunks, index or build_index(chunks), cfg)
+    return rrf(scored, variants, cfg)
 
 
 def retrieve_chunks(
     queries: DataFrame, chunks: DataFrame, k: int, index: LexicalIndex | None = None, cfg: Config = DEFAULT
 ) -> DataFrame:
     """Top ``k`` evidence per query: gate and neighbours for ``qa``, context fill otherwise."""
-    hits = fused_hits(queries, chunks, index, cfg).join(queries.select("query_id", "mode"), "query_id")
+    modes = hint_small(queries.select("query_id", "mode"), is_small(queries))
+    hits = fused_hits(queries, chunks, index, cfg).join(modes, "query_id")
     is_qa = F.col("mode") == "qa"
     supported = F.when(is_qa, passes_gate(cfg)).otherwise(F.col("hybrid_score") > 0)
     # At most k rows per query; the steps below read them several times.

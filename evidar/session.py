@@ -27,15 +27,27 @@ def local_session(cpus: str = "8", app: str = "evidar") -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder named in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for written tables and checkpoints: the one the cluster names.
 
-    A folder of our own is chosen only where the cluster names none.
+    Only a local session without that setting gets a temporary folder.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="evidar-checkpoint-"))
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    folder = named or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="evidar-checkpoint-")
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage with a checkpoint in the shared folder."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
@@ -45,11 +57,6 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     Used where several branches read the same expensive result: later reads are
     columnar, prune columns and survive the loss of executors.
     """
-    sc = df.sparkSession.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if base is None:
-        base = tempfile.mkdtemp(prefix="evidar-checkpoint-")
-        sc.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/evidar/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/evidar/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
+from evidar.session import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if base is None:
-        base = tempfile.mkdtemp(prefix="evidar-checkpoint-")
-        sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/evidar-streams"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def run_available(stream: DataFrame, name: str, output_mode: str = "append", folder: str | None = None) -> DataFrame:
@@ -26,7 +18,7 @@ def run_available(stream: DataFrame, name: str, output_mode: str = "append", fol
     Each micro-batch overwrites its own folder, so a repeated batch changes nothing.
     """
     spark = stream.sparkSession
-    base = folder or f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    base = folder or f"{shared_folder(spark)}/evidar/{name}-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
