@@ -433,3 +433,37 @@ def assemble_prompts(t):
 
 
 QUERIES["assemble_prompts"] = tables(assemble_prompts)
+
+
+ORACLES["assemble_prompts"] = f"""
+WITH q AS (SELECT conv_id, text, conv_id % 2 = 0 AS grounding FROM conversations WHERE turn = 0),
+c AS (SELECT conv_id, any_value(text) AS context FROM conversations WHERE role = 'system' GROUP BY ALL),
+l AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4),
+h AS (SELECT conv_id, turn, role, left({norm('text')}, 400) AS content FROM l WHERE role IN ('user', 'assistant')),
+hs AS (SELECT conv_id, list({{'role': role, 'content': content}} ORDER BY turn) AS turns FROM h WHERE content <> '' GROUP BY ALL),
+m AS (SELECT q.conv_id, grounding AND context IS NULL AS missing, list_concat(list_concat([{{'role': 'system', 'content': 'Answer from the evidence.' || CASE WHEN grounding THEN chr(10) || chr(10) || context ELSE '' END}}],
+  coalesce(turns, [])), [{{'role': 'user', 'content': text}}]) AS msgs FROM q LEFT JOIN c USING (conv_id) LEFT JOIN hs USING (conv_id))
+SELECT conv_id AS query_id, CASE WHEN missing THEN 'GROUNDING_EVIDENCE_MISSING' END AS error_code, CASE WHEN NOT missing THEN len(msgs)::BIGINT END AS n_messages,
+  CASE WHEN NOT missing THEN md5(to_json(msgs)) END AS digest FROM m
+"""
+
+
+def model_hooks(t):
+    """User functions score turns and answer prompts; both measure the text."""
+    import json
+
+    from evidar.operators import hooks
+
+    turns = t("conversations").select(
+        F.col("conv_id").alias("query_id"), F.col("turn").cast("string").alias("chunk_id"), F.lit("?").alias("question"), F.lit("").alias("title"), F.col("role").alias("label"), "text")
+    scored = hooks.rerank_with(turns, lambda pairs: [len(p["document"]) / 7 for p in pairs])
+    prompts = turns.select(
+        "query_id", F.lit(None).cast("string").alias("error_code"), F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))).alias("messages"))
+    made = hooks.generate(prompts, lambda texts: [str(len(json.loads(x)[0]["content"])) for x in texts])
+    return scored.select("query_id", F.col("rerank_score").alias("value")).unionByName(made.select("query_id", F.col("json").cast("double").alias("value")))
+
+
+QUERIES["model_hooks"] = tables(model_hooks)
+ORACLES["model_hooks"] = """
+SELECT conv_id AS query_id, round((length(role) + 1 + length(text)) / 7, 6)::DOUBLE AS value FROM conversations UNION ALL SELECT conv_id, length(text)::DOUBLE FROM conversations
+"""

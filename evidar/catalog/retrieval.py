@@ -365,3 +365,75 @@ def retrieve_evidence(t):
 
 
 QUERIES["retrieve_evidence"] = tables(retrieve_evidence)
+
+
+# ---- selection on conversation turns --------------------------------------------
+def _turn_hits(t):
+    """Every turn as a hit of its conversation; longer turns rank first."""
+    chunks = turn_chunks(t).withColumn("content_type", F.col("role"))
+    order = [F.length("text").desc(), F.col("turn")]
+    hits = ranking.top_k(chunks, ["collection_id"], order, 40)
+    return chunks, hits.select(
+        F.col("collection_id").alias("query_id"), "collection_id", "chunk_id", "chunk_ordinal", "file_name", "number", "content_type", "turn",
+        F.when(F.col("turn") % 2 == 0, "qa").otherwise("explain").alias("mode"), (1.0 / F.col("rank")).alias("score"), "rank")
+
+
+TURN_HITS_SQL = f"""
+{TURNS_SQL}, h AS (SELECT *, row_number() OVER (PARTITION BY collection_id ORDER BY length(text) DESC, turn)::INTEGER AS rank FROM turns)
+"""
+
+
+def mmr_select(t):
+    chunks, hits = _turn_hits(t)
+    return selection.mmr_select(hits, chunks, 4).select("query_id", "chunk_id", "rank")
+
+
+QUERIES["mmr_select"] = tables(mmr_select)
+ORACLES["mmr_select"] = f"""
+WITH RECURSIVE {TURN_HITS_SQL},
+k AS (SELECT collection_id AS q, chunk_id, rank, 1.0::DOUBLE / rank AS rel, number || '|' || role AS place, list_distinct({tokens('text')}) AS tok, count(*) OVER (PARTITION BY collection_id) AS n FROM h),
+sim AS (SELECT a.q, a.chunk_id AS a, b.chunk_id AS b, a.place = b.place AS same,
+  CASE WHEN len(list_distinct(list_concat(a.tok, b.tok))) = 0 THEN 0 ELSE len(list_intersect(a.tok, b.tok)) / len(list_distinct(list_concat(a.tok, b.tok))) END AS j FROM k a JOIN k b ON a.q = b.q AND a.chunk_id <> b.chunk_id),
+near AS (SELECT q, a, list({{'b': b, 'j': j, 'same': same}}) AS others FROM sim GROUP BY ALL),
+r(q, step, chosen) AS (
+  SELECT DISTINCT q, 0, []::VARCHAR[] FROM k WHERE n > 4
+  UNION ALL
+  SELECT q, step + 1, list_append(any_value(chosen), arg_max(chunk_id, (value, -rank))) FROM (
+    SELECT r.q, step, chosen, k.chunk_id, k.rank, rel * 0.82::DOUBLE - 0.16::DOUBLE * coalesce(list_max(list_transform(list_filter(others, lambda o: list_contains(chosen, o.b)), lambda o: o.j)), 0)
+        - CASE WHEN len(list_filter(others, lambda o: o.same AND list_contains(chosen, o.b))) > 0 THEN 0.08 ELSE 0 END::DOUBLE AS value
+    FROM r JOIN k ON k.q = r.q LEFT JOIN near ON near.q = k.q AND near.a = k.chunk_id WHERE step < 4 AND NOT list_contains(chosen, k.chunk_id)) z GROUP BY q, step)
+SELECT q AS query_id, unnest(chosen) AS chunk_id, unnest(range(1, 5))::INTEGER AS rank FROM r WHERE step = 4
+UNION ALL SELECT q, chunk_id, rank FROM k WHERE n <= 4
+"""
+
+
+def rerank(t):
+    _, hits = _turn_hits(t)
+    scores = hits.filter("query_id <> '1'").select("query_id", "chunk_id", ((F.col("turn") * 37 % 11) / 20.0).alias("rerank_score"))
+    return selection.rerank(hits, scores, 3).select("query_id", "chunk_id", "rank", F.round("rerank_score", 4).alias("rerank_score"))
+
+
+QUERIES["rerank"] = tables(rerank)
+ORACLES["rerank"] = f"""
+WITH {TURN_HITS_SQL}, s AS (SELECT *, turn * 37 % 11 / 20.0::DOUBLE AS sc FROM h),
+b AS (SELECT *, row_number() OVER (PARTITION BY collection_id ORDER BY sc DESC, rank)::INTEGER AS r FROM s WHERE collection_id <> '1')
+SELECT collection_id AS query_id, chunk_id, r AS rank, round(sc, 4) AS rerank_score FROM b WHERE r <= 3 AND (turn % 2 = 1 OR sc >= 0.12)
+UNION ALL SELECT collection_id, chunk_id, rank, NULL FROM s WHERE collection_id = '1'
+"""
+
+ORACLES["document_coverage"] = """
+WITH RECURSIVE d AS (SELECT source AS c, lpad(doc_id::VARCHAR, 8, '0') AS id, doc_id % 120 + 1 AS number, length(text) AS n FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY number, id) AS pos, count(*) OVER (PARTITION BY c) AS cnt, sum(n) OVER (PARTITION BY c) AS total FROM d),
+f AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY pos) - 1 AS fp FROM (SELECT *, row_number() OVER (PARTITION BY c, number ORDER BY pos) AS k FROM o WHERE cnt > 80 OR total > 60000) WHERE k = 1),
+fn AS (SELECT *, count(*) OVER (PARTITION BY c) AS m FROM f),
+e AS (SELECT c, id, n, fp AS slot FROM fn WHERE m <= 80 UNION ALL
+  SELECT c, id, n, i FROM fn JOIN range(80) r(i) ON floor(i * (m - 1) / 79.0::DOUBLE + 0.5) = fp WHERE m > 80),
+seq AS (SELECT c, id, n, row_number() OVER (PARTITION BY c ORDER BY part, slot) AS s FROM (SELECT c, id, n, 0 AS part, slot FROM e UNION ALL SELECT c, id, n, 1, pos FROM o WHERE cnt > 80 OR total > 60000)),
+g(c, s, used, taken) AS (
+  SELECT DISTINCT c, 0::BIGINT, 0::BIGINT, []::VARCHAR[] FROM seq
+  UNION ALL SELECT c, s, CASE WHEN ok THEN used + n ELSE used END, CASE WHEN ok THEN list_append(taken, id) ELSE taken END
+  FROM (SELECT g.c, g.used, g.taken, seq.s, seq.n, seq.id, len(taken) < 80 AND NOT list_contains(taken, seq.id) AND (len(taken) = 0 OR used + seq.n <= 60000) AS ok FROM g JOIN seq ON seq.c = g.c AND seq.s = g.s + 1) z),
+last AS (SELECT c, arg_max(taken, s) AS taken FROM g GROUP BY c),
+sel AS (SELECT o.* FROM o JOIN last ON last.c = o.c WHERE list_contains(taken, id) UNION ALL SELECT * FROM o WHERE cnt <= 80 AND total <= 60000)
+SELECT c AS collection_id, id AS chunk_id, row_number() OVER (PARTITION BY c ORDER BY pos)::INTEGER AS rank FROM sel
+"""

@@ -231,7 +231,7 @@ q AS (SELECT *, ['time_limit', 'early_completion', 'participant_withdrawal'][stu
   CASE WHEN study_id % 2 = 0 THEN start_ms + 86400000 END AS client_ms FROM s),
 d AS (SELECT *, CASE WHEN status <> 'active' THEN 'SESSION_NOT_STARTED' WHEN reason = 'time_limit' AND now_ms < end_ms THEN 'STUDY_TIME_REMAINING' END AS err,
   CASE WHEN reason = 'time_limit' THEN end_ms WHEN reason = 'early_completion' AND client_ms IS NOT NULL THEN least(client_ms, now_ms) ELSE now_ms END AS fin FROM q),
-l AS (SELECT study_id, max(sequence) AS last FROM n GROUP BY ALL),
+l AS (SELECT study_id, max(sequence) AS last FROM n GROUP BY study_id, type),
 x AS (SELECT d.*, last, least(greatest(fin - start_ms, 0), 604800000) AS el, o.elapsed_ms AS opened FROM d JOIN l USING (study_id)
   LEFT JOIN (SELECT study_id, elapsed_ms FROM v WHERE next_seq IS NULL AND type = 'source_view_opened') o USING (study_id) WHERE err IS NULL)
 SELECT study_id, last + 1 AS sequence, 'source_view_closed' AS type, el AS elapsed_ms, greatest(el - opened, 0) AS duration_ms, '' AS note FROM x WHERE opened IS NOT NULL
@@ -422,3 +422,57 @@ SELECT w AS workspace_id, last_ms AS last_studied_at, messages,
   CASE WHEN coalesce(choice, 'not_started') = 'not_started' AND qp > coalesce(cp, -1) THEN 'learning' ELSE coalesce(choice, 'not_started') END AS mastery,
   coalesce(fb, 0) AS feedback_count FROM b LEFT JOIN h USING (w)
 """
+
+
+# ---- sinks and expiry ----------------------------------------------------------------
+def expire_sessions(t):
+    due = S.expire_sessions(session_table(t), F.timestamp_millis(F.lit(1_704_715_200_000)))
+    return due.select("study_id", "reason")
+
+
+QUERIES["expire_sessions"] = tables(expire_sessions)
+ORACLES["expire_sessions"] = f"WITH {SESSIONS_SQL} SELECT study_id, 'time_limit' AS reason FROM s WHERE status = 'active' AND end_ms <= 1704715200000"
+
+
+def event_log_files(t):
+    """Category folders of JSON lines, written and read back."""
+    from uuid import uuid4
+
+    from evidar.session import shared_folder
+    from evidar.sources import files
+
+    log = S.number_events(event_log(t), 86_400).select(
+        F.col("study_id").cast("string").alias("studyId"), F.col("client_event_id").alias("clientEventId"), "sequence", "type", "data")
+    path = f"{shared_folder(log.sparkSession)}/evidar/event-log-{uuid4().hex}"
+    files.write_event_log(S.fan_out(log), path)
+    back = files.read_event_log(log.sparkSession, path)
+    return back.groupBy("study_id", "type").agg(F.count(F.lit(1)).alias("n"), F.max("sequence").alias("last"))
+
+
+QUERIES["event_log_files"] = tables(event_log_files)
+ORACLES["event_log_files"] = f"""
+WITH {EVENTS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY study_id ORDER BY arrival_ts, arrival_seq) AS sequence FROM e)
+SELECT study_id::VARCHAR AS study_id, type, count(*) * CASE WHEN type = 'answer_failed' THEN 2 ELSE 1 END AS n, max(sequence) AS last FROM n GROUP BY study_id, type
+"""
+
+
+def summary_csv(t):
+    """The summary as CSV, written and read back as text."""
+    from uuid import uuid4
+
+    from evidar.session import shared_folder
+    from evidar.sources import files
+
+    summary = session_summary(t)
+    path = f"{shared_folder(summary.sparkSession)}/evidar/summary-{uuid4().hex}"
+    files.write_summary_csv(summary, path)
+    schema = ", ".join(f"{c} STRING" for c in summary.columns)
+    back = summary.sparkSession.read.csv(path, header=True, schema=schema, escape='"')
+    return back.select("study_id", "condition", "status", "started_at", "total_questions", "mean_response_latency_ms")
+
+
+QUERIES["summary_csv"] = tables(summary_csv)
+ORACLES["summary_csv"] = f"""
+WITH base AS ({ORACLES['session_summary']})
+SELECT study_id::VARCHAR AS study_id, condition, status, started_at, total_questions::VARCHAR AS total_questions, mean_response_latency_ms::VARCHAR AS mean_response_latency_ms FROM base
+"""
