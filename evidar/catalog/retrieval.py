@@ -361,7 +361,7 @@ QUERIES["document_coverage"] = tables(document_coverage)
 def retrieve_evidence(t):
     asked = questions(t, vectors=True)
     return retrieval.retrieve(asked, vector_chunks(t)).select(
-        "query_id", "mode", "chunk_id", F.col("rank").cast("int").alias("rank"), F.round("score", 4).alias("score"), "adjacent", "strategy")
+        "query_id", "mode", "chunk_id", F.col("rank").cast("int").alias("rank"), "score", "adjacent", "strategy")
 
 
 QUERIES["retrieve_evidence"] = tables(retrieve_evidence)
@@ -437,3 +437,43 @@ last AS (SELECT c, arg_max(taken, s) AS taken FROM g GROUP BY c),
 sel AS (SELECT o.* FROM o JOIN last ON last.c = o.c WHERE list_contains(taken, id) UNION ALL SELECT * FROM o WHERE cnt <= 80 AND total <= 60000)
 SELECT c AS collection_id, id AS chunk_id, row_number() OVER (PARTITION BY c ORDER BY pos)::INTEGER AS rank FROM sel
 """
+
+
+def _neighbours_sql(name: str, source: str, count: int, only: str) -> str:
+    """``source(query_id, doc_id, source, score, rank)`` plus neighbours of the same file up to ``count``."""
+    return f"""
+{name}_w AS (SELECT p.query_id, n.doc_id, n.source, p.rank AS from_rank, step, p.score * 0.72::DOUBLE AS score
+  FROM {source} p CROSS JOIN (VALUES (-1), (1)) s(step) JOIN documents n ON n.doc_id = p.doc_id + step AND n.source = p.source
+  WHERE {only} AND NOT EXISTS (SELECT 1 FROM {source} x WHERE x.query_id = p.query_id AND x.doc_id = n.doc_id)
+  QUALIFY row_number() OVER (PARTITION BY p.query_id, n.doc_id ORDER BY p.rank, step) = 1),
+{name}_a AS (SELECT w.query_id, w.doc_id, w.source, w.score, z.n + row_number() OVER (PARTITION BY w.query_id ORDER BY from_rank, step) AS rank
+  FROM {name}_w w JOIN (SELECT query_id, count(*) AS n FROM {source} GROUP BY ALL) z ON z.query_id = w.query_id),
+{name} AS (SELECT query_id, doc_id, source, score, rank, FALSE AS adjacent FROM {source} UNION ALL SELECT query_id, doc_id, source, score, rank, TRUE FROM {name}_a WHERE rank <= {count})
+"""
+
+
+# Holds while every question that is not ``qa`` has at least 40 positive hits, so that no even fill is due.
+ORACLES["retrieve_evidence"] = f"""
+WITH RECURSIVE {INDEX_SQL}, {QUESTIONS_SQL}, {LEX_SQL}, {_hybrid_sql(True)},
+prim AS MATERIALIZED (SELECT query_id, mode, doc_id, source, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_ordinal) AS rank FROM fused
+  WHERE CASE WHEN mode = 'qa' THEN (lexical_score >= 0.28 AND token_coverage >= 0.18) OR (has_vec AND vector_score >= 0.42) ELSE hybrid_score > 0 END QUALIFY rank <= 40),
+{_neighbours_sql('cand', 'prim', 40, "p.mode = 'qa'")},
+k AS MATERIALIZED (SELECT query_id AS q, cand.doc_id, rank, score AS rel, cand.source, d.doc_id % 120 || '|' || lang AS place, list_distinct({tokens('text')}) AS tok, e.embedding::DOUBLE[] AS vec,
+  count(*) OVER (PARTITION BY query_id) AS n FROM cand JOIN documents d ON d.doc_id = cand.doc_id LEFT JOIN embeddings e ON e.vec_id = cand.doc_id),
+pairs AS (SELECT a.q, a.doc_id AS a, b.doc_id AS b, a.place = b.place AS same, a.vec AS av, b.vec AS bv, len(a.tok) + len(b.tok) AS total, len(list_intersect(a.tok, b.tok)) AS shared
+  FROM k a JOIN k b ON a.q = b.q AND a.doc_id < b.doc_id),
+half AS MATERIALIZED (SELECT q, a, b, same, CASE WHEN av IS NOT NULL AND bv IS NOT NULL THEN greatest(0, list_cosine_similarity(av, bv)) WHEN total = 0 THEN 0 ELSE shared / (total - shared) END AS j FROM pairs),
+sim AS (SELECT q, a, b, same, j FROM half UNION ALL SELECT q, b, a, same, j FROM half),
+near AS MATERIALIZED (SELECT q, a, list({{'b': b, 'j': j, 'same': same}}) AS others FROM sim GROUP BY ALL),
+r(q, step, chosen) AS (
+  SELECT DISTINCT q, 0, []::BIGINT[] FROM k WHERE n > 8
+  UNION ALL
+  SELECT q, step + 1, list_append(any_value(chosen), arg_max(doc_id, (value, -rank))) FROM (
+    SELECT r.q, step, chosen, k.doc_id, k.rank, rel * 0.82::DOUBLE - 0.16::DOUBLE * coalesce(list_max(list_transform(list_filter(others, lambda o: list_contains(chosen, o.b)), lambda o: o.j)), 0)
+        - CASE WHEN len(list_filter(others, lambda o: o.same AND list_contains(chosen, o.b))) > 0 THEN 0.08 ELSE 0 END::DOUBLE AS value
+    FROM r JOIN k ON k.q = r.q LEFT JOIN near ON near.q = k.q AND near.a = k.doc_id WHERE step < 8 AND NOT list_contains(chosen, k.doc_id)) z GROUP BY q, step),
+picks AS MATERIALIZED (SELECT q, unnest(chosen) AS doc_id, unnest(range(1, 9)) AS rank FROM r WHERE step = 8 UNION ALL SELECT q, doc_id, rank FROM k WHERE n <= 8),
+pick AS (SELECT q AS query_id, picks.doc_id, k.source, k.rel AS score, picks.rank FROM picks JOIN k USING (q, doc_id)),
+{_neighbours_sql('evid', 'pick', 10, "TRUE")}
+SELECT evid.query_id, qn.mode, evid.doc_id::VARCHAR AS chunk_id, evid.rank::INTEGER AS rank, evid.score, evid.adjacent, 'ranked' AS strategy FROM evid JOIN qn USING (query_id)
+"""
