@@ -356,13 +356,13 @@ SELECT c_custkey, CASE WHEN c_custkey % 1200 NOT BETWEEN 100 AND 999 THEN 'INVAL
 def progress(t):
     k = F.col("event_id")
     return t("events").select(
-        "event_id", R.pipeline_progress(pick([*PHASES, "odd"], k % 10), F.col("value"), F.when(k % 3 > 0, F.lit(50.0))).alias("progress"),
+        "event_id", R.phase_progress(pick([*PHASES, "odd"], k % 10), F.col("value"), F.when(k % 3 > 0, F.lit(50.0))).alias("progress"),
         R.estimate_remaining(F.lit(1000), k % 110, k * 10).alias("remaining_ms"))
 
 
-QUERIES["pipeline_progress"] = tables(progress)
+QUERIES["phase_progress"] = tables(progress)
 _P = [*PHASES.values(), (0, 0)]
-ORACLES["pipeline_progress"] = f"""
+ORACLES["phase_progress"] = f"""
 WITH x AS (SELECT event_id, {[a for a, _ in _P]}[event_id % 10 + 1] AS a, {[b for _, b in _P]}[event_id % 10 + 1] AS b, CASE WHEN event_id % 3 > 0 THEN least(greatest(value / 50, 0), 1) ELSE 0 END AS r, event_id % 110 AS p FROM events)
 SELECT event_id, floor(a + (b - a) * r + 0.5)::INTEGER AS progress, CASE WHEN p >= 3 AND p < 100 THEN floor(greatest(event_id * 10 - 1000, 0) * (100 - p) / p + 0.5)::BIGINT END AS remaining_ms FROM x
 """

@@ -65,7 +65,7 @@ def fingerprint(content: Column | str) -> Column:
     return F.sha2(col(content), 256)
 
 
-def pipeline_progress(phase: Column | str, current: Column | str, total: Column | str) -> Column:
+def phase_progress(phase: Column | str, current: Column | str, total: Column | str) -> Column:
     """Percent done from the phase and the position inside it."""
     start = first_match(((col(phase) == p, float(a)) for p, (a, _) in PHASES.items()), 0.0)
     end = first_match(((col(phase) == p, float(b)) for p, (_, b) in PHASES.items()), 0.0)

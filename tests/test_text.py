@@ -98,7 +98,7 @@ def test_terms(spark):
 
 def test_progress(spark):
     steps = [("hashing", 1, 2), ("rendering", 1, 2), ("parsing", 1, 1), ("ready", 0, None)]
-    done = [scalar(spark, R.pipeline_progress(F.lit(p), F.lit(c), F.lit(n).cast("int"))) for p, c, n in steps]
+    done = [scalar(spark, R.phase_progress(F.lit(p), F.lit(c), F.lit(n).cast("int"))) for p, c, n in steps]
     assert done == sorted(done) and done[-1] == 100
     left = lambda s, p, now: scalar(spark, R.estimate_remaining(F.lit(s), F.lit(p), F.lit(now)))
     assert left(0, 25, 10_000) == 30_000 and left(0, 100, 5) is None and left(0, 2, 5) is None
