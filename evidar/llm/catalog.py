@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from evidar.llm import simhash
+from evidar.llm import chat, decontam, langid, lattice, lines, packing, quality, simhash, substrings, vectors
 
 QUERIES = {
+    "op1_embedding_near_dedup": vectors.op1_embedding_near_dedup,
+    "op2_line_dedup": lines.op2_line_dedup,
     "op3_simhash": simhash.op3_simhash,
+    "op4_language_id": langid.op4_language_id,
+    "op5_tool_calls": chat.op5_tool_calls,
+    "op6_lattice_score": lattice.op6_lattice_score,
+    "op7_quality": quality.op7_quality,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
+    "op10_repeated_substrings": substrings.op10_repeated_substrings,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_line_dedup": lines.OP2_SQL,
+    "op9_benchmark_decontamination": decontam.OP9_SQL,
+}

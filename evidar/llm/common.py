@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidar.session import saved
+from evidar.session import shared_folder
 
 
 def text_bytes(name: str = "text"):
@@ -18,6 +19,14 @@ def text_bytes(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder, densely packed, and read back."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/evidar/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def remainder(name: str, divisor: int):
     """crc32 of an id as text, modulo ``divisor``; a NULL id counts as remainder 0."""
     return F.coalesce(F.crc32(F.col(name).cast("string")) % divisor, F.lit(0)).cast("int")
@@ -38,23 +47,21 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
         yield pa.Table.from_batches(kept)
 
 
-def index_words(lists: list[list]) -> tuple[list, np.ndarray, np.ndarray]:
+def index_words(lists: Iterable[list]) -> tuple[list, np.ndarray, np.ndarray]:
     """Distinct words of a block, the word number of every token, and where each list begins."""
     numbers: dict = defaultdict()
     numbers.default_factory = numbers.__len__
-    at = np.zeros(len(lists) + 1, np.int64)
-    parts = []
-    for k, words in enumerate(lists):
+    at, parts = [0], [np.zeros(0, np.int32)]
+    for words in lists:
         parts.append(np.fromiter((numbers[w] for w in words), np.int32, len(words)))
-        at[k + 1] = at[k] + len(words)
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    return list(numbers), flat, at
+        at.append(at[-1] + len(words))
+    return list(numbers), np.concatenate(parts), np.array(at, np.int64)
 
 
 def segment_sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sum of ``values`` between neighbouring bounds; empty segments give 0."""
-    total = np.concatenate([np.zeros(1), np.cumsum(values, dtype=np.float64)])
-    return total[at[1:]] - total[at[:-1]]
+    total = np.add.reduceat(np.append(values, 0.0).astype(np.float64), at[:-1]) if len(at) > 1 else np.zeros(0)
+    return np.where(at[1:] > at[:-1], total, 0.0)
 
 
 def by_group(
@@ -115,7 +122,7 @@ def components(edges: DataFrame) -> DataFrame:
     def stamp(df):
         return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first()
 
-    links = saved(tidy(edges), "links")
+    links = stored(tidy(edges), "links")
     before = stamp(links)
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -124,7 +131,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = saved(tidy(small.unionByName(low.select("a", F.col("m").alias("b")))), "links")
+        links = stored(tidy(small.unionByName(low.select("a", F.col("m").alias("b")))), "links")
         after = stamp(links)
         if after == before:
             break
