@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from evidar.llm.common import blocks, index_words, stored, text_bytes
 
-BLOCK = 16 << 20
+BLOCK = 4 << 20
 SALT_ROWS = 250_000
 
 
@@ -24,38 +24,60 @@ def _plain(word: str) -> bool:
 
 
 class _Words:
-    """Token ids of the distinct words of a block, as one flat array with bounds.
+    """Token ids of words, encoded once per task: one flat array, and where each word's ids begin and how many they are.
 
     White space is dropped by this kind of tokenizer and separates its pieces, so ids of a text are the ids of its words in order.
-    Plain words are encoded many at a time; the id that ends a word tells where the next begins.
+    Plain words are encoded many at a time; the id that ends a word tells where the next begins. After ``MOST`` words it starts anew.
     """
 
+    MOST = 250_000
+
     def __init__(self, definition: str):
         self.tokenizer = Tokenizer.from_str(definition)
-        vocabulary = json.loads(definition)["model"]["vocab"]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(True) + 1, bool)
-        for token, number in vocabulary.items():
+        for token, number in json.loads(definition)["model"]["vocab"].items():
             self.ends[number] = token.endswith("</w>")
-
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if len(self.known) > self.MOST:
+            self.forget()
+        new = [w for w in words if w not in self.known]
+        flat, start, size = self._encode(new)
+        for w in new:
+            self.known[w] = len(self.known)
+        self.start = np.concatenate([self.start, start + len(self.flat)])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, flat])
+        which = np.fromiter((self.known[w] for w in words), np.int64, len(words))
+        return self.flat, self.start[which], self.size[which]
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        start, size = np.zeros(len(words), np.int64), np.full(len(words), -1, np.int64)
+        made, total = [np.zeros(0, np.uint32)], 0
         plain = [i for i, w in enumerate(words) if _plain(w)]
-        found: list = [None] * len(words)
         for k in range(0, len(plain), 4096):
             group = plain[k : k + 4096]
             ids = np.array(self.tokenizer.encode("\n".join(words[i] for i in group), add_special_tokens=False).ids, np.uint32)
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(group):
-                continue
-            for i, piece in zip(group, np.split(ids, stops[:-1])):
-                found[i] = piece
-        rest = [i for i, ids in enumerate(found) if ids is None]
+            if len(stops) == len(group):
+                begins = np.concatenate([[0], stops[:-1]])
+                start[group], size[group] = total + begins, stops - begins
+                made.append(ids)
+                total += len(ids)
+        rest = np.flatnonzero(size < 0).tolist()
         for k in range(0, len(rest), 4096):
             group = rest[k : k + 4096]
-            for i, e in zip(group, self.tokenizer.encode_batch_fast([words[i] for i in group], add_special_tokens=False)):
-                found[i] = np.array(e.ids, np.uint32)
-        at = np.zeros(len(words) + 1, np.int64)
-        np.cumsum([len(ids) for ids in found], out=at[1:])
-        return (np.concatenate(found) if found else np.zeros(0, np.uint32)), at
+            found = self.tokenizer.encode_batch_fast([words[i] for i in group], add_special_tokens=False)
+            for i, e in zip(group, found):
+                start[i], size[i] = total, len(e.ids)
+                made.append(np.array(e.ids, np.uint32))
+                total += len(e.ids)
+        return np.concatenate(made), start, size
 
 
 def _units(words: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -72,11 +94,10 @@ def _units(words: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
     return list(numbers), body, tail
 
 
-def _gather(flat: np.ndarray, at: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """The segments of ``flat`` numbered ``which``, one after the other."""
-    sizes = at[which + 1] - at[which]
-    ends = np.cumsum(sizes)
-    return flat[np.repeat(at[which] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Segments of ``flat``, one after the other."""
+    ends = np.cumsum(size)
+    return flat[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, limit: int = 4096, end_id: int = 1) -> DataFrame:
@@ -94,12 +115,13 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, limit: int = 4096, end_id
             encoder = encoder or _Words(definition.value)
             words, flat, at = index_words(t.as_py().split() for t in block.column("body"))
             names, body, tail = _units(words)
-            ids, bounds = encoder.encode(names)
+            ids, first, size = encoder.ids(names)
             out = {"doc_id": [], "piece": [], "start": [], "length": [], "ids": []}
             for k, key in enumerate(block.column("doc_id").to_pylist()):
                 mine = flat[at[k] : at[k + 1]]
                 units = np.stack([body[mine], tail[mine]], 1).ravel()
-                found = np.append(_gather(ids, bounds, units[units >= 0]), np.uint32(end_id)).astype("<u4")
+                units = units[units >= 0]
+                found = np.append(_gather(ids, first[units], size[units]), np.uint32(end_id)).astype("<u4")
                 for start in range(0, len(found), limit):
                     part = found[start : start + limit]
                     for name, value in zip(out, (key, start // limit, start, len(part), part.tobytes())):
