@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from evidar.llm.common import blocks, index_words, remainder, segment_sums, text_bytes
 
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: A word is a run of letters, digits and bytes beyond ASCII, or a run of other visible characters.
 WORD = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[^\s\w\x80-\xff]+|_+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -60,18 +60,19 @@ def fit(
     return weight(z, n), float(weight(zb, nb))
 
 
-def train(labelled: DataFrame, sample_bytes: int = 24 << 20, bits: int = 20) -> tuple[np.ndarray, float]:
-    """Model from ``text`` and ``label`` (0 or 1; others and NULL are left out).
+def train(docs: DataFrame, labels: DataFrame, sample_bytes: int = 16 << 20, bits: int = 20) -> tuple[np.ndarray, float]:
+    """Model from the ``text`` of ``docs`` and the ``label`` (0 or 1; others and NULL are left out) that ``labels`` has for its doc_id.
 
-    At most about ``sample_bytes`` of text are learned from, chosen by a hash of id and text when there is more. Texts become sparse
-    features where they are read; one task then runs the updates over that bounded sample in hash order.
+    At most about ``sample_bytes`` of text are learned from, chosen by a hash of the id when there is more; the text of other documents
+    is not shuffled. Texts become sparse features where they are read; one task then runs the updates over that bounded sample in hash order.
     """
-    rows = labelled.select("doc_id", F.col("label").cast("int").alias("label"), text_bytes().alias("body")).where("label IN (0, 1)")
-    rows = rows.withColumn("at", F.xxhash64("doc_id", "body"))
-    total = rows.agg(F.sum(F.length("body"))).first()[0] or 0
+    labels = labels.select("doc_id", F.col("label").cast("int").alias("label")).where("label IN (0, 1)")
+    total = docs.select("doc_id", F.octet_length("text").alias("size")).join(labels, "doc_id").agg(F.sum("size")).first()[0] or 0
     million = 1_000_000
+    rows = docs.select("doc_id", F.xxhash64("doc_id").alias("at"), text_bytes().alias("body"))
     if total > sample_bytes:
         rows = rows.where(F.pmod("at", F.lit(million)) < int(million * sample_bytes / total))
+    rows = rows.join(labels, "doc_id")
 
     def hashed(batches):
         for block in blocks(batches, "body", BLOCK):
@@ -123,6 +124,6 @@ def op7_quality(spark, sf_dir: str) -> DataFrame:
     """Contract of operator 7: learn from labelled documents whose remainder is not 0, score all."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
-    model = train(docs.select("doc_id", "text").where(remainder("doc_id", 5) != 0).join(labels, "doc_id"))
+    model = train(docs.where(remainder("doc_id", 5) != 0), labels)
     found = score(docs, model).withColumn("held_out", remainder("doc_id", 5) == 0)
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -107,13 +107,13 @@ def test_quality_features_and_edges(spark):
     bucket, value, at = quality.features([b"a b a", b"", b"b***"], 16)
     assert list(at) == [0, 4, 4, 7] and value[:4].dot(value[:4]) == pytest.approx(1)
     one = spark.createDataFrame([(k, t, y) for k, (t, y) in enumerate([("good words here", 1), ("bad*** junk***", 0), (None, 1), ("x", None)] * 5)], "doc_id long, text string, label int")
-    model = quality.train(one)
+    model = quality.train(one.drop("label"), one.select("doc_id", "label"))
     rows = docs(spark, ["good words here", "bad*** junk***", "", None, "good words here"], clashes=True)
     got = {}
     for r in quality.score(rows, model).collect():
         got.setdefault(r["doc_id"], r["score"])
     assert got[0] == got[4] > 0.5 > got[1] and got[2] == got[3] and 0 <= got[2] <= 1
-    none = quality.train(one.where("false"))
+    none = quality.train(one.drop("label"), one.select("doc_id", "label").where("false"))
     assert [r["score"] for r in quality.score(docs(spark, ["a"]), none).collect()] == [0.5]
     assert quality.score(empty(spark), model).count() == 0
 
