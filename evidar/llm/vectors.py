@@ -21,13 +21,8 @@ def rotation(size: int, seed: int = 7) -> np.ndarray:
 
 
 def _turned(x: np.ndarray) -> np.ndarray:
-    """Rotated unit vectors, summed in one fixed order so that every task finds the same digits."""
-    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
-    turn = rotation(x.shape[1])
-    out = np.zeros_like(unit)
-    for k in range(x.shape[1]):
-        out += unit[:, k, None] * turn[k]
-    return out
+    """Rotated unit vectors, rounded so that every task finds the same digits whatever rows it has beside them."""
+    return np.round((x / np.sqrt((x * x).sum(1, keepdims=True))) @ rotation(x.shape[1]), 11)
 
 
 def _cuts(size: int, block: int) -> list[tuple[int, int]]:
@@ -133,19 +128,26 @@ def near_vectors(
         turned, norm = _turned(x), np.sqrt((x * x).sum(1))
         cuts = _cuts(size, block)
         a, b = cuts[part]
-        mine = turned[:, a:b]
-        square = (mine * mine).sum(1)
         limits = np.array([budget * (e - s) / size for s, e in cuts]) + SLACK
+        mine = turned[:, a:b]
+        square = (mine * mine).sum(1, keepdims=True)
+        # One product gives all squared distances in the block: (x, x.x, 1) times (-2y, 1, y.y).
+        one = np.ones_like(square)
+        ahead = np.hstack([mine, square, one]).astype(np.float32)
+        behind = np.hstack([-2.0 * mine, one, square]).astype(np.float32)
+        home, away = np.flatnonzero(resident), np.flatnonzero(~resident)
+        if i == j:
+            sides = [(home, home), (home, away)]
+        else:
+            first, second = (own == i), (own == j)
+            sides = [(home[first[home]], home[second[home]]), (home[first[home]], away[second[away]]), (home[second[home]], away[first[away]])]
         left, right = [], []
-        for s in range(0, len(x), 512):
-            e = min(len(x), s + 512)
-            near = square[s:e, None] + square[None, s:] - 2.0 * (mine[s:e] @ mine[s:].T) <= limits[part] + SLACK
-            near &= resident[s:e, None] | resident[None, s:]
-            if i != j:
-                near &= own[s:e, None] != own[None, s:]
-            p, q = np.nonzero(near)
-            p, q = p + s, q + s
-            p, q = p[p < q], q[p < q]
+        for rows, others, s in [(r, o, s) for r, o in sides if len(o) for s in range(0, len(r), 512)]:
+            rows = rows[s : s + 512]
+            p, q = np.nonzero(ahead[rows] @ behind[others].T <= limits[part] + 1e-5)
+            p, q = rows[p], others[q]
+            if i == j and len(others) and resident[others[0]]:
+                p, q = p[p < q], q[p < q]
             for t in range(0, len(p), 65_536):
                 pp, qq = p[t : t + 65_536], q[t : t + 65_536]
                 gaps = np.add.reduceat((turned[pp] - turned[qq]) ** 2, [c[0] for c in cuts], axis=1)
