@@ -39,8 +39,8 @@ def features(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def fit(
-    rows: list[tuple[np.ndarray, np.ndarray, float]], bits: int, epochs: int = 3,
-    alpha: float = 1.0, beta: float = 1.0, l1: float = 0.0, l2: float = 0.001,
+    rows: list[tuple[np.ndarray, np.ndarray, float]], bits: int, epochs: int = 5,
+    alpha: float = 10.0, beta: float = 1.0, l1: float = 0.0, l2: float = 0.001,
 ) -> tuple[np.ndarray, float]:
     """Weights and intercept after ``epochs`` passes of per-coordinate FTRL updates in the given order."""
     z, n, zb, nb = np.zeros(1 << bits), np.zeros(1 << bits), 0.0, 0.0
