@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,16 +34,20 @@ def remainder(name: str, divisor: int):
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.Table]:
-    """Consecutive Arrow batches joined to blocks of about ``limit`` bytes of ``column``."""
+    """The rows of all batches in blocks of about ``limit`` bytes of ``column``, whatever the size of a batch; a row is never cut."""
     kept, size = [], 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        kept.append(batch)
-        size += batch.column(column).nbytes
-        if size >= limit:
-            yield pa.Table.from_batches(kept)
-            kept, size = [], 0
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        begin = 0
+        while begin < batch.num_rows:
+            done = int(sizes[begin - 1]) if begin else 0
+            end = min(batch.num_rows, int(np.searchsorted(sizes, done + limit - size)) + 1)
+            kept.append(batch.slice(begin, end - begin))
+            size += int(sizes[end - 1]) - done
+            begin = end
+            if size >= limit:
+                yield pa.Table.from_batches(kept)
+                kept, size = [], 0
     if kept:
         yield pa.Table.from_batches(kept)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evidar.llm.common import blocks, index_words, remainder, segment_sums, stored, text_bytes
 
-BLOCK = 16 << 20
+BLOCK = 32 << 20
 WORDS = 50_000
 #: The mark of a word's begin in the vocabulary; inside this module it is a blank, which no word contains.
 MARK = "▁"
@@ -162,7 +162,7 @@ def score_documents(
     With ``kind``, whole-word arcs are learned for the ``kinds`` - 1 most frequent values of that column and for all others together, and a
     text's probability is the mixture over kinds; the column of a scored text is not looked at. Probabilities of all texts sum to one.
 
-    Words are counted per block of about 16 MB first, so one row per distinct word and block is shuffled, not one per token.
+    Words are counted per block of about 32 MB first, so one row per distinct word and block is shuffled, not one per token.
     Without any training text, paths of pieces and the end share the probability evenly.
     """
     spark = docs.sparkSession
