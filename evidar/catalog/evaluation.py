@@ -76,7 +76,7 @@ def _ocr_samples(t):
 
 SAMPLES_SQL = f"""
 o AS (SELECT conv_id, turn, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS plain FROM conversations),
-p AS (SELECT conv_id, turn, left({COMPARABLE.format(x='plain')}, 10000) AS r, left({COMPARABLE.format(x="CASE WHEN turn % 3 = 2 THEN regexp_replace(plain, '[aeiou]', '', 'g') ELSE upper(plain) END")}, 10000) AS l FROM o),
+p AS (SELECT conv_id, turn, {COMPARABLE.format(x='plain')} AS r, {COMPARABLE.format(x="CASE WHEN turn % 3 = 2 THEN regexp_replace(plain, '[aeiou]', '', 'g') ELSE upper(plain) END")} AS l FROM o),
 acc AS (SELECT conv_id, turn, CASE WHEN r = '' THEN CASE WHEN l = '' THEN 1 ELSE 0 END ELSE greatest(0, 1 - levenshtein(l, r) / greatest(length(l), length(r), 1)) END::DOUBLE AS accuracy FROM p)
 """
 QUERIES["quality_gates"] = tables(quality_gates)
@@ -151,10 +151,10 @@ def clean_eval_cases(t):
 
 QUERIES["clean_eval_cases"] = tables(clean_eval_cases)
 ORACLES["clean_eval_cases"] = """
-WITH f AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents QUALIFY n <= 12),
+WITH f AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
 c AS (SELECT *, ['overview', 'detail', 'visual', 'review', 'comparison', 'unanswerable', 'detail'][doc_id % 7 + 1] AS category, doc_id % 7 = 5 OR doc_id % 5 = 0 AS refuse,
   concat_ws(',', (SELECT d.doc_id::VARCHAR FROM documents d WHERE d.doc_id = f.doc_id + 1 AND d.source = f.source AND d.lang <> 'fr'), CASE WHEN lang <> 'fr' THEN doc_id::VARCHAR END) AS ids FROM f)
-SELECT source AS document_id, source[1:8] || '-' || lpad(n::VARCHAR, 2, '0') AS case_id, category,
+SELECT source AS document_id, source[1:8] || '-' || CASE WHEN n < 10 THEN '0' ELSE '' END || n AS case_id, category,
   CASE category WHEN 'review' THEN 'review' WHEN 'overview' THEN 'explain' ELSE 'qa' END AS mode, 'q' || doc_id AS question, CASE WHEN refuse THEN '' ELSE ids END AS relevant_ids,
   refuse AS should_refuse, CASE WHEN doc_id % 2 = 0 THEN 'easy' ELSE 'medium' END AS difficulty FROM c WHERE doc_id % 11 <> 0 AND (refuse OR ids <> '')
 """

@@ -256,7 +256,7 @@ def late_batch(t):
 QUERIES["late_batch"] = tables(late_batch)
 ORACLES["late_batch"] = f"""
 WITH {ARRIVALS_SQL}, lg AS (SELECT study_id, id FROM w WHERE elapsed <= 259200000),
-f AS (SELECT * FROM w WHERE elapsed > 259200000 QUALIFY row_number() OVER (PARTITION BY study_id ORDER BY arrival_seq) <= 500),
+f AS (SELECT * FROM w WHERE elapsed > 259200000),
 u AS (SELECT * FROM f WHERE inside), nw AS (SELECT * FROM u WHERE valid AND NOT EXISTS (SELECT 1 FROM lg WHERE lg.study_id = u.study_id AND lg.id = u.id)
   QUALIFY row_number() OVER (PARTITION BY study_id, id ORDER BY arrival_seq) = 1),
 m AS (SELECT study_id, count(*) AS n FROM lg GROUP BY ALL)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evidar.config import PRIORITIES
 from evidar.functions.text import comparable_text
 from evidar.operators.ranking import top_k
+from evidar.operators.slices import carry, number_slice
 
 
 def retrieval_metrics(hits: DataFrame, cases: DataFrame, k: int = 10) -> DataFrame:
@@ -76,10 +77,11 @@ def quality_gates(scores: DataFrame, ocr: DataFrame | None = None) -> DataFrame:
     return gates.select("*", one).join(sampled.select("*", one), "_one").drop("_one")
 
 
-def accuracy_of(actual: Column | str, expected: Column | str) -> Column:
-    """A8 scalar: one minus the normalised edit distance of the comparable texts."""
-    left = F.substring(comparable_text(actual), 1, 10_000)
-    right = F.substring(comparable_text(expected), 1, 10_000)
+def accuracy_of(actual: Column | str, expected: Column | str, max_chars: int | None = None) -> Column:
+    """A8 scalar: one minus the normalised edit distance of the comparable texts, of their first ``max_chars`` if given."""
+    left, right = comparable_text(actual), comparable_text(expected)
+    if max_chars is not None:
+        left, right = F.substring(left, 1, max_chars), F.substring(right, 1, max_chars)
     longest = F.greatest(F.length(left), F.length(right), F.lit(1))
     return (
         F.when(right == "", F.when(left == "", 1.0).otherwise(0.0))
@@ -123,12 +125,16 @@ def refusal_accuracy(results: DataFrame) -> DataFrame:
     return results.agg(F.count(F.lit(1)).alias("cases"), F.coalesce(F.avg(right), F.lit(1.0)).alias("accuracy"))
 
 
-def clean_eval_cases(raw: DataFrame, allowed: DataFrame, per_document: int = 12) -> DataFrame:
-    """Usable evaluation cases from generated candidates.
+def clean_eval_cases(raw: DataFrame, allowed: DataFrame, per_document: int | None = None) -> DataFrame:
+    """Usable evaluation cases from generated candidates, the first ``per_document`` of each document if given.
 
     ``raw``: document_id, position, category, question, reference_answer, relevant_ids, should_refuse, difficulty.
     """
-    first = top_k(raw, ["document_id"], [F.col("position")], per_document, "case_no")
+    if per_document is None:
+        first = carry(raw, ["document_id"], number_slice("position"), ["position"], index="case_no")
+    else:
+        first = top_k(raw, ["document_id"], [F.col("position")], per_document, "case_no")
+    digits = F.col("case_no").cast("string")
     ids = first.select("document_id", "case_no", F.posexplode("relevant_ids").alias("pos", "chunk_id"))
     known = ids.join(allowed.select("document_id", "chunk_id"), ["document_id", "chunk_id"], "left_semi")
     once = known.groupBy("document_id", "case_no", "chunk_id").agg(F.min("pos").alias("pos"))
@@ -144,7 +150,7 @@ def clean_eval_cases(raw: DataFrame, allowed: DataFrame, per_document: int = 12)
         .withColumn("relevant_ids", F.when(F.col("should_refuse") | F.col("_kept").isNull(), F.array().cast("array<string>")).otherwise(F.col("_kept")))
         .withColumn("question", F.trim(F.coalesce("question", F.lit(""))))
         .withColumn("difficulty", F.when(F.col("difficulty").isin("easy", "medium", "hard"), F.col("difficulty")).otherwise("medium"))
-        .withColumn("case_id", F.concat(F.substring("document_id", 1, 8), F.lit("-"), F.lpad(F.col("case_no").cast("string"), 2, "0")))
+        .withColumn("case_id", F.concat(F.substring("document_id", 1, 8), F.lit("-"), F.when(F.col("case_no") < 10, F.concat(F.lit("0"), digits)).otherwise(digits)))
         .withColumn("review_status", F.lit("pending_human_review"))
     )
     usable = (F.col("question") != "") & (F.col("should_refuse") | (F.size("relevant_ids") > 0))

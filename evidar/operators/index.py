@@ -224,9 +224,10 @@ def no_text_documents(sections: DataFrame, headers: DataFrame, visuals: DataFram
     return poor.select("doc_id", F.lit("NO_TEXT_LAYER").alias("error_code"))
 
 
-def sanitize_chunks(chunks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """The first chunks of a collection with clamped fields; short texts dropped."""
-    first = top_k(chunks, ["collection_id"], [F.col("chunk_ordinal")], cfg.max_chunks, "_pos").drop("_pos")
+def sanitize_chunks(chunks: DataFrame, max_chunks: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """Chunks with clamped fields; short texts dropped. Limits per collection and per text only where they are given."""
+    first = chunks if max_chunks is None else top_k(chunks, ["collection_id"], [F.col("chunk_ordinal")], max_chunks, "_pos").drop("_pos")
+    text = normalize_ws("text") if max_chars is None else F.substring(normalize_ws("text"), 1, max_chars)
     keep = lambda c, allowed, other: F.when(F.col(c).isin(allowed), F.col(c)).otherwise(other)
     out = (
         first.filter(F.col("chunk_id").isNotNull() & F.col("text").isNotNull() & F.col("label").isNotNull())
@@ -238,7 +239,7 @@ def sanitize_chunks(chunks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         .withColumn("number", F.when(F.col("number").between(1, 120), F.col("number")).otherwise(1))
         .withColumn("content_type", keep("content_type", ["prose", "list", "definition", "table", "code", "visual"], "prose"))
         .withColumn("text_origin", keep("text_origin", ["native", "ocr", "mixed", "vision"], "native"))
-        .withColumn("text", F.substring(normalize_ws("text"), 1, 1_500))
+        .withColumn("text", text)
         .filter(F.length("text") >= 12)
     )
     if "embedding" in out.columns:

@@ -23,8 +23,8 @@ def limiter_key(scope: Column | str, key: Column | str) -> Column:
 def _next_target(rows: DataFrame, width: int) -> DataFrame:
     """For rows (k, at, target or NULL): smallest target at or after ``at``."""
     cut = rows.withColumn("_slice", F.floor(F.col("at") / width))
-    inside = Window.partitionBy("k", "_slice").orderBy("at").rangeBetween(0, Window.unboundedFollowing)
-    along = Window.partitionBy("k").orderBy("_slice").rowsBetween(1, Window.unboundedFollowing)
+    inside = Window.partitionBy("k", "_slice").orderBy(F.col("at").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    along = Window.partitionBy("k").orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
     later = cut.groupBy("k", "_slice").agg(F.min("target").alias("_min")).select(
         "k", "_slice", F.min("_min").over(along).alias("_later"))
     return cut.join(later, ["k", "_slice"]).withColumn("next", F.coalesce(F.min("target").over(inside), F.col("_later"))).drop("_slice", "_later")

@@ -247,23 +247,22 @@ def ingest_events(arrivals: DataFrame, sessions: DataFrame, log: DataFrame | Non
     return accepted.select(*columns).unionByName(others.select(*columns))
 
 
-def late_batch(pending: DataFrame, events: DataFrame, sessions: DataFrame, ends: DataFrame | None = None, cfg: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """T4: pending events delivered with the end of a session: (acknowledged, appended).
+def late_batch(pending: DataFrame, events: DataFrame, sessions: DataFrame, ends: DataFrame | None = None, cfg: Config = DEFAULT, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """T4: pending events delivered with the end of a session: (acknowledged, appended); the first ``limit`` of each if given.
 
     ``pending``: study_id, position, client_event_id, type, client_ts, elapsed_ms, data.
     """
-    first = top_k(pending, ["study_id"], [F.col("position")], cfg.late_batch, "_n").drop("_n")
+    first = pending if limit is None else top_k(pending, ["study_id"], [F.col("position")], limit, "_n").drop("_n")
     usable = events_in_window(first.withColumn("client_event_id", client_id("client_event_id")), sessions, ends, cfg).filter(
         "in_window AND client_event_id IS NOT NULL").drop("in_window")
     names = ["study_id", "client_event_id"]
     logged = events.select(*names).distinct()
     new = usable.join(logged, names, "left_anti").filter(F.lower(F.trim("type")).rlike(EVENT_TYPE))
-    # At most late_batch rows per session reach these windows.
     once = top_k(new, names, [F.col("position")], 1, "_n").drop("_n")
-    numbered = top_k(once, ["study_id"], [F.col("position")], cfg.late_batch, "_n")
+    numbered = carry(once, ["study_id"], number_slice("position"), ["position"], index="_nth")
     last = events.groupBy("study_id").agg(F.max("sequence").alias("_last"))
     appended = numbered.join(last, "study_id", "left").withColumn(
-        "sequence", F.coalesce("_last", F.lit(0)) + F.col("_n")).drop("_n", "_last")
+        "sequence", F.coalesce("_last", F.lit(0)) + F.col("_nth")).drop("_nth", "_last")
     acknowledged = usable.join(logged.unionByName(once.select(*names)).distinct(), names, "left_semi").select("study_id", "position", "client_event_id")
     return acknowledged, appended
 

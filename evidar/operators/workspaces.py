@@ -44,7 +44,7 @@ def memo_misses(keys: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame
 
     ``cache``: cache_key, certified, created_at, answer.
     """
-    order = [F.col("certified").desc(), F.col("created_at").desc()]
+    order = [F.col("certified").desc(), F.col("created_at").desc(), F.col("answer")]
     best = top_k(cache, ["cache_key"], order, 1, "_n").drop("_n")
     wanted = keys.select("cache_key").distinct()
     return best.join(wanted, "cache_key", "left_semi"), wanted.join(cache.select("cache_key"), "cache_key", "left_anti")
