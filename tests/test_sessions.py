@@ -115,9 +115,11 @@ def test_late_batch_is_idempotent(spark):
     log = spark.createDataFrame([("s", "a", 1), ("s", "b", 2)], "study_id string, client_event_id string, sequence bigint")
     sessions = spark.createDataFrame([session()], SESSION)
     acked, added = S.late_batch(pending, log, sessions)
+    assert acked.count() == added.count() == 510 and added.agg(F.max("sequence")).first()[0] == 512  # no limit unless asked for
+    acked, added = S.late_batch(pending, log, sessions, limit=500)
     assert acked.count() == added.count() == 500 and added.agg(F.max("sequence")).first()[0] == 502
     again = log.unionByName(added.select("study_id", "client_event_id", "sequence"))
-    acked, added = S.late_batch(pending, again, sessions)
+    acked, added = S.late_batch(pending, again, sessions, limit=500)
     assert acked.count() == 500 and added.count() == 0
 
 
