@@ -75,14 +75,15 @@ def ball_links(fps: DataFrame, radius: int = 4, parts: int = 2) -> DataFrame:
     ])
     nodes = fps.select("fp").repartition(max(fps.sparkSession.sparkContext.defaultParallelism, fps.count() // 25_000))
     words = nodes.select("fp", F.explode(words).alias("w")).select("fp", "w.*")
-    met = words.select("fp", "part", ball("value").alias("variant")).groupBy("part", "variant")
-    met = met.agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
+    variants = words.select("fp", "part", ball("value").alias("variant"))
+    met = variants.groupBy("part", "variant").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
     met = stored(met.where("n > 1"), "met")
     pairs = met.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b")
 
-    # Who is in a crowded variant: the words in the ball around it, so only those words are shuffled again.
+    # Who is in a crowded variant: the balls once more, so that the rows made stay a fixed number per fingerprint however crowded the
+    # variants are. Crowded variants are a table of their own: Spark sees its size, and broadcasts it only under its limit.
     crowded = met.where("n > 2").select("part", "variant", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    rows = crowded.select("*", ball("variant").alias("value")).join(words, ["part", "value"]).drop("value")
+    rows = variants.join(stored(crowded, "crowded"), ["part", "variant"])
     rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = rows.select("part", "variant", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
