@@ -320,11 +320,11 @@ def _raw_answers(t):
 
 STRUCTURED_SQL = f"""
 items AS (SELECT conv_id AS answer_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n, turn, role,
-  left({trim("text")}, 2000) AS text, turn % 2 = 1 AS cited FROM conversations),
-kept AS (SELECT *, cited AND role <> 'system' AS supported FROM items WHERE n < 12 AND text <> ''),
+  {trim("text")} AS text, turn % 2 = 1 AS cited FROM conversations),
+kept AS (SELECT *, cited AND role <> 'system' AS supported FROM items WHERE text <> ''),
 claims AS (SELECT *, n AS item_pos FROM kept),
-quiz AS (SELECT answer_id, row_number() OVER (PARTITION BY answer_id ORDER BY n) - 1 AS quiz_pos, left(text, 800) AS question, turn FROM items WHERE n < 8 AND text <> '' AND cited),
-lost AS (SELECT answer_id, count(*) AS n FROM items WHERE n < 8 AND text <> '' AND NOT cited GROUP BY ALL)
+quiz AS (SELECT answer_id, row_number() OVER (PARTITION BY answer_id ORDER BY n) - 1 AS quiz_pos, text AS question, turn FROM items WHERE text <> '' AND cited),
+lost AS (SELECT answer_id, count(*) AS n FROM items WHERE text <> '' AND NOT cited GROUP BY ALL)
 """
 
 
@@ -397,9 +397,9 @@ def normalize_answers(t):
 
 QUERIES["normalize_answers"] = tables(normalize_answers)
 ORACLES["normalize_answers"] = f"""
-WITH s AS (SELECT conv_id AS answer_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS sp, text FROM conversations WHERE role = 'assistant' QUALIFY sp <= 8),
-c AS (SELECT answer_id, turn, sp, unnest(ls[1:8]) AS raw, unnest(range(len(ls[1:8]))) AS cp FROM (SELECT *, string_split(text, chr(10)) AS ls FROM s)),
-n AS (SELECT answer_id, turn, sp, cp, left({norm('raw')}, 1600) AS text FROM c),
+WITH s AS (SELECT conv_id AS answer_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS sp, text FROM conversations WHERE role = 'assistant'),
+c AS (SELECT answer_id, turn, sp, unnest(ls) AS raw, unnest(range(len(ls))) AS cp FROM (SELECT *, string_split(text, chr(10)) AS ls FROM s)),
+n AS (SELECT answer_id, turn, sp, cp, {norm('raw')} AS text FROM c),
 k AS (SELECT * FROM n WHERE text <> ''),
 f AS (SELECT answer_id, min(sp) AS sp FROM k GROUP BY ALL),
 added AS (SELECT k.answer_id, any_value(k.turn) AS turn, k.sp, -1::BIGINT AS cp, '{A.ADDED_CLAIM}' AS text FROM k JOIN f USING (answer_id, sp) WHERE k.answer_id % 4 = 3 GROUP BY ALL),
@@ -410,13 +410,13 @@ SELECT answer_id, 'claim-' || dense_rank() OVER (PARTITION BY answer_id ORDER BY
 
 
 def history_window(t):
-    return A.history_window(t("conversations"), 5, 400).select("conv_id", "turn", "role", F.md5("content").alias("digest"))
+    return A.history_window(t("conversations"), 5).select("conv_id", "turn", "role", F.md5("content").alias("digest"))
 
 
 QUERIES["history_window"] = tables(history_window)
 ORACLES["history_window"] = f"""
 WITH l AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5),
-n AS (SELECT conv_id, turn, role, left({norm('text')}, 400) AS content FROM l WHERE role IN ('user', 'assistant'))
+n AS (SELECT conv_id, turn, role, {norm('text')} AS content FROM l WHERE role IN ('user', 'assistant'))
 SELECT conv_id, turn, role, md5(content) AS digest FROM n WHERE content <> ''
 """
 
@@ -427,7 +427,7 @@ def assemble_prompts(t):
     queries = t("conversations").filter("turn = 0").select(
         F.col("conv_id").alias("query_id"), "text", (F.col("conv_id") % 2 == 0).alias("grounding"))
     contexts = t("conversations").filter("role = 'system'").select(F.col("conv_id").alias("query_id"), F.col("text").alias("context")).dropDuplicates(["query_id"])
-    history = A.pack_history(A.history_window(t("conversations"), 4, 400, strip=False))
+    history = A.pack_history(A.history_window(t("conversations"), 4, strip=False))
     out = evidence.assemble_prompts(queries, contexts, history, "Answer from the evidence.")
     return out.select("query_id", "error_code", F.size("messages").cast("bigint").alias("n_messages"), F.md5(F.to_json("messages")).alias("digest"))
 
@@ -439,7 +439,7 @@ ORACLES["assemble_prompts"] = f"""
 WITH q AS (SELECT conv_id, text, conv_id % 2 = 0 AS grounding FROM conversations WHERE turn = 0),
 c AS (SELECT conv_id, any_value(text) AS context FROM conversations WHERE role = 'system' GROUP BY ALL),
 l AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4),
-h AS (SELECT conv_id, turn, role, left({norm('text')}, 400) AS content FROM l WHERE role IN ('user', 'assistant')),
+h AS (SELECT conv_id, turn, role, {norm('text')} AS content FROM l WHERE role IN ('user', 'assistant')),
 hs AS (SELECT conv_id, list({{'role': role, 'content': content}} ORDER BY turn) AS turns FROM h WHERE content <> '' GROUP BY ALL),
 m AS (SELECT q.conv_id, grounding AND context IS NULL AS missing, list_concat(list_concat([{{'role': 'system', 'content': 'Answer from the evidence.' || CASE WHEN grounding THEN chr(10) || chr(10) || context ELSE '' END}}],
   coalesce(turns, [])), [{{'role': 'user', 'content': text}}]) AS msgs FROM q LEFT JOIN c USING (conv_id) LEFT JOIN hs USING (conv_id))

@@ -103,8 +103,8 @@ WITH d AS (SELECT DISTINCT conv_id AS k, CASE WHEN conv_id % 2 = 0 THEN 'force'
 z AS (SELECT *, CASE WHEN k % 13 = 6 THEN 'INVALID_OCR_MANIFEST' WHEN k % 11 = 3 THEN 'OCR_MANIFEST_REQUIRED' WHEN k % 17 = 7 THEN 'OCR_MODE_MISMATCH'
   WHEN k % 7 = 5 THEN 'INVALID_NATIVE_PAGE' WHEN mode = 'force' AND k % 6 = 4 THEN 'INCOMPLETE_FULL_PAGE_OCR' END AS err FROM d),
 p AS (SELECT z.*, turn, text FROM z JOIN conversations ON conv_id = k WHERE err IS NULL)
-SELECT k AS doc_id, 'page' AS part, (turn + 1)::INTEGER AS number, mode AS note, least(greatest(turn * 40 - 20, 0), 100)::DOUBLE AS confidence, md5(left({norm('text')} || chr(10) || 'scan', 15000)) AS digest FROM p
-UNION ALL SELECT k, 'native', (turn + 1)::INTEGER, 'page', NULL, md5(left({norm('text')}, 15000)) FROM p
+SELECT k AS doc_id, 'page' AS part, (turn + 1)::INTEGER AS number, mode AS note, least(greatest(turn * 40 - 20, 0), 100)::DOUBLE AS confidence, md5({norm('text')} || chr(10) || 'scan') AS digest FROM p
+UNION ALL SELECT k, 'native', (turn + 1)::INTEGER, 'page', NULL, md5({norm('text')}) FROM p
 UNION ALL SELECT k, 'error', NULL, err, NULL, NULL FROM z WHERE err IS NOT NULL
 """
 
@@ -252,16 +252,17 @@ SELECT event_id::VARCHAR AS event_id, strftime(make_timestamp(epoch_us(ts) // 10
 # ---- scalars -----------------------------------------------------------------------
 def redact_secrets(t):
     body = F.create_map(F.lit("apiKey"), F.col("value").cast("string"), F.lit("text"), F.concat(F.lit("key sk-"), F.sha2("props", 256), F.lit(" end")),
-                        F.lit("note"), F.concat(F.lit("Bearer "), F.sha2("props", 256)), F.lit("Access-Token"), F.lit("x"))
+                        F.lit("note"), F.concat(F.lit("Bearer "), F.sha2("props", 256)), F.lit("Access-Token"), F.lit("x"),
+                        F.lit("payload"), F.to_json(F.struct(F.struct(F.col("props").alias("apiKey"), F.col("event_type").alias("kind")).alias("deep"), F.array(F.struct(F.col("props").alias("password"))).alias("list"))))
     log = t("events").select(F.col("event_id").alias("id"), T.redact_map(body).alias("m"))
     docs = t("documents").select((-F.col("doc_id") - 1).alias("id"), F.md5(T.redact_text("text")).alias("body"))
-    return log.select("id", F.concat_ws("|", F.col("m")["apiKey"], F.col("m")["text"], F.col("m")["note"], F.col("m")["Access-Token"]).alias("body")).unionByName(docs)
+    return log.select("id", F.concat_ws("|", F.col("m")["apiKey"], F.col("m")["text"], F.col("m")["note"], F.col("m")["Access-Token"], F.col("m")["payload"]).alias("body")).unionByName(docs)
 
 
 QUERIES["redact_secrets"] = tables(redact_secrets)
 ORACLES["redact_secrets"] = """
-SELECT event_id AS id, '[REDACTED]|key [REDACTED] end|[REDACTED]|[REDACTED]' AS body FROM events
-UNION ALL SELECT -doc_id - 1, md5(regexp_replace(regexp_replace(left(text, 100000), '(?i)\\bBearer\\s+[A-Za-z0-9._~+/=-]{8,}', '[REDACTED]', 'g'), '(?i)\\bsk-[A-Za-z0-9_-]{8,}', '[REDACTED]', 'g')) FROM documents
+SELECT event_id AS id, '[REDACTED]|key [REDACTED] end|[REDACTED]|[REDACTED]|{"deep":{"apiKey":"[REDACTED]","kind":"' || event_type || '"},"list":[{"password":"[REDACTED]"}]}' AS body FROM events
+UNION ALL SELECT -doc_id - 1, md5(regexp_replace(regexp_replace(text, '(?i)\\bBearer\\s+[A-Za-z0-9._~+/=-]{8,}', '[REDACTED]', 'g'), '(?i)\\bsk-[A-Za-z0-9_-]{8,}', '[REDACTED]', 'g')) FROM documents
 """
 
 
@@ -281,8 +282,8 @@ def safe_identifier(t):
 
 QUERIES["safe_identifier"] = tables(safe_identifier)
 ORACLES["safe_identifier"] = """
-SELECT page_id, coalesce(nullif(left(regexp_replace(url, '[^A-Za-z0-9_-]', '', 'g'), 96), ''), 'anonymous') AS id,
-  coalesce(nullif(left(regexp_replace(regexp_replace(url, '[a-zA-Z0-9]', '', 'g'), '[^A-Za-z0-9_-]', '', 'g'), 96), ''), 'untracked') AS rest FROM pages
+SELECT page_id, coalesce(nullif(regexp_replace(url, '[^A-Za-z0-9_-]', '', 'g'), ''), 'anonymous') AS id,
+  coalesce(nullif(regexp_replace(regexp_replace(url, '[a-zA-Z0-9]', '', 'g'), '[^A-Za-z0-9_-]', '', 'g'), ''), 'untracked') AS rest FROM pages
 """
 
 
@@ -300,7 +301,7 @@ SELECT conv_id, turn, md5({norm("text")} || ', then' || chr(10) || 'more. End')
 
 def canonical_text(t):
     wide = F.translate("text", "abcABC019", "ａｂｃＡＢＣ０１９")
-    return t("documents").select("doc_id", F.md5(T.canonical_text(wide, 100_000)).alias("digest"))
+    return t("documents").select("doc_id", F.md5(T.canonical_text(wide)).alias("digest"))
 
 
 QUERIES["canonical_text"] = tables(canonical_text)

@@ -18,12 +18,12 @@ class Config:
     chunk_size: int = 1_200
     chunk_overlap: int = 160
     index_version: int = 5
-    # OCR manifest budgets
-    ocr_max_pages: int = 120
-    ocr_page_chars: int = 15_000
-    ocr_total_chars: int = 250_000
-    ocr_max_manifest_bytes: int = 3 * 1024 * 1024
-    ocr_max_visuals: int = 6
+    # OCR manifest budgets; None takes manifests of any size
+    ocr_max_pages: int | None = None
+    ocr_page_chars: int | None = None
+    ocr_total_chars: int | None = None
+    ocr_max_manifest_bytes: int | None = None
+    ocr_max_visuals: int | None = None
     ocr_max_visual_url: int = 200_000
     ocr_min_confidence: float = 35.0
     auto_ocr_chars: int = 48

@@ -41,6 +41,11 @@ def trim_ws(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
 
 
+def cut(c: Column | str, limit: int | None) -> Column:
+    """The first ``limit`` characters; the whole text without a limit."""
+    return col(c) if limit is None else F.substring(col(c), 1, limit)
+
+
 def word(pattern: str) -> str:
     """ASCII word boundaries on both sides of ``pattern``."""
     return rf"(?<![A-Za-z0-9_])(?:{pattern})(?![A-Za-z0-9_])"

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from evidar.config import DEFAULT, Config
 from evidar.functions.expr import (
-    SPACE, clamp, col, empty_strings, first_match, let, one_of, trim_ws, word,
+    SPACE, clamp, col, cut, empty_strings, first_match, let, one_of, trim_ws, word,
 )
 
 # ---- fixed values: word lists and patterns that decide the results ----------
@@ -92,9 +94,9 @@ def nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
-def canonical_text(c: Column | str, limit: int = 8_000) -> Column:
-    """Compatibility-normalised text, white space unified, cut to ``limit``."""
-    return F.substring(normalize_ws(nfkc(col(c))), 1, limit)
+def canonical_text(c: Column | str, limit: int | None = None) -> Column:
+    """Compatibility-normalised text, white space unified, cut to ``limit`` where one is given."""
+    return cut(normalize_ws(nfkc(col(c))), limit)
 
 
 def infer_title(c: Column | str, fallback: Column) -> Column:
@@ -228,18 +230,59 @@ def strip_attribution(c: Column | str) -> Column:
     return strip_attribution_normalized(canonical_text(c))
 
 
-def redact_text(c: Column | str, limit: int = 100_000) -> Column:
+def redact_text(c: Column | str, limit: int | None = None) -> Column:
     """Replace credential-shaped values in free text."""
-    text = F.substring(col(c), 1, limit)
+    text = cut(c, limit)
     for pattern in SECRET_VALUES:
         text = F.regexp_replace(text, pattern, REDACTED)
     return text
 
 
+def _without_secrets(text: str | None) -> str | None:
+    """JSON text whose credential-named keys lose their value at every depth; any other text as it is."""
+    if not text or text.lstrip()[:1] not in ("{", "["):
+        return text
+    try:
+        body = json.loads(text)
+    except (ValueError, RecursionError):
+        return text
+    found, todo = False, [body]
+    while todo:
+        node = todo.pop()
+        entries = node.items() if isinstance(node, dict) else enumerate(node)
+        for key, value in list(entries):
+            if isinstance(key, str) and re.search(SECRET_KEY, key):
+                node[key], found = REDACTED, True
+            elif isinstance(value, (dict, list)):
+                todo.append(value)
+            elif isinstance(value, str) and (inner := _without_secrets(value)) != value:
+                node[key], found = inner, True
+    return json.dumps(body, ensure_ascii=False, separators=(",", ":")) if found else text
+
+
+@F.pandas_udf(StringType())
+def _keys_redacted(values: pd.Series) -> pd.Series:
+    return values.map(_without_secrets, na_action="ignore")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _all_keys_redacted(values: pd.Series) -> pd.Series:
+    return values.map(lambda texts: None if texts is None else [_without_secrets(t) for t in texts])
+
+
+def redact_json(c: Column | str) -> Column:
+    """P28 on JSON text: credential-named keys lose their value at every depth, also in JSON held as text; then ``redact_text``.
+
+    Text that is not JSON, or holds no such key, only passes through ``redact_text``.
+    """
+    return redact_text(_keys_redacted(col(c)))
+
+
 def redact_map(c: Column | str) -> Column:
-    """P28 on a string map: credential-named keys lose their value."""
+    """P28 on a string map: credential-named keys lose their value, values that are JSON lose theirs at every depth."""
+    values = _all_keys_redacted(F.map_values(col(c)))
     return F.transform_values(
-        col(c),
+        F.map_from_arrays(F.map_keys(col(c)), values),
         lambda k, v: F.when(k.rlike(SECRET_KEY), F.lit(REDACTED)).otherwise(redact_text(v)),
     )
 
@@ -250,9 +293,9 @@ def sanitize_metadata(c: Column | str) -> Column:
     return F.transform_values(kept, lambda k, v: redact_text(v))
 
 
-def safe_identifier(c: Column | str, fallback: str | Column, limit: int = 96) -> Column:
+def safe_identifier(c: Column | str, fallback: str | Column, limit: int | None = None) -> Column:
     """Letters, digits, underscore and hyphen only; a fallback when nothing remains."""
-    kept = F.substring(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"[^A-Za-z0-9_-]", ""), 1, limit)
+    kept = cut(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"[^A-Za-z0-9_-]", ""), limit)
     return F.coalesce(F.nullif(kept, F.lit("")), fallback if isinstance(fallback, Column) else F.lit(fallback))
 
 

@@ -2,16 +2,39 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidar.functions.expr import col, let, trim_ws, word
+from evidar.functions.expr import col, cut, let, trim_ws, word
 from evidar.functions.terms import HYPOTHETICAL_LABEL, LECTURE_LABEL
 from evidar.functions.text import canonical_text, normalize_ws, strip_attribution, wants_example
 from evidar.operators.ranking import top_k
 
+
+@dataclass(frozen=True)
+class AnswerLimits:
+    """Entries kept of each list and characters kept of each text of an answer; None keeps everything."""
+
+    sections: int | None = None
+    items: int | None = None
+    quiz: int | None = None
+    suggestions: int | None = None
+    summary: int | None = None
+    heading: int | None = None
+    text: int | None = None
+    question: int | None = None
+    answer: int | None = None
+    explanation: int | None = None
+    refusal: int | None = None
+    suggestion: int | None = None
+
+
 # ---- fixed values: limits, texts and patterns ---------------------------------
-SECTIONS, ITEMS, CLAIMS, QUIZ, SUGGESTIONS = 8, 12, 8, 8, 3
+#: What a screen shows of a tutor's answer, and of a core answer of a study.
+SCREEN_LIMITS = AnswerLimits(8, 12, 8, 3, 1_000, 120, 2_000, 800, 1_200, 1_600, 800, 180)
+CORE_LIMITS = AnswerLimits(sections=8, items=8, summary=1_200, heading=160, text=1_600)
 DIFFICULTIES = ["基础", "进阶", "应用"]
 DEFAULT_HEADING, UNSUPPORTED = "核心内容", "当前课件未提及："
 STRUCTURED_JSON = (
@@ -35,8 +58,13 @@ ADDED_CLAIM = f"{HYPOTHETICAL_LABEL} Suppose the following data and constraints
 # ---- end of fixed values -------------------------------------------------------
 
 
-def _clean(c: Column | str, limit: int) -> Column:
-    return F.substring(trim_ws(F.coalesce(col(c), F.lit(""))), 1, limit)
+def _clean(c: Column | str, limit: int | None) -> Column:
+    return cut(trim_ws(F.coalesce(col(c), F.lit(""))), limit)
+
+
+def _first(entries: Column, limit: int | None) -> Column:
+    kept = F.coalesce(entries, F.array())
+    return kept if limit is None else F.slice(kept, 1, limit)
 
 
 def _valid_ids(citations: Column, known: Column) -> Column:
@@ -45,11 +73,13 @@ def _valid_ids(citations: Column, known: Column) -> Column:
     return F.filter(F.array_distinct(F.transform(whole, lambda v: v.cast("int"))), lambda i: F.array_contains(known, i))
 
 
-def parse_structured(raw: DataFrame, sources: DataFrame, require: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+def parse_structured(
+    raw: DataFrame, sources: DataFrame, require: bool = True, limits: AnswerLimits = AnswerLimits()
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Answers, their claims and their quiz rows.
 
     ``raw``: answer_id, mode, json.  ``sources``: answer_id, source_id (few per answer).
-    Answers that cannot be read, or hold nothing, give no row.
+    Answers that cannot be read, or hold nothing, give no row. Nothing is cut unless ``limits`` says so.
     """
     ids = sources.groupBy("answer_id").agg(F.collect_set(F.col("source_id").cast("int")).alias("_known"))
     parsed = (
@@ -61,13 +91,13 @@ def parse_structured(raw: DataFrame, sources: DataFrame, require: bool = True) -
     def clean_item(item: Column) -> Column:
         cited = _valid_ids(item["citations"], F.col("_known"))
         return let(cited, lambda c: F.struct(
-            _clean(item["text"], 2_000).alias("text"), c.alias("citations"),
+            _clean(item["text"], limits.text).alias("text"), c.alias("citations"),
             (F.coalesce(item["supported"] != "false", F.lit(True)) & (F.lit(not require) | (F.size(c) > 0))).alias("supported"),
         ))
 
     def clean_section(section: Column) -> Column:
-        heading = _clean(section["heading"], 120)
-        items = F.slice(F.coalesce(section["items"], F.array()), 1, ITEMS)
+        heading = _clean(section["heading"], limits.heading)
+        items = _first(section["items"], limits.items)
         return F.struct(
             F.when(heading == "", DEFAULT_HEADING).otherwise(heading).alias("heading"),
             F.filter(F.transform(items, clean_item), lambda i: i["text"] != "").alias("items"),
@@ -75,24 +105,24 @@ def parse_structured(raw: DataFrame, sources: DataFrame, require: bool = True) -
 
     def clean_quiz(item: Column) -> Column:
         return F.struct(
-            _clean(item["question"], 800).alias("question"),
+            _clean(item["question"], limits.question).alias("question"),
             F.when(item["difficulty"].isin(DIFFICULTIES), item["difficulty"]).otherwise(DIFFICULTIES[0]).alias("difficulty"),
-            _clean(item["answer"], 1_200).alias("answer"), _clean(item["explanation"], 1_600).alias("explanation"),
+            _clean(item["answer"], limits.answer).alias("answer"), _clean(item["explanation"], limits.explanation).alias("explanation"),
             _valid_ids(item["citations"], F.col("_known")).alias("citations"),
         )
 
     j = F.col("_j")
     sections = F.filter(
-        F.transform(F.slice(F.coalesce(j["sections"], F.array()), 1, SECTIONS), clean_section), lambda s: F.size(s["items"]) > 0)
+        F.transform(_first(j["sections"], limits.sections), clean_section), lambda s: F.size(s["items"]) > 0)
     quiz = F.filter(
-        F.transform(F.slice(F.coalesce(j["quiz"], F.array()), 1, QUIZ), clean_quiz),
+        F.transform(_first(j["quiz"], limits.quiz), clean_quiz),
         lambda q: (q["question"] != "") & (q["answer"] != ""))
-    suggested = F.slice(F.filter(
-        F.transform(F.coalesce(j["suggestedQuestions"], F.array().cast("array<string>")), lambda s: _clean(s, 180)),
-        lambda s: s != ""), 1, SUGGESTIONS)
+    suggested = _first(F.filter(
+        F.transform(F.coalesce(j["suggestedQuestions"], F.array().cast("array<string>")), lambda s: _clean(s, limits.suggestion)),
+        lambda s: s != ""), limits.suggestions)
     staged = parsed.select(
-        "answer_id", "mode", _clean(j["summary"], 1_000).alias("summary"), sections.alias("_sections"), quiz.alias("_all_quiz"),
-        _clean(j["partialRefusal"], 800).alias("_refusal"), suggested.alias("suggested"),
+        "answer_id", "mode", _clean(j["summary"], limits.summary).alias("summary"), sections.alias("_sections"), quiz.alias("_all_quiz"),
+        _clean(j["partialRefusal"], limits.refusal).alias("_refusal"), suggested.alias("suggested"),
     )
     kept_quiz = F.filter("_all_quiz", lambda q: F.size(q["citations"]) > 0) if require else F.col("_all_quiz")
     staged = staged.withColumn("_quiz", kept_quiz)
@@ -132,7 +162,7 @@ def _suffix(citations: Column) -> Column:
 
 
 def render_markdown(answers: DataFrame, claims: DataFrame, quiz: DataFrame) -> DataFrame:
-    """Markdown text of each answer (at most a hundred short lines)."""
+    """Markdown text of each answer, in one row like the answer it comes from."""
     line = lambda part, pos, sub, text: [F.lit(part).alias("part"), pos.alias("pos"), sub.alias("sub"), text.alias("line")]
     zero = F.lit(0)
     heads = claims.select("answer_id", "section_pos", "heading").distinct().select(
@@ -156,7 +186,7 @@ def render_markdown(answers: DataFrame, claims: DataFrame, quiz: DataFrame) -> D
     return rows.groupBy("answer_id").agg(trim_ws(text).alias("content"))
 
 
-def normalize_answers(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+def normalize_answers(raw: DataFrame, limits: AnswerLimits = AnswerLimits()) -> tuple[DataFrame, DataFrame]:
     """Core answers and claims from model JSON, with example provenance made explicit.
 
     ``raw``: answer_id, json, question, grounding.  Returns answers (summary, core_hash, content)
@@ -164,13 +194,13 @@ def normalize_answers(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     bare = F.regexp_replace(F.regexp_replace(trim_ws(F.col("json")), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")
     parsed = raw.withColumn("_j", F.from_json(bare, CORE_JSON)).filter("_j IS NOT NULL")
-    told = parsed.select("answer_id", "question", "grounding", canonical_text(F.coalesce("_j.summary", F.lit("")), 1_200).alias("summary"))
-    drafts = parsed.select("answer_id", F.posexplode(F.slice(F.coalesce("_j.sections", F.array()), 1, SECTIONS)).alias("s", "section"))
-    rows = drafts.select("answer_id", "s", "section.heading", F.posexplode(F.slice("section.claims", 1, CLAIMS)).alias("c", "claim"))
+    told = parsed.select("answer_id", "question", "grounding", canonical_text(F.coalesce("_j.summary", F.lit("")), limits.summary).alias("summary"))
+    drafts = parsed.select("answer_id", F.posexplode(_first(F.col("_j.sections"), limits.sections)).alias("s", "section"))
+    rows = drafts.select("answer_id", "s", "section.heading", F.posexplode(_first(F.col("section.claims"), limits.items)).alias("c", "claim"))
     # A claim is a string or an object with a text.
     own = F.when(F.col("claim").startswith("{"), F.coalesce(F.get_json_object("claim", "$.text"), F.lit(""))).otherwise(F.col("claim"))
-    rows = rows.withColumn("text", own).withColumn("text", canonical_text("text", 1_600)).filter("text <> ''").withColumn(
-        "heading", canonical_text(F.coalesce("heading", F.lit("")), 160)
+    rows = rows.withColumn("text", own).withColumn("text", canonical_text("text", limits.text)).filter("text <> ''").withColumn(
+        "heading", canonical_text(F.coalesce("heading", F.lit("")), limits.heading)
     ).withColumn("heading", F.when(F.col("heading") == "", F.concat(F.lit("Section "), (F.col("s") + 1).cast("string"))).otherwise(F.col("heading")))
 
     def soften(c: str) -> Column:
@@ -201,7 +231,7 @@ def normalize_answers(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.coalesce("heading", F.lit("Illustrative example")).alias("heading"))
     rows = rows.select("answer_id", "s", "c", "text", "heading").unionByName(added)
 
-    # At most 8 x 9 claims per answer: numbered and hashed inside one row.
+    # The claims of an answer came in one text: numbered and hashed inside one row.
     grouped = rows.groupBy("answer_id", "s").agg(
         F.max("heading").alias("heading"), F.sort_array(F.collect_list(F.struct("c", "text")))["text"].alias("texts"))
     packed = grouped.groupBy("answer_id").agg(F.sort_array(F.collect_list(F.struct("s", "heading", "texts"))).alias("_sections"))
@@ -227,17 +257,18 @@ def normalize_answers(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return answers, claims
 
 
-def history_window(turns: DataFrame, n: int = 20, limit: int = 6_000, strip: bool = True) -> DataFrame:
+def history_window(turns: DataFrame, n: int = 20, limit: int | None = None, strip: bool = True) -> DataFrame:
     """The last ``n`` turns, then the usable ones among them, in order.
 
-    ``turns``: conv_id, turn, role, text.  Without ``strip`` only white space is unified.
+    ``turns``: conv_id, turn, role, text.  Without ``strip`` only white space is unified; texts are
+    cut to ``limit`` characters where one is given.
     """
     last = top_k(turns, ["conv_id"], [F.col("turn").desc()], n, "_back").drop("_back")
     talk = last.filter(F.col("role").isin("user", "assistant"))
     if strip:
-        plain = F.when(F.col("role") == "assistant", F.substring(strip_attribution("text"), 1, limit)).otherwise(canonical_text("text", limit))
+        plain = F.when(F.col("role") == "assistant", cut(strip_attribution("text"), limit)).otherwise(canonical_text("text", limit))
     else:
-        plain = F.substring(normalize_ws("text"), 1, limit)
+        plain = cut(normalize_ws("text"), limit)
     return talk.withColumn("content", plain).filter("content <> ''").select("conv_id", "turn", "role", "content")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from evidar.config import DEFAULT, Config
 from evidar.functions.expr import half_up, safe_number
+from evidar.functions.text import redact_json
 from evidar.operators.ranking import top_k
 from evidar.operators.slices import carry, number_slice, time_slice
 from evidar.session import saved
@@ -179,12 +180,13 @@ def ingest_events(arrivals: DataFrame, sessions: DataFrame, log: DataFrame | Non
     accepted arrival of each client id, the first undecided arrival at or after the deadline, and the
     number of accepted arrivals before. The first two are minima, the third a running count.
 
-    ``arrivals``: study_id, arrival_ts, arrival_seq, client_event_id, type, client_ts, elapsed_ms, data.
+    ``arrivals``: study_id, arrival_ts, arrival_seq, client_event_id, type, client_ts, elapsed_ms, data (JSON text; P28 takes
+    credentials out of it).
     ``sessions``: study_id, status, started_at, scheduled_end_at, completion_reason.
     ``log``: events already accepted (study_id, client_event_id, sequence).
     """
     pos = F.struct("arrival_ts", "arrival_seq")
-    base = arrivals.withColumn("client_event_id", client_id("client_event_id")).withColumn(
+    base = arrivals.withColumn("data", redact_json("data")).withColumn("client_event_id", client_id("client_event_id")).withColumn(
         "type", F.lower(F.trim("type"))).withColumn("_valid", F.coalesce(F.col("type").rlike(EVENT_TYPE), F.lit(False)))
     joined = base.join(
         sessions.select("study_id", "status", "started_at", "scheduled_end_at", "completion_reason"), "study_id", "left")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidar.config import DEFAULT, Config
-from evidar.functions.expr import clamp, first_match, half_up, let, safe_number
+from evidar.functions.expr import clamp, cut, first_match, half_up, let, safe_number
 from evidar.functions.text import normalize_ws
 from evidar.session import saved
 
@@ -24,7 +24,11 @@ MANIFEST_JSON = (
 
 def _whole(c: Column, cfg: Config) -> Column:
     """Integer page number in range, NULL otherwise."""
-    return let(safe_number(c), lambda v: F.when((v == F.floor(v)) & v.between(1, cfg.ocr_max_pages), v.cast("int")))
+    return let(safe_number(c), lambda v: F.when((v == F.floor(v)) & v.between(1, cfg.ocr_max_pages or 2**31 - 1), v.cast("int")))
+
+
+def _above(size: Column, limit: int | None) -> Column:
+    return F.lit(False) if limit is None else size > limit
 
 
 def _first_problem(entries: Column, bad_number: str, too_large: str, cfg: Config) -> Column:
@@ -35,7 +39,7 @@ def _first_problem(entries: Column, bad_number: str, too_large: str, cfg: Config
         code = first_match([
             (state["code"] != "", state["code"]),
             (e["number"].isNull() | F.array_contains(state["seen"], F.coalesce(e["number"], F.lit(-1))), bad_number),
-            (total > cfg.ocr_total_chars, too_large),
+            (_above(total, cfg.ocr_total_chars), too_large),
         ], "")
         return F.struct(F.array_append(state["seen"], F.coalesce(e["number"], F.lit(-1))).alias("seen"), total.alias("total"), code.alias("code"))
 
@@ -56,14 +60,14 @@ def read_manifests(
     def page(p: Column) -> Column:
         return F.struct(
             _whole(p["number"], cfg).alias("number"),
-            F.substring(normalize_ws(F.coalesce(p["text"], F.lit(""))), 1, cfg.ocr_page_chars).alias("text"),
+            cut(normalize_ws(F.coalesce(p["text"], F.lit(""))), cfg.ocr_page_chars).alias("text"),
             F.coalesce(clamp(safe_number(p["confidence"]), 0.0, 100.0), F.lit(0.0)).alias("confidence"),
             F.coalesce(clamp(safe_number(p["durationMs"]), 0.0, 300_000.0), F.lit(0.0)).alias("duration_ms"),
             F.when(p["status"] == "failed", "failed").otherwise("success").alias("status"))
 
     def native(p: Column) -> Column:
         return F.struct(_whole(p["number"], cfg).alias("number"),
-                        F.substring(normalize_ws(F.coalesce(p["text"], F.lit(""))), 1, cfg.ocr_page_chars).alias("text"))
+                        cut(normalize_ws(F.coalesce(p["text"], F.lit(""))), cfg.ocr_page_chars).alias("text"))
 
     def coordinate(c: Column) -> Column:
         return clamp(half_up(F.coalesce(safe_number(c), F.lit(0.0))), 0, 20_000).cast("int")
@@ -81,11 +85,13 @@ def read_manifests(
             (number.isNotNull() & url.rlike(IMAGE_URL) & (F.length(url) <= cfg.ocr_max_visual_url)).alias("valid"))
 
     none = F.lit("none")
+    shown = F.coalesce(m["visuals"], F.array())
+    shown = shown if cfg.ocr_max_visuals is None else F.slice(shown, 1, cfg.ocr_max_visuals)
     base = base.select(
         "doc_id", "_mode", "_raw", "m", F.transform(m["pages"], page).alias("_pages"),
         F.transform(F.coalesce(m["nativePages"], F.array()), native).alias("_native"),
         F.when(m["mode"] == none, F.array()).otherwise(
-            F.transform(F.slice(F.coalesce(m["visuals"], F.array()), 1, cfg.ocr_max_visuals), visual)).alias("_visuals"))
+            F.transform(shown, visual)).alias("_visuals"))
     contiguous = lambda c: F.array_sort(F.transform(c, lambda e: e["number"])) == F.when(
         F.size(c) > 0, F.sequence(F.lit(1), F.size(c))).otherwise(F.array().cast("array<int>"))
     n_pages, n_native = F.size("_pages"), F.size("_native")
@@ -94,9 +100,9 @@ def read_manifests(
         & F.coalesce(m["sourceType"].isin(SOURCE_TYPES), F.lit(False)) & F.coalesce(m["mode"].isin(MODES), F.lit(False)) & m["pages"].isNotNull()
     )
     complete = (n_pages == n_native) & (n_pages == F.coalesce(safe_number(m["inspectedPageCount"]), F.lit(-1.0))) & contiguous(F.col("_pages")) & contiguous(F.col("_native"))
-    counts = (n_pages > cfg.ocr_max_pages) | ((m["mode"] == "force") & (n_pages == 0)) | ((m["mode"] == none) & (n_pages > 0))
+    counts = _above(n_pages, cfg.ocr_max_pages) | ((m["mode"] == "force") & (n_pages == 0)) | ((m["mode"] == none) & (n_pages > 0))
     early = first_match([
-        (F.octet_length("_raw") > cfg.ocr_max_manifest_bytes, "OCR_MANIFEST_TOO_LARGE"),
+        (_above(F.octet_length("_raw"), cfg.ocr_max_manifest_bytes), "OCR_MANIFEST_TOO_LARGE"),
         (F.col("_raw").isNotNull() & F.try_parse_json("_raw").isNull(), "INVALID_OCR_MANIFEST"),
         (~known, "OCR_MANIFEST_REQUIRED"),
         (m["mode"] != F.col("_mode"), "OCR_MODE_MISMATCH"),
@@ -116,7 +122,6 @@ def read_manifests(
     )
     good = checked.filter("error_code IS NULL")
     errors = checked.filter("error_code IS NOT NULL").select("doc_id", "error_code")
-    # Page lists hold at most 120 entries per document.
     pages = good.select("doc_id", F.col("_mode").alias("mode"), F.inline("_pages"))
     natives = good.select("doc_id", F.when(F.col("source_type") == "pptx", "slide").otherwise("page").alias("type"), F.inline("_native"))
     visuals = good.select("doc_id", F.inline("_visuals")).drop("valid")

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from evidar.config import Config
 from evidar.operators import limits, procedure
 from evidar.operators import sessions as S
 from evidar.operators import workspaces as W
@@ -218,12 +219,15 @@ def test_manifests(spark):
         "picture": _manifest(visuals=[{"id": "v", "number": 1, "imageDataUrl": "http://x"}]), "none": None,
     }
     df = spark.createDataFrame([(k, v, "none" if k == "none" else "force") for k, v in cases.items()], "doc_id string, json string, requested_mode string")
-    pages, natives, _, errors = read_manifests(df)
+    cfg = Config(ocr_max_pages=120, ocr_total_chars=250_000)
+    pages, natives, _, errors = read_manifests(df, cfg=cfg)
     assert rows(errors, "doc_id", "error_code") == [
         ("broken", "INVALID_OCR_MANIFEST"), ("dup", "INVALID_OCR_PAGE"), ("empty", "INVALID_OCR_PAGE_COUNT"), ("large", "OCR_TEXT_TOO_LARGE"),
         ("missing", "INCOMPLETE_FULL_PAGE_OCR"), ("old", "OCR_MANIFEST_REQUIRED"), ("picture", "INVALID_VISUAL_CANDIDATE")]
     assert rows(pages, "number", "text", "confidence", "duration_ms") == [(1, "a", 50.0, 0.0), (2, "b\nc", 100.0, 0.0)]
     assert natives.count() == 2
+    pages, _, _, errors = read_manifests(df)
+    assert rows(errors.filter("doc_id = 'large'"), "error_code") == [("INCOMPLETE_FULL_PAGE_OCR",)]
 
 
 def test_hooks(spark):

@@ -87,6 +87,23 @@ def test_redaction(spark):
     assert scalar(spark, T.redact_map(body)) == {"apiKey": "[REDACTED]", "note": "use [REDACTED] or [REDACTED] now"}
 
 
+def test_nested_redaction(spark):
+    body = F.create_map(F.lit("payload"), F.lit('{"apiKey":"hunter2","list":[{"Password":["a"]},{"n":1}]}'), F.lit("plain"), F.lit('{"n": 1}'), F.lit("none"), F.lit(None))
+    want = {"payload": '{"apiKey":"[REDACTED]","list":[{"Password":"[REDACTED]"},{"n":1}]}', "plain": '{"n": 1}', "none": None}
+    assert scalar(spark, T.redact_map(body)) == want
+    assert scalar(spark, T.redact_json(F.lit('{"a":"{\\"token\\":{\\"session_token\\":1}}","b":"Bearer abcdefgh1234"}'))) == (
+        '{"a":"{\\"token\\":{\\"session_token\\":\\"[REDACTED]\\"}}","b":"[REDACTED]"}')
+    assert [scalar(spark, T.redact_json(F.lit(t))) for t in ("{broken", "", None)] == ["{broken", "", None]
+    assert scalar(spark, T.redact_map(F.lit(None).cast("map<string,string>"))) is None
+
+
+def test_long_texts_are_kept_whole(spark):
+    long = F.repeat(F.lit("ab "), 100_000)
+    assert scalar(spark, F.length(T.canonical_text(long))) == 299_999
+    assert scalar(spark, F.length(T.redact_text(long))) == 300_000
+    assert scalar(spark, F.length(T.safe_identifier(long, "x"))) == 200_000
+
+
 def test_question_style(spark):
     style = lambda q: scalar(spark, T.question_style(F.lit(q)))
     assert [style("Define a relation"), style("Explain keys with an example"), style("Give a detailed account")] == ["brief", "normal", "detailed"]
