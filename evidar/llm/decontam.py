@@ -18,7 +18,10 @@ UNITS = (
 NUMBER, NAME, UNIT = "\uE000", "\uE001", "\uE002"
 NAME_RULE = r"([\p{L}\p{N},;:] )(\p{Lu}\p{Ll}+)"
 NUMBER_RULE = r"([0-9]+(?:[.,:/][0-9]+)*)"
-UNIT_RULE = rf"({NUMBER}[0-9.,:/]+)\s?({'|'.join(sorted(set(UNITS), key=lambda u: (-len(u), u)))})([^\p{{L}}]|$)"
+UNIT_WORDS = "|".join(sorted(set(UNITS), key=lambda u: (-len(u), u)))
+UNIT_RULE = rf"({NUMBER}[0-9.,:/]+)\s*({UNIT_WORDS})([^\p{{L}}]|$)"
+#: As the SQL has it: only a unit joined to its number.
+SQL_UNIT_RULE = rf"({NUMBER}[0-9.,:/]+)\s?({UNIT_WORDS})([^\p{{L}}]|$)"
 VALUE_RULE = rf"(?<=[{NAME}{UNIT}])\p{{L}}+|(?<={NUMBER})[0-9.,:/]+"
 TOKEN_RULE = rf"{NUMBER}[0-9.,:/]+|[{NAME}{UNIT}]?\p{{L}}+"
 
@@ -148,11 +151,11 @@ def _sql_text() -> str:
     for _ in range(2):
         x = rf"regexp_replace({x}, '{NAME_RULE}', '\1{NAME}\2', 'g')"
     x = rf"regexp_replace({x}, '{NUMBER_RULE}', ' {NUMBER}\1 ', 'g')"
-    return rf"lower(regexp_replace({x}, '{UNIT_RULE}', '\1 {UNIT}\2\3', 'g'))"
+    return rf"lower(regexp_replace({x}, '{SQL_UNIT_RULE}', '\1 {UNIT}\2\3', 'g'))"
 
 
 MARKS = f"('{NUMBER}', '{NAME}', '{UNIT}')"
-#: The same rule with windows as texts instead of hashes.
+#: The rule with windows as texts instead of hashes, without units written apart.
 OP9_SQL = rf"""
 WITH item_tokens AS (SELECT item_id AS id, regexp_extract_all({_sql_text()}, '{TOKEN_RULE}') AS t FROM benchmark),
 doc_tokens AS (SELECT doc_id AS id, regexp_extract_all({_sql_text()}, '{TOKEN_RULE}') AS t FROM documents WHERE text IS NOT NULL),
