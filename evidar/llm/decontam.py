@@ -78,9 +78,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest:
     """(doc_id, body_hash, item_id, n_windows, n_slots, exact): benchmark items found in documents, re-parameterised ones too.
 
     Both sides become templates: numbers, names and units are typed marks. Windows of ``window`` template tokens are hash-joined. Matched windows of
-    one document and item that have the same distance between their places are one alignment; its slots are consistent when item values and document
-    values map one to one (5 .. 5 to 7 .. 7, not to 7 .. 9). Only consistent alignments count; ``exact`` says that one of
-    them has all values unchanged.
+    one document and item that have the same distance between their places are one alignment; its slots are consistent when every item value
+    maps to one document value (5 .. 5 to 7 .. 7, not to 7 .. 9; 3 .. 5 to 4 .. 4 is). All windows of a consistent alignment count, and
+    of any other those with all their own values unchanged; ``exact`` says that a consistent alignment or such a window has all values unchanged.
 
     The first pass only tells which documents have a template window of any item. The benchmark's windows are written first; Spark
     broadcasts them when that table is under its limit and shuffles otherwise. Windows, slots and alignments are then
@@ -122,12 +122,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest:
     met = met.where(same).select(
         "doc_id", "body_hash", "item_id", (F.col("at") - F.col("start")).alias("shift"), "start", pairs.alias("slots")
     )
+    met = met.withColumn("same", F.forall("slots", lambda p: p["own"] == p["words"]))
+    flat = lambda slots: F.array_distinct(F.flatten(F.collect_list(slots)))
     aligned = met.groupBy("doc_id", "body_hash", "item_id", "shift").agg(
-        F.count(F.lit(1)).alias("n_windows"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots")
+        F.count(F.lit(1)).alias("n_all"), F.count_if("same").alias("n_same"), flat(F.col("slots")).alias("slots"), flat(F.when(F.col("same"), F.col("slots"))).alias("unchanged")
     )
-    values = lambda side: F.size(F.array_distinct(F.transform("slots", lambda p: p[side])))
-    aligned = aligned.where((values("own") == F.size("slots")) & (values("words") == F.size("slots")))
-    aligned = aligned.withColumn("exact", F.forall("slots", lambda p: p["own"] == p["words"]))
+    fits = F.size(F.array_distinct(F.transform("slots", lambda p: p["words"]))) == F.size("slots")
+    aligned = aligned.withColumn("n_windows", F.when(fits, F.col("n_all")).otherwise(F.col("n_same"))).where("n_windows > 0")
+    aligned = aligned.withColumn("exact", ~fits | (F.col("n_same") == F.col("n_all")))
+    aligned = aligned.withColumn("slots", F.when(fits, F.col("slots")).otherwise(F.col("unchanged")))
     return aligned.groupBy("doc_id", "body_hash", "item_id").agg(
         F.sum("n_windows").alias("n_windows"), F.max(F.size("slots")).cast("long").alias("n_slots"), F.max("exact").alias("exact")
     )
@@ -155,7 +158,7 @@ def _sql_text() -> str:
 
 
 MARKS = f"('{NUMBER}', '{NAME}', '{UNIT}')"
-#: The rule with windows as texts instead of hashes, without units written apart.
+#: The rule with windows as texts instead of hashes and slots one to one, without units written apart.
 OP9_SQL = rf"""
 WITH item_tokens AS (SELECT item_id AS id, regexp_extract_all({_sql_text()}, '{TOKEN_RULE}') AS t FROM benchmark),
 doc_tokens AS (SELECT doc_id AS id, regexp_extract_all({_sql_text()}, '{TOKEN_RULE}') AS t FROM documents WHERE text IS NOT NULL),

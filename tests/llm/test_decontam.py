@@ -14,3 +14,16 @@ def test_units_written_apart(spark):
     item = "Drive 60 km past the old mill, walk 5 hours to the red barn, carry 3 kg up the steep hill, wait 7 days"
     text = "Drive 60 miles past the old mill, walk 5 minutes to the red barn, carry 3 pounds up the steep hill, wait 7 weeks"
     assert found(spark, [item], [text, item, item.replace(" km", "km"), prose(1, 40)]) == [(0, 0, False), (1, 0, True), (2, 0, True)]
+
+
+def test_values_that_become_equal(spark):
+    item = "Take 3 apples and 5 pears, pay 3 coins, keep 5 plums"
+    texts = [item.replace("3", "4").replace("5", "4"), "Take 4 apples and 6 pears, pay 7 coins, keep 8 plums"]
+    assert found(spark, [item], texts) == [(0, 0, False)]
+
+
+def test_unchanged_windows_beside_a_clash(spark):
+    copied = "the sum of all the angles in any plain triangle is equal to two right ones"
+    item = f"In 3 towns {copied}, says 3 of them"
+    clash = f"In 4 towns {copied}, says 7 of them"
+    assert found(spark, [item], [clash, "In 4 towns of all says 7 of them"]) == [(0, 0, True)]
