@@ -23,6 +23,8 @@ UNIT_RULE = rf"({NUMBER}[0-9.,:/]+)\s*({UNIT_WORDS})([^\p{{L}}]|$)"
 #: As the SQL has it: only a unit joined to its number.
 SQL_UNIT_RULE = rf"({NUMBER}[0-9.,:/]+)\s?({UNIT_WORDS})([^\p{{L}}]|$)"
 VALUE_RULE = rf"(?<=[{NAME}{UNIT}])\p{{L}}+|(?<={NUMBER})[0-9.,:/]+"
+#: Letters of scripts that put no blanks between words; each is a token.
+UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
 TOKEN_RULE = rf"{NUMBER}[0-9.,:/]+|[{NAME}{UNIT}]?\p{{L}}+"
 
 
@@ -33,6 +35,7 @@ def marked(text: Column) -> Column:
     passes find names that follow each other.
     """
     clean = F.translate(F.coalesce(text.cast("string"), F.lit("")), NUMBER + NAME + UNIT, "   ")
+    clean = F.when(clean.rlike(UNSPACED), F.regexp_replace(clean, UNSPACED, " $1 ")).otherwise(clean)
     for _ in range(2):
         clean = F.regexp_replace(clean, NAME_RULE, f"$1{NAME}$2")
     numbers = F.regexp_replace(clean, NUMBER_RULE, f" {NUMBER}$1 ")
@@ -50,6 +53,11 @@ def template(token: Column) -> Column:
     return F.when(head.isin(NUMBER, NAME, UNIT), head).otherwise(token)
 
 
+def verbatim(token: Column) -> Column:
+    """A token with its value, told from every template."""
+    return F.concat(F.lit("="), F.translate(token, NUMBER + NAME + UNIT, ""))
+
+
 def _windows(hashes: Column, size: Column) -> Column:
     """Hash of every run of ``size`` token hashes; NULL when there are fewer."""
     last = F.size(hashes) - size
@@ -57,21 +65,20 @@ def _windows(hashes: Column, size: Column) -> Column:
 
 
 def _items(benchmark: DataFrame, window: int, shortest: int) -> DataFrame:
-    """(item_id, size, start, key, words): template windows of every item; an item shorter than a window is one window.
+    """(item_id, size, start, key, words, cut): windows of every item; an item shorter than a window is one window.
 
-    A window needs as many plain words as half its size, so that lists of numbers or names are no question.
+    A window of templates needs as many plain words as half its size, so that lists of numbers or names are no question. Any other window,
+    and an item of fewer than ``shortest`` tokens, is searched for word by word with its values.
     """
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(marked(F.col("text"))).alias("t"))
-    rows = rows.where(F.size("t") >= shortest).withColumn("size", F.least(F.size("t"), F.lit(window)))
-    rows = rows.withColumn("c", F.transform("t", template))
-    spread = rows.select("item_id", "size", "t", "c", F.explode(F.sequence(F.lit(0), F.size("t") - F.col("size"))).alias("start"))
-    spread = spread.select(
-        "item_id", "size", "start", F.slice("t", F.col("start") + 1, F.col("size")).alias("words"),
-        F.slice("c", F.col("start") + 1, F.col("size")).alias("template"),
-    )
-    plain = F.size(F.filter("template", lambda t: ~t.isin(NUMBER, NAME, UNIT)))
-    key = F.xxhash64(F.transform("template", lambda t: F.xxhash64(t)))
-    return spread.where(plain * 2 >= F.col("size")).withColumn("key", key)
+    rows = rows.where(F.size("t") > 0).withColumn("size", F.least(F.size("t"), F.lit(window))).withColumn("short", F.size("t") < shortest)
+    spread = rows.select("item_id", "size", "short", "t", F.explode(F.sequence(F.lit(0), F.size("t") - F.col("size"))).alias("start"))
+    spread = spread.select("item_id", "size", "short", "start", F.slice("t", F.col("start") + 1, F.col("size")).alias("words"))
+    spread = spread.withColumn("cut", F.transform("words", template))
+    plain = F.size(F.filter("cut", lambda t: ~t.isin(NUMBER, NAME, UNIT)))
+    spread = spread.withColumn("verbatim", F.col("short") | (plain * 2 < F.col("size")))
+    spread = spread.withColumn("cut", F.when(F.col("verbatim"), F.transform("words", verbatim)).otherwise(F.col("cut")))
+    return spread.withColumn("key", F.xxhash64(F.transform("cut", lambda t: F.xxhash64(t)))).drop("short")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest: int = SHORTEST) -> DataFrame:
@@ -84,12 +91,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest:
 
     The first pass only tells which documents have a template window of any item. The benchmark's windows are written first; Spark
     broadcasts them when that table is under its limit and shuffles otherwise. Windows, slots and alignments are then
-    only built for those documents. NULL texts and items of fewer than ``shortest`` tokens match nothing. Rows equal in id and text are one document.
+    only built for those documents. NULL texts and items without a token match nothing; items of fewer than ``shortest`` tokens and windows of
+    mostly values match only word by word with their values. Rows equal in id and text are one document.
     Alignments hold at most one row per window of an item, whatever the document's length.
     """
     items = stored(_items(benchmark, window, shortest), "items")
-    keys = stored(items.select("size", "key").distinct().coalesce(1), "keys")
-    sizes = [r["size"] for r in keys.select("size").distinct().collect()]
+    keys = stored(items.select("size", "key", "verbatim").distinct().coalesce(1), "keys")
+    sizes = [(r["size"], verbatim if r["verbatim"] else template) for r in keys.select("size", "verbatim").distinct().collect()]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.where("text IS NOT NULL").withColumn("body_hash", F.xxhash64("text"))
     empty = rows.select("doc_id", "body_hash", F.lit(None).cast("long").alias("item_id")).where("false")
@@ -97,27 +105,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest:
         counts = [F.lit(0).cast("long").alias("n_windows"), F.lit(0).cast("long").alias("n_slots"), F.lit(True).alias("exact")]
         return empty.select("*", *counts)
 
+    hashes = lambda t, rule: F.transform(t, lambda w: F.xxhash64(rule(w)))
     plain = F.regexp_replace(marked(F.col("text")), VALUE_RULE, "")
     words = F.filter(F.split(plain, rf"[^\p{{L}}{NUMBER}{NAME}{UNIT}]+"), lambda t: t != "")
-    hashed = rows.select("doc_id", "body_hash", F.transform(words, lambda t: F.xxhash64(t)).alias("h"))
     found = None
-    for size in sizes:
-        made = hashed.select("doc_id", "body_hash", F.explode(_windows(F.col("h"), F.lit(size))).alias("key"))
+    for size, rule in sizes:
+        h = hashes(tokens(marked(F.col("text"))), rule) if rule is verbatim else F.transform(words, lambda t: F.xxhash64(t))
+        made = rows.select("doc_id", "body_hash", h.alias("h"))
+        made = made.select("doc_id", "body_hash", F.explode(_windows(F.col("h"), F.lit(size))).alias("key"))
         hit = made.join(keys.where(F.col("size") == size).select("key"), "key", "left_semi").select("doc_id", "body_hash")
         found = hit if found is None else found.unionByName(hit)
     suspects = stored(found.distinct(), "suspects").withColumnsRenamed({"doc_id": "_id", "body_hash": "_hash"})
 
     near = rows.join(suspects, rows.doc_id.eqNullSafe(suspects._id) & (rows.body_hash == suspects._hash), "left_semi")
     near = near.dropDuplicates(["doc_id", "body_hash"]).select("doc_id", "body_hash", tokens(marked(F.col("text"))).alias("t"))
-    near = near.withColumn("h", F.transform("t", lambda t: F.xxhash64(template(t))))
     placed = None
-    for size in sizes:
-        made = near.select("doc_id", "body_hash", "t", F.posexplode(_windows(F.col("h"), F.lit(size))).alias("at", "key"))
+    for size, rule in sizes:
+        made = near.select("doc_id", "body_hash", "t", F.posexplode(_windows(hashes("t", rule), F.lit(size))).alias("at", "key"))
         made = made.select("doc_id", "body_hash", "at", "key", F.lit(size).alias("size"), F.slice("t", F.col("at") + 1, size).alias("own"))
+        made = made.withColumn("own_cut", F.transform("own", rule))
         placed = made if placed is None else placed.unionByName(made)
-    met = placed.join(items.select("size", "key", "item_id", "start", "words"), ["size", "key"])
+    met = placed.join(items.select("size", "key", "item_id", "start", "words", "cut"), ["size", "key"])
     # Equal templates, not only equal hashes; then the values behind the marks, side by side.
-    same = F.transform("own", template) == F.transform("words", template)
+    same = F.col("own_cut") == F.col("cut")
     pairs = F.filter(F.arrays_zip("own", "words"), lambda p: F.substring(p["own"], 1, 1).isin(NUMBER, NAME, UNIT))
     met = met.where(same).select(
         "doc_id", "body_hash", "item_id", (F.col("at") - F.col("start")).alias("shift"), "start", pairs.alias("slots")
@@ -158,7 +168,7 @@ def _sql_text() -> str:
 
 
 MARKS = f"('{NUMBER}', '{NAME}', '{UNIT}')"
-#: The rule with windows as texts instead of hashes and slots one to one, without units written apart.
+#: The rule with windows as texts instead of hashes and slots one to one, without units written apart and verbatim windows.
 OP9_SQL = rf"""
 WITH item_tokens AS (SELECT item_id AS id, regexp_extract_all({_sql_text()}, '{TOKEN_RULE}') AS t FROM benchmark),
 doc_tokens AS (SELECT doc_id AS id, regexp_extract_all({_sql_text()}, '{TOKEN_RULE}') AS t FROM documents WHERE text IS NOT NULL),

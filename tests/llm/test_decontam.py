@@ -27,3 +27,9 @@ def test_unchanged_windows_beside_a_clash(spark):
     item = f"In 3 towns {copied}, says 3 of them"
     clash = f"In 4 towns {copied}, says 7 of them"
     assert found(spark, [item], [clash, "In 4 towns of all says 7 of them"]) == [(0, 0, True)]
+
+
+def test_items_without_a_window_of_plain_words(spark):
+    items = ["Compute 12 + 34 * 56 - 78", "Name the capital", "小明有三个苹果和五个梨他一共有几个水果", "!"]
+    texts = ["x compute 12 + 34 * 56 - 78 y", "compute 12 + 34 * 56 - 79", "then name the capital of it", "name a capital", "他问小明有三个苹果和五个梨他一共有几个水果呢", "小明有三个苹果"]
+    assert found(spark, items, texts) == [(0, 0, True), (2, 1, True), (4, 2, True)]
