@@ -16,28 +16,32 @@ UNITS = (
 ).split()
 #: Marks of a number, a name and a unit; each stands before the value it replaces. They are private characters, blanked in the input.
 NUMBER, NAME, UNIT = "\uE000", "\uE001", "\uE002"
+#: Mark of any other capitalised word, which may be a name: a plain word in one template, a name in the other.
+BEGIN = "\uE003"
 NAME_RULE = r"([\p{L}\p{N},;:] )(\p{Lu}\p{Ll}+)"
+BEGIN_RULE = r"(?<![\p{L}\p{N}\uE001])(\p{Lu}\p{Ll}+)"
 NUMBER_RULE = r"([0-9]+(?:[.,:/][0-9]+)*)"
 UNIT_WORDS = "|".join(sorted(set(UNITS), key=lambda u: (-len(u), u)))
 UNIT_RULE = rf"({NUMBER}[0-9.,:/]+)\s*({UNIT_WORDS})([^\p{{L}}]|$)"
 #: As the SQL has it: only a unit joined to its number.
 SQL_UNIT_RULE = rf"({NUMBER}[0-9.,:/]+)\s?({UNIT_WORDS})([^\p{{L}}]|$)"
-VALUE_RULE = rf"(?<=[{NAME}{UNIT}])\p{{L}}+|(?<={NUMBER})[0-9.,:/]+"
+SQL_TOKEN_RULE = rf"{NUMBER}[0-9.,:/]+|[{NAME}{UNIT}]?\p{{L}}+"
 #: Letters of scripts that put no blanks between words; each is a token.
 UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
-TOKEN_RULE = rf"{NUMBER}[0-9.,:/]+|[{NAME}{UNIT}]?\p{{L}}+"
+TOKEN_RULE = rf"{NUMBER}[0-9.,:/]+|[{NAME}{BEGIN}{UNIT}]?\p{{L}}+"
 
 
 def marked(text: Column) -> Column:
     """Text in lower case with numbers, names and units marked by type, values kept behind the marks.
 
     A name is a capitalised word after a word, comma, semicolon or colon and one blank, so not at a sentence's begin. Two
-    passes find names that follow each other.
+    passes find names that follow each other. All other capitalised words are marked as possible names.
     """
-    clean = F.translate(F.coalesce(text.cast("string"), F.lit("")), NUMBER + NAME + UNIT, "   ")
+    clean = F.translate(F.coalesce(text.cast("string"), F.lit("")), NUMBER + NAME + UNIT + BEGIN, "    ")
     clean = F.when(clean.rlike(UNSPACED), F.regexp_replace(clean, UNSPACED, " $1 ")).otherwise(clean)
     for _ in range(2):
         clean = F.regexp_replace(clean, NAME_RULE, f"$1{NAME}$2")
+    clean = F.regexp_replace(clean, BEGIN_RULE, f"{BEGIN}$1")
     numbers = F.regexp_replace(clean, NUMBER_RULE, f" {NUMBER}$1 ")
     numbers = F.regexp_replace(numbers, UNIT_RULE, f"$1 {UNIT}$2$3")
     return F.lower(F.when(clean.rlike("[0-9]"), numbers).otherwise(clean))
@@ -48,14 +52,19 @@ def tokens(marked_text: Column) -> Column:
 
 
 def template(token: Column) -> Column:
-    """A marked value as its mark alone, any other token as it is."""
+    """A marked value as its mark alone, any other token as it is; a possible name is a plain word."""
     head = F.substring(token, 1, 1)
-    return F.when(head.isin(NUMBER, NAME, UNIT), head).otherwise(token)
+    return F.when(head.isin(NUMBER, NAME, UNIT), head).when(head == BEGIN, F.substr(token, F.lit(2))).otherwise(token)
+
+
+def named(token: Column) -> Column:
+    """The template in which a possible name is a name."""
+    return template(F.translate(token, BEGIN, NAME))
 
 
 def verbatim(token: Column) -> Column:
     """A token with its value, told from every template."""
-    return F.concat(F.lit("="), F.translate(token, NUMBER + NAME + UNIT, ""))
+    return F.concat(F.lit("="), F.translate(token, NUMBER + NAME + UNIT + BEGIN, ""))
 
 
 def _windows(hashes: Column, size: Column) -> Column:
@@ -67,18 +76,37 @@ def _windows(hashes: Column, size: Column) -> Column:
 def _items(benchmark: DataFrame, window: int, shortest: int) -> DataFrame:
     """(item_id, size, start, key, words, cut): windows of every item; an item shorter than a window is one window.
 
-    A window of templates needs as many plain words as half its size, so that lists of numbers or names are no question. Any other window,
+    Windows with names or possible names have a second template, in which possible names are names. A window of templates needs as many plain words as half its size, so that lists of numbers or names are no question. Any other window,
     and an item of fewer than ``shortest`` tokens, is searched for word by word with its values.
     """
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(marked(F.col("text"))).alias("t"))
     rows = rows.where(F.size("t") > 0).withColumn("size", F.least(F.size("t"), F.lit(window))).withColumn("short", F.size("t") < shortest)
     spread = rows.select("item_id", "size", "short", "t", F.explode(F.sequence(F.lit(0), F.size("t") - F.col("size"))).alias("start"))
     spread = spread.select("item_id", "size", "short", "start", F.slice("t", F.col("start") + 1, F.col("size")).alias("words"))
-    spread = spread.withColumn("cut", F.transform("words", template))
-    plain = F.size(F.filter("cut", lambda t: ~t.isin(NUMBER, NAME, UNIT)))
-    spread = spread.withColumn("verbatim", F.col("short") | (plain * 2 < F.col("size")))
-    spread = spread.withColumn("cut", F.when(F.col("verbatim"), F.transform("words", verbatim)).otherwise(F.col("cut")))
-    return spread.withColumn("key", F.xxhash64(F.transform("cut", lambda t: F.xxhash64(t)))).drop("short")
+    listed = lambda cut: F.size(F.filter(cut, lambda t: ~t.isin(NUMBER, NAME, UNIT))) * 2 < F.col("size")
+    one = spread.withColumn("cut", F.transform("words", template))
+    one = one.withColumn("rule", F.when(F.col("short") | listed("cut"), F.lit("verbatim")).otherwise(F.lit("template")))
+    one = one.withColumn("cut", F.when(F.col("rule") == "verbatim", F.transform("words", verbatim)).otherwise(F.col("cut")))
+    two = spread.withColumn("cut", F.transform("words", named)).where(~F.col("short") & ~listed("cut"))
+    two = two.where(F.exists("words", lambda t: F.substring(t, 1, 1).isin(NAME, BEGIN))).withColumn("rule", F.lit("named"))
+    return one.unionByName(two).withColumn("key", F.xxhash64(F.transform("cut", lambda t: F.xxhash64(t)))).drop("short")
+
+
+def _judged(met: DataFrame) -> DataFrame:
+    """(doc_id, body_hash, item_id, n_windows, n_slots, exact) of the matched windows whose slots are consistent."""
+    met = met.withColumn("same", F.forall("slots", lambda p: p["own"] == p["words"]))
+    flat = lambda slots: F.array_distinct(F.flatten(F.collect_list(slots)))
+    aligned = met.groupBy("doc_id", "body_hash", "item_id", "shift").agg(
+        F.count(F.lit(1)).alias("n_all"), F.count_if("same").alias("n_same"), flat(F.col("slots")).alias("slots"), flat(F.when(F.col("same"), F.col("slots"))).alias("unchanged")
+    )
+    mapped = F.array_distinct(F.transform("slots", lambda p: F.struct(p["own"], p["words"])))
+    fits = F.size(F.array_distinct(F.transform("slots", lambda p: p["words"]))) == F.size(mapped)
+    aligned = aligned.withColumn("n_windows", F.when(fits, F.col("n_all")).otherwise(F.col("n_same"))).where("n_windows > 0")
+    aligned = aligned.withColumn("exact", ~fits | (F.col("n_same") == F.col("n_all")))
+    aligned = aligned.withColumn("slots", F.when(fits, F.col("slots")).otherwise(F.col("unchanged")))
+    return aligned.groupBy("doc_id", "body_hash", "item_id").agg(
+        F.sum("n_windows").alias("n_windows"), F.max(F.size(F.array_distinct(F.filter("slots", lambda p: p["counts"])))).cast("long").alias("n_slots"), F.max("exact").alias("exact")
+    )
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest: int = SHORTEST) -> DataFrame:
@@ -88,6 +116,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest:
     one document and item that have the same distance between their places are one alignment; its slots are consistent when every item value
     maps to one document value (5 .. 5 to 7 .. 7, not to 7 .. 9; 3 .. 5 to 4 .. 4 is). All windows of a consistent alignment count, and
     of any other those with all their own values unchanged; ``exact`` says that a consistent alignment or such a window has all values unchanged.
+    Items found by the first template are judged by its windows alone, others by those of both.
 
     The first pass only tells which documents have a template window of any item. The benchmark's windows are written first; Spark
     broadcasts them when that table is under its limit and shuffles otherwise. Windows, slots and alignments are then
@@ -96,8 +125,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest:
     Alignments hold at most one row per window of an item, whatever the document's length.
     """
     items = stored(_items(benchmark, window, shortest), "items")
-    keys = stored(items.select("size", "key", "verbatim").distinct().coalesce(1), "keys")
-    sizes = [(r["size"], verbatim if r["verbatim"] else template) for r in keys.select("size", "verbatim").distinct().collect()]
+    keys = stored(items.select("size", "key", "rule").distinct().coalesce(1), "keys")
+    rules = {"template": template, "named": named, "verbatim": verbatim}
+    sizes = [(r["size"], r["rule"]) for r in keys.select("size", "rule").distinct().collect()]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.where("text IS NOT NULL").withColumn("body_hash", F.xxhash64("text"))
     empty = rows.select("doc_id", "body_hash", F.lit(None).cast("long").alias("item_id")).where("false")
@@ -106,44 +136,46 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest:
         return empty.select("*", *counts)
 
     hashes = lambda t, rule: F.transform(t, lambda w: F.xxhash64(rule(w)))
-    plain = F.regexp_replace(marked(F.col("text")), VALUE_RULE, "")
-    words = F.filter(F.split(plain, rf"[^\p{{L}}{NUMBER}{NAME}{UNIT}]+"), lambda t: t != "")
-    found = None
-    for size, rule in sizes:
-        h = hashes(tokens(marked(F.col("text"))), rule) if rule is verbatim else F.transform(words, lambda t: F.xxhash64(t))
-        made = rows.select("doc_id", "body_hash", h.alias("h"))
-        made = made.select("doc_id", "body_hash", F.explode(_windows(F.col("h"), F.lit(size))).alias("key"))
-        hit = made.join(keys.where(F.col("size") == size).select("key"), "key", "left_semi").select("doc_id", "body_hash")
-        found = hit if found is None else found.unionByName(hit)
+    # Both templates and the words of a text from one pass over it.
+    of = {name for _, name in sizes}
+    hashed = rows.select("doc_id", "body_hash", tokens(marked(F.col("text"))).alias("t"))
+    hashed = hashed.select("doc_id", "body_hash", *[hashes("t", rules[name]).alias(name) for name in sorted(of)])
+    made = F.concat(*[F.coalesce(_windows(F.col(name), F.lit(size)), F.array().cast("array<bigint>")) for size, name in sizes])
+    made = hashed.select("doc_id", "body_hash", F.explode(made).alias("key"))
+    found = made.join(keys.select("key").distinct(), "key", "left_semi").select("doc_id", "body_hash")
     suspects = stored(found.distinct(), "suspects").withColumnsRenamed({"doc_id": "_id", "body_hash": "_hash"})
 
     near = rows.join(suspects, rows.doc_id.eqNullSafe(suspects._id) & (rows.body_hash == suspects._hash), "left_semi")
     near = near.dropDuplicates(["doc_id", "body_hash"]).select("doc_id", "body_hash", tokens(marked(F.col("text"))).alias("t"))
     placed = None
-    for size, rule in sizes:
+    for size, name in sizes:
+        rule = rules[name]
         made = near.select("doc_id", "body_hash", "t", F.posexplode(_windows(hashes("t", rule), F.lit(size))).alias("at", "key"))
         made = made.select("doc_id", "body_hash", "at", "key", F.lit(size).alias("size"), F.slice("t", F.col("at") + 1, size).alias("own"))
-        made = made.withColumn("own_cut", F.transform("own", rule))
+        made = made.withColumn("own_cut", F.transform("own", rule)).withColumn("by", F.lit(name))
         placed = made if placed is None else placed.unionByName(made)
-    met = placed.join(items.select("size", "key", "item_id", "start", "words", "cut"), ["size", "key"])
+    met = placed.join(items.select("size", "key", "item_id", "start", "words", "cut", "rule"), ["size", "key"])
     # Equal templates, not only equal hashes; then the values behind the marks, side by side.
     same = F.col("own_cut") == F.col("cut")
-    pairs = F.filter(F.arrays_zip("own", "words"), lambda p: F.substring(p["own"], 1, 1).isin(NUMBER, NAME, UNIT))
+    # A possible name counts as a slot where it differs.
+    kind = lambda w: F.translate(F.substring(w, 1, 1), BEGIN, NAME)
+    bare = lambda w: F.translate(w, NUMBER + NAME + UNIT + BEGIN, "")
+    pairs = F.filter(F.arrays_zip("own", "words"), lambda p: kind(p["own"]).isin(NUMBER, NAME, UNIT) | kind(p["words"]).isin(NUMBER, NAME, UNIT))
+    mark = lambda p: F.when(kind(p["words"]).isin(NUMBER, NAME, UNIT), kind(p["words"])).otherwise(NAME)
+    pairs = F.transform(pairs, lambda p: F.struct(F.concat(mark(p), bare(p["own"])).alias("own"), F.concat(mark(p), bare(p["words"])).alias("words"), (
+        F.substring(p["own"], 1, 1).isin(NUMBER, NAME, UNIT) | F.substring(p["words"], 1, 1).isin(NUMBER, NAME, UNIT) | (bare(p["own"]) != bare(p["words"]))).alias("counts")))
     met = met.where(same).select(
-        "doc_id", "body_hash", "item_id", (F.col("at") - F.col("start")).alias("shift"), "start", pairs.alias("slots")
-    )
-    met = met.withColumn("same", F.forall("slots", lambda p: p["own"] == p["words"]))
-    flat = lambda slots: F.array_distinct(F.flatten(F.collect_list(slots)))
-    aligned = met.groupBy("doc_id", "body_hash", "item_id", "shift").agg(
-        F.count(F.lit(1)).alias("n_all"), F.count_if("same").alias("n_same"), flat(F.col("slots")).alias("slots"), flat(F.when(F.col("same"), F.col("slots"))).alias("unchanged")
-    )
-    fits = F.size(F.array_distinct(F.transform("slots", lambda p: p["words"]))) == F.size("slots")
-    aligned = aligned.withColumn("n_windows", F.when(fits, F.col("n_all")).otherwise(F.col("n_same"))).where("n_windows > 0")
-    aligned = aligned.withColumn("exact", ~fits | (F.col("n_same") == F.col("n_all")))
-    aligned = aligned.withColumn("slots", F.when(fits, F.col("slots")).otherwise(F.col("unchanged")))
-    return aligned.groupBy("doc_id", "body_hash", "item_id").agg(
-        F.sum("n_windows").alias("n_windows"), F.max(F.size("slots")).cast("long").alias("n_slots"), F.max("exact").alias("exact")
+        "doc_id", "body_hash", "item_id", (F.col("at") - F.col("start")).alias("shift"), "start", pairs.alias("slots"),
+        ((F.col("by") == F.col("rule")) & (F.col("by") != "named")).alias("first"),
     )
+    if "named" not in of:
+        return _judged(met)
+    met = stored(met, "met")
+    found = _judged(met.where("first"))
+    # Items that only the second template finds, by the windows of both.
+    known = found.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "body_hash", "item_id")])
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("body_hash") == F.col("_body_hash")) & F.col("item_id").eqNullSafe(F.col("_item_id"))
+    return found.unionByName(_judged(met.join(known, same, "left_anti").dropDuplicates(["doc_id", "body_hash", "item_id", "shift", "start"])))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest: int = SHORTEST) -> DataFrame:
@@ -168,10 +200,10 @@ def _sql_text() -> str:
 
 
 MARKS = f"('{NUMBER}', '{NAME}', '{UNIT}')"
-#: The rule with windows as texts instead of hashes and slots one to one, without units written apart and verbatim windows.
+#: The rule with windows as texts instead of hashes and slots one to one, without units written apart, verbatim windows and possible names.
 OP9_SQL = rf"""
-WITH item_tokens AS (SELECT item_id AS id, regexp_extract_all({_sql_text()}, '{TOKEN_RULE}') AS t FROM benchmark),
-doc_tokens AS (SELECT doc_id AS id, regexp_extract_all({_sql_text()}, '{TOKEN_RULE}') AS t FROM documents WHERE text IS NOT NULL),
+WITH item_tokens AS (SELECT item_id AS id, regexp_extract_all({_sql_text()}, '{SQL_TOKEN_RULE}') AS t FROM benchmark),
+doc_tokens AS (SELECT doc_id AS id, regexp_extract_all({_sql_text()}, '{SQL_TOKEN_RULE}') AS t FROM documents WHERE text IS NOT NULL),
 items AS (
   SELECT id, t, list_transform(t, lambda w: CASE WHEN w[1] IN {MARKS} THEN w[1] ELSE w END) AS c, least(len(t), {WINDOW}) AS size
   FROM item_tokens WHERE len(t) >= {SHORTEST}),

@@ -33,3 +33,11 @@ def test_items_without_a_window_of_plain_words(spark):
     items = ["Compute 12 + 34 * 56 - 78", "Name the capital", "小明有三个苹果和五个梨他一共有几个水果", "!"]
     texts = ["x compute 12 + 34 * 56 - 78 y", "compute 12 + 34 * 56 - 79", "then name the capital of it", "name a capital", "他问小明有三个苹果和五个梨他一共有几个水果呢", "小明有三个苹果"]
     assert found(spark, items, texts) == [(0, 0, True), (2, 1, True), (4, 2, True)]
+
+
+def test_names_at_the_begin_of_sentences_and_lines(spark):
+    item = "Anna buys 5 pens. Ben sells 3 cups. Carl buys 2 pens. Dora wants 4 hats."
+    other = item.replace("Anna", "Maria").replace("Ben", "Otto").replace("Carl", "Eva").replace("Dora", "Ida")
+    wrapped = "we asked the old man Anton about the long road to the sea"
+    texts = [other, item, wrapped.replace(" Anton", "\nBerta"), wrapped.replace(" Anton", "  Anton"), "Dora sells 5 pens. Ben buys 3 cups. Carl wants 2 hats."]
+    assert found(spark, [item, wrapped], texts) == [(0, 0, False), (1, 0, True), (2, 1, False), (3, 1, True)]
