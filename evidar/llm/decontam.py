@@ -19,12 +19,13 @@ NUMBER, NAME, UNIT = "\uE000", "\uE001", "\uE002"
 #: Mark of any other capitalised word, which may be a name: a plain word in one template, a name in the other.
 BEGIN = "\uE003"
 NAME_RULE = r"([\p{L}\p{N},;:] )(\p{Lu}\p{Ll}+)"
-BEGIN_RULE = r"(?<![\p{L}\p{N}\uE001])(\p{Lu}\p{Ll}+)"
+BEGIN_RULE = r"(?=\p{Lu})(?<![\p{L}\p{N}\uE001])(\p{Lu}\p{Ll}+)"
 NUMBER_RULE = r"([0-9]+(?:[.,:/][0-9]+)*)"
 UNIT_WORDS = "|".join(sorted(set(UNITS), key=lambda u: (-len(u), u)))
 UNIT_RULE = rf"({NUMBER}[0-9.,:/]+)\s*({UNIT_WORDS})([^\p{{L}}]|$)"
 #: As the SQL has it: only a unit joined to its number.
 SQL_UNIT_RULE = rf"({NUMBER}[0-9.,:/]+)\s?({UNIT_WORDS})([^\p{{L}}]|$)"
+VALUE_RULE = rf"(?<=[{NAME}{UNIT}])\p{{L}}+|(?<={NUMBER})[0-9.,:/]+"
 SQL_TOKEN_RULE = rf"{NUMBER}[0-9.,:/]+|[{NAME}{UNIT}]?\p{{L}}+"
 #: Letters of scripts that put no blanks between words; each is a token.
 UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
@@ -38,13 +39,13 @@ def marked(text: Column) -> Column:
     passes find names that follow each other. All other capitalised words are marked as possible names.
     """
     clean = F.translate(F.coalesce(text.cast("string"), F.lit("")), NUMBER + NAME + UNIT + BEGIN, "    ")
-    clean = F.when(clean.rlike(UNSPACED), F.regexp_replace(clean, UNSPACED, " $1 ")).otherwise(clean)
+    clean = F.when(text.rlike(UNSPACED), F.regexp_replace(clean, UNSPACED, " $1 ")).otherwise(clean)
     for _ in range(2):
         clean = F.regexp_replace(clean, NAME_RULE, f"$1{NAME}$2")
     clean = F.regexp_replace(clean, BEGIN_RULE, f"{BEGIN}$1")
     numbers = F.regexp_replace(clean, NUMBER_RULE, f" {NUMBER}$1 ")
     numbers = F.regexp_replace(numbers, UNIT_RULE, f"$1 {UNIT}$2$3")
-    return F.lower(F.when(clean.rlike("[0-9]"), numbers).otherwise(clean))
+    return F.lower(F.when(text.rlike("[0-9]"), numbers).otherwise(clean))
 
 
 def tokens(marked_text: Column) -> Column:
@@ -136,10 +137,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest:
         return empty.select("*", *counts)
 
     hashes = lambda t, rule: F.transform(t, lambda w: F.xxhash64(rule(w)))
-    # Both templates and the words of a text from one pass over it.
+    # Templates are cut in the text, before it becomes tokens; the text is marked once.
     of = {name for _, name in sizes}
-    hashed = rows.select("doc_id", "body_hash", tokens(marked(F.col("text"))).alias("t"))
-    hashed = hashed.select("doc_id", "body_hash", *[hashes("t", rules[name]).alias(name) for name in sorted(of)])
+    words = lambda m: F.filter(F.split(F.regexp_replace(m, VALUE_RULE, ""), rf"[^\p{{L}}{NUMBER}{NAME}{UNIT}]+"), lambda t: t != "")
+    cut = {"template": F.translate("m", BEGIN, ""), "named": F.translate("m", BEGIN, NAME)}
+    hashed = rows.select("doc_id", "body_hash", marked(F.col("text")).alias("m"))
+    hashed = hashed.select("doc_id", "body_hash", *[
+        (hashes(tokens(F.col("m")), verbatim) if name == "verbatim" else F.transform(words(cut[name]), lambda t: F.xxhash64(t))).alias(name) for name in sorted(of)
+    ])
     made = F.concat(*[F.coalesce(_windows(F.col(name), F.lit(size)), F.array().cast("array<bigint>")) for size, name in sizes])
     made = hashed.select("doc_id", "body_hash", F.explode(made).alias("key"))
     found = made.join(keys.select("key").distinct(), "key", "left_semi").select("doc_id", "body_hash")
