@@ -27,7 +27,9 @@ def neighbours(words: DataFrame) -> DataFrame:
 
     ``n_near`` words differ from it by exactly one inserted, deleted or replaced code point; ``near`` is the one with the largest n.
     """
-    base = words.where("word IS NOT NULL AND n IS NOT NULL AND word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
+    # Rows grow twentyfold here, so tasks are dealt by count, not by the few bytes of the words.
+    dealt = words.where("word IS NOT NULL AND n IS NOT NULL AND word <> ''").repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
+    base = dealt.groupBy("word").agg(F.sum("n").alias("n"))
     size = F.char_length("word")
 
     def rotation(a, b):
