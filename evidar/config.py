@@ -67,7 +67,6 @@ class Config:
     salts: int = 16
     vector_block: int = 4_096
     query_block: int = 1_024
-    phrase_block: int = 512
 
 
 DEFAULT = Config()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidar.config import PRIORITIES
+from evidar.functions.distance import edit_distance
 from evidar.functions.text import comparable_text
 from evidar.operators.ranking import top_k
 from evidar.operators.slices import carry, number_slice
@@ -78,14 +79,17 @@ def quality_gates(scores: DataFrame, ocr: DataFrame | None = None) -> DataFrame:
 
 
 def accuracy_of(actual: Column | str, expected: Column | str, max_chars: int | None = None) -> Column:
-    """A8 scalar: one minus the normalised edit distance of the comparable texts, of their first ``max_chars`` if given."""
+    """A8 scalar: one minus the normalised edit distance of the comparable texts, of their first ``max_chars`` if given.
+
+    Long texts cost their length times their distance, not their length squared.
+    """
     left, right = comparable_text(actual), comparable_text(expected)
     if max_chars is not None:
         left, right = F.substring(left, 1, max_chars), F.substring(right, 1, max_chars)
     longest = F.greatest(F.length(left), F.length(right), F.lit(1))
     return (
         F.when(right == "", F.when(left == "", 1.0).otherwise(0.0))
-        .otherwise(F.greatest(F.lit(0.0), 1 - F.levenshtein(left, right) / longest))
+        .otherwise(F.greatest(F.lit(0.0), 1 - edit_distance(left, right) / longest))
     )
 
 

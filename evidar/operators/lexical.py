@@ -14,6 +14,8 @@ from evidar.operators.joins import is_small, join_hot
 from evidar.operators.ranking import top_k
 from evidar.session import saved
 
+#: Characters of a posting of phrases without a whole word, and bits of the map of asked ones (4 KB).
+GRAM, GRAM_BITS = 3, 1 << 15
 PLACE = ["collection_id", "chunk_id", "chunk_ordinal", "content_type", "number", "reliability"]
 
 
@@ -127,8 +129,8 @@ def phrase_hits(queries: DataFrame, chunks: DataFrame, index: LexicalIndex, cfg:
 
     A word with a separator on both sides inside the query must be a token of
     every chunk that contains the query, so the postings of the rarest such word
-    are a complete candidate list. The few queries without such a word (one or
-    two words) are matched against the chunks of their collection in blocks.
+    are a complete candidate list. Queries without such a word (one or two words,
+    or parts of words) use the postings of their rarest three characters.
     """
     inner = rf"(?<=[^a-z0-9._+-])({LATIN_TOKEN})(?=[^a-z0-9._+-])"
     phrases = (
@@ -157,21 +159,49 @@ def phrase_hits(queries: DataFrame, chunks: DataFrame, index: LexicalIndex, cfg:
         .filter(F.contains("_text", "phrase"))
         .select("query_id", "variant_pos", "collection_id", "chunk_id")
     )
-    rest = phrases.filter(F.size("anchors") == 0)
-    if rest.isEmpty():
-        return by_word
-    sizes = rest.groupBy("collection_id").agg(F.ceil(F.count(F.lit(1)) / cfg.phrase_block).alias("n_blocks"))
-    blocks = (
-        rest.join(sizes, "collection_id")
-        .withColumn("block", F.pmod(F.xxhash64("query_id", "variant_pos"), F.col("n_blocks")))
-        .groupBy("collection_id", "block")
-        .agg(F.collect_list(F.struct("query_id", "variant_pos", "phrase")).alias("phrases"))
-    )
-    by_scan = texts.join(blocks, "collection_id").select(
-        "collection_id", "chunk_id",
-        F.inline(F.filter("phrases", lambda p: F.contains(F.col("_text"), p["phrase"]))),
-    )
-    return by_word.unionByName(by_scan.select("query_id", "variant_pos", "collection_id", "chunk_id"))
+    rest = phrases.filter(F.size("anchors") == 0).drop("anchors")
+    return by_word.unionByName(gram_hits(rest, texts))
+
+
+def grams(text: str, size: int = GRAM) -> Column:
+    """Distinct runs of ``size`` characters of a text column."""
+    none = F.array().cast("array<int>")
+    return let(F.split(text, ""), lambda letters: F.array_distinct(F.transform(
+        F.when(F.size(letters) >= size, F.sequence(F.lit(0), F.size(letters) - size)).otherwise(none),
+        lambda i: F.concat(*[F.get(letters, i + k) for k in range(size)]))))
+
+
+def with_grams(df: DataFrame, text: str, size: int = GRAM) -> DataFrame:
+    return df.withColumn("gram", F.explode(grams(text, size)))
+
+
+def gram_hits(phrases: DataFrame, texts: DataFrame) -> DataFrame:
+    """Chunks whose ``_text`` contains a ``phrase``, by postings of the phrase's rarest three characters.
+
+    ``phrases``: query_id, variant_pos, collection_id, phrase. Only grams that some phrase asks for leave a chunk: a bit
+    map of fixed size, found before the texts are read, holds them (a chance hit in it is sorted out by the join). Without phrases no
+    gram is formed at all. A text is read again only for the chunks that hold the rarest gram.
+    """
+    asked = with_grams(phrases, "phrase").withColumn("_bit", gram_bit())
+    words = asked.groupBy(F.shiftright("_bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_bit & 63 AS int))")).alias("bits"))
+    found = words.agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m")).where("size(m) > 0")
+    mask = found.select(F.transform(F.sequence(F.lit(0), F.lit(GRAM_BITS // 64 - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))))
+    wanted = texts.withColumn("_mask", mask.scalar()).where("_mask IS NOT NULL")
+    held = with_grams(wanted, "_text").withColumn("_bit", gram_bit()).where("getbit(get(_mask, cast(shiftright(_bit, 6) AS int)), cast(_bit & 63 AS int)) = 1")
+    postings = saved(held.select("collection_id", "chunk_id", "gram"), "grams")
+    key = ["collection_id", "gram"]
+    counts = postings.join(asked.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(F.count(F.lit(1)).alias("df"))
+    # A gram that no chunk holds rules its phrase out: it counts as zero and wins.
+    rarest = top_k(
+        asked.join(counts, key, "left").fillna(0, ["df"]), ["query_id", "variant_pos"], [F.col("df"), F.col("gram")], 1, "_rarest",
+    ).select("query_id", "variant_pos", *key, "phrase")
+    near = postings.join(rarest, key).join(texts, ["collection_id", "chunk_id"])
+    return near.filter(F.contains("_text", "phrase")).select("query_id", "variant_pos", "collection_id", "chunk_id")
+
+
+def gram_bit() -> Column:
+    """Place of (collection_id, gram) in the bit map of asked grams."""
+    return F.pmod(F.xxhash64("collection_id", "gram"), F.lit(GRAM_BITS)).cast("int")
 
 
 def bm25(
