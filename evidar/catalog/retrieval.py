@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evidar.catalog.common import CHUNKS_SQL, document_chunks, norm, tables, tokens, trim
 from evidar.functions.text import token_jaccard, tokenize
-from evidar.operators import hybrid, lexical, ranking, selection
+from evidar.operators import blockmax, hybrid, lexical, nearest, ranking, selection
 from evidar.plans import retrieval
 
 QUERIES: dict = {}
@@ -147,6 +147,17 @@ SELECT query_id, doc_id::VARCHAR AS chunk_id, lexical_score, token_coverage, ran
 """
 
 
+def bm25_block_topk(t):
+    chunks = document_chunks(t)
+    index = lexical.build_index(chunks)
+    best, _ = blockmax.top_hits(plain_questions(t), chunks, index, blockmax.build_blocks(index), 10)
+    return best.select("query_id", "chunk_id", "lexical_score", "token_coverage", "rank")
+
+
+QUERIES["bm25_block_topk"] = tables(bm25_block_topk)
+ORACLES["bm25_block_topk"] = ORACLES["bm25_topk"]
+
+
 def phrase_bonus(t):
     chunks = document_chunks(t)
     hits = lexical.phrase_hits(plain_questions(t), chunks, lexical.build_index(chunks))
@@ -188,6 +199,16 @@ SELECT query_id, doc_id::VARCHAR AS chunk_id, cos AS vector_score, rank FROM r W
 """
 
 
+def vector_topk(t):
+    asked = questions(t, vectors=True).select("query_id", "collection_id", "embedding")
+    found, _ = nearest.top_vectors(asked, nearest.build_vector_index(vector_chunks(t)), 10)
+    return found.filter("vector_score > 0").select("query_id", "chunk_id", "vector_score", "rank")
+
+
+QUERIES["vector_topk"] = tables(vector_topk)
+ORACLES["vector_topk"] = ORACLES["cosine_topk"]
+
+
 # ---- hybrid and fusion -------------------------------------------------------
 SCORES = ["lexical_score", "token_coverage", "vector_score", "hybrid_score", "rrf_score", "score"]
 SCORES_SQL = ", ".join(SCORES)
