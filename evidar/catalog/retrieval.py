@@ -353,10 +353,10 @@ WITH {TURNS_SQL} SELECT collection_id, file_name, number, arg_min(chunk_id, turn
 
 def adjacent_jaccard(t):
     """U1b on neighbouring chunks of a collection."""
-    from evidar.operators.slices import carry, number_slice
+    from evidar.operators.slices import carry
 
     sets = turn_chunks(t).select("collection_id", "chunk_id", "chunk_ordinal", F.array_distinct(tokenize("text")).alias("tokens"))
-    paired = carry(sets, ["collection_id"], number_slice("chunk_ordinal"), ["chunk_ordinal"],
+    paired = carry(sets, ["collection_id"], None, ["chunk_ordinal"],
                    following={"next_tokens": F.col("tokens"), "next_id": F.col("chunk_id")})
     return paired.filter("next_id IS NOT NULL").select(
         "chunk_id", "next_id", F.round(token_jaccard(F.col("tokens"), F.col("next_tokens")), 4).alias("jaccard"))

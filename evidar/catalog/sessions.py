@@ -120,7 +120,7 @@ ORACLES["session_counters"] = f"WITH {EVENTS_SQL}, {COUNTERS_SQL} SELECT * FROM
 
 
 def rebuild_counters(t):
-    log = S.number_events(event_log(t), 86_400)
+    log = S.number_events(event_log(t))
     return S.rebuild_counters(log).select("study_id", "questions", "errors", "event_sequence")
 
 
@@ -168,7 +168,7 @@ ORACLES["first_seen"] = f"WITH {EVENTS_SQL} SELECT study_id, client_event_id, ar
 
 
 def sequence_numbers(t):
-    return S.number_events(event_log(t), 86_400).select("study_id", "arrival_seq", "sequence")
+    return S.number_events(event_log(t)).select("study_id", "arrival_seq", "sequence")
 
 
 QUERIES["sequence_numbers"] = tables(sequence_numbers)
@@ -184,7 +184,7 @@ ORACLES["events_in_window"] = f"WITH {ARRIVALS_SQL} SELECT study_id, arrival_seq
 
 
 def _numbered(t):
-    log = S.number_events(event_log(t), 86_400)
+    log = S.number_events(event_log(t))
     starts = session_table(t).select("study_id", "started_at")
     return log.join(starts, "study_id").withColumn("elapsed_ms", F.unix_millis("arrival_ts") - F.unix_millis("started_at")).drop("started_at")
 
@@ -360,17 +360,19 @@ SELECT study_id, event_id AS arrival_seq, action,
 
 
 def procedure_funnel(t):
-    return procedure.procedure_funnel(_actions(t)).select("step", "action", "n")
+    return procedure.procedure_funnel(_actions(t)).select("step", "action", "n", "median_ms")
 
 
 QUERIES["procedure_funnel"] = tables(procedure_funnel)
 ORACLES["procedure_funnel"] = f"""
 WITH RECURSIVE {ACTIONS_SQL},
-r(study_id, n, stage, halted, took) AS (
-  SELECT DISTINCT study_id, 0::BIGINT, 0::BIGINT, FALSE, FALSE FROM x
-  UNION ALL SELECT r.study_id, x.n, CASE WHEN x.a = stage AND NOT halted AND x.a < 7 THEN stage + 1 ELSE stage END,
-    halted OR (x.a = stage AND x.a = 4 AND NOT x.normal), x.a = stage AND NOT halted AND x.a < 7 FROM r JOIN x ON x.study_id = r.study_id AND x.n = r.n + 1)
-SELECT stage::INTEGER AS step, {_LIST}[stage] AS action, count(*) AS n FROM r WHERE took GROUP BY ALL
+r(study_id, n, stage, halted, took, ms, last_ms) AS (
+  SELECT DISTINCT study_id, 0::BIGINT, 0::BIGINT, FALSE, FALSE, NULL::BIGINT, NULL::BIGINT FROM x
+  UNION ALL SELECT study_id, n, CASE WHEN hit THEN stage + 1 ELSE stage END, halted OR (hit AND a = 4 AND NOT normal), hit,
+    CASE WHEN hit THEN now_ms - last_ms END, CASE WHEN hit THEN now_ms ELSE last_ms END
+  FROM (SELECT r.study_id, x.n, stage, halted, last_ms, x.a, x.normal, epoch_us(x.ts) // 1000 AS now_ms, x.a = stage AND NOT halted AND x.a < 7 AS hit
+    FROM r JOIN x ON x.study_id = r.study_id AND x.n = r.n + 1) y)
+SELECT stage::INTEGER AS step, {_LIST}[stage] AS action, count(*) AS n, median(ms) AS median_ms FROM r WHERE took GROUP BY ALL
 """
 
 
@@ -441,7 +443,7 @@ def event_log_files(t):
     from evidar.session import shared_folder
     from evidar.sources import files
 
-    log = S.number_events(event_log(t), 86_400).select(
+    log = S.number_events(event_log(t)).select(
         F.col("study_id").cast("string").alias("studyId"), F.col("client_event_id").alias("clientEventId"), "sequence", "type", "data")
     path = f"{shared_folder(log.sparkSession)}/evidar/event-log-{uuid4().hex}"
     files.write_event_log(S.fan_out(log), path)

@@ -168,10 +168,10 @@ def paired_core_check(answers: DataFrame, citations: DataFrame) -> DataFrame:
 
 def number_sources(citations: DataFrame) -> DataFrame:
     """Anchors of an answer numbered by first appearance. ``citations``: answer_id, pos, anchor_id."""
-    from evidar.operators.slices import carry, number_slice
+    from evidar.operators.slices import carry
 
     first = citations.groupBy("answer_id", "anchor_id").agg(F.min("pos").alias("first_pos"))
-    return carry(first, ["answer_id"], number_slice("first_pos"), ["first_pos", "anchor_id"], index="source_number")
+    return carry(first, ["answer_id"], None, ["first_pos", "anchor_id"], index="source_number")
 
 
 def quote_audit(anchors: DataFrame, pages: DataFrame) -> DataFrame:
@@ -201,12 +201,12 @@ def locate_quote(anchors: DataFrame, items: DataFrame, run: int = 5) -> DataFram
     """
     from pyspark.sql import Window
 
-    from evidar.operators.slices import carry, number_slice
+    from evidar.operators.slices import carry
 
     tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
     flat = items.select("doc_id", "page", "item_seq", F.posexplode(tokens(F.col("str"))).alias("_i", "token"))
     # Position of every token on its page, then the next words of the page.
-    placed = carry(flat, ["doc_id", "page"], number_slice("item_seq", 4_096), ["item_seq", "_i"], index="at")
+    placed = carry(flat, ["doc_id", "page"], None, ["item_seq", "_i"], index="at")
     words_of = anchors.withColumn("_words", tokens(F.col("exact_quote"))).filter(F.size("_words") > 0)
     size = F.least(F.size("_words"), F.lit(run))
     grams = words_of.select(

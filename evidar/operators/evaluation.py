@@ -9,7 +9,7 @@ from evidar.config import PRIORITIES
 from evidar.functions.distance import edit_distance
 from evidar.functions.text import comparable_text
 from evidar.operators.ranking import top_k
-from evidar.operators.slices import carry, number_slice
+from evidar.operators.slices import carry
 
 
 def retrieval_metrics(hits: DataFrame, cases: DataFrame, k: int = 10) -> DataFrame:
@@ -135,7 +135,7 @@ def clean_eval_cases(raw: DataFrame, allowed: DataFrame, per_document: int | Non
     ``raw``: document_id, position, category, question, reference_answer, relevant_ids, should_refuse, difficulty.
     """
     if per_document is None:
-        first = carry(raw, ["document_id"], number_slice("position"), ["position"], index="case_no")
+        first = carry(raw, ["document_id"], None, ["position"], index="case_no")
     else:
         first = top_k(raw, ["document_id"], [F.col("position")], per_document, "case_no")
     digits = F.col("case_no").cast("string")

@@ -10,7 +10,7 @@ from evidar.functions.expr import SPACE, half_up, trim_ws
 from evidar.functions.structure import chunk_pieces, segment_text
 from evidar.functions.text import infer_title, is_meaningful, normalize_ws
 from evidar.operators.ranking import top_k
-from evidar.operators.slices import carry, number_slice
+from evidar.operators.slices import carry
 
 
 def flatten_nodes(tree: DataFrame, depth: int) -> DataFrame:
@@ -61,7 +61,7 @@ def extract_sections(nodes: DataFrame, whole_texts: DataFrame | None = None) ->
     paged = F.col("type").isin("slide", "page")
     has_pages = nodes.groupBy("doc_id").agg(F.max(paged).alias("_paged"))
     source = nodes.join(has_pages, "doc_id").filter(paged | ~F.col("_paged")).drop("_paged")
-    placed = carry(source, ["doc_id"], number_slice("node_seq"), ["node_seq"], index="position")
+    placed = carry(source, ["doc_id"], None, ["node_seq"], index="position")
     kind = F.when(F.col("type").isin("slide", "page"), F.col("type")).otherwise("section")
     number = F.when(kind != "section", F.coalesce(F.nullif("number", F.lit(0)), F.col("position"))).otherwise(F.col("position"))
     sections = (
@@ -96,7 +96,7 @@ def _label(kind, number):
 
 def running_budget(df: DataFrame, keys: list[str], order: str, size: str, limit: int) -> DataFrame:
     """Characters used before each row and what is left of the budget."""
-    out = carry(df, keys, number_slice(order), [order], before={"used_before": F.col(size)})
+    out = carry(df, keys, None, [order], before={"used_before": F.col(size)})
     return out.withColumn("allowed", F.greatest(F.least(F.col(size), F.lit(limit) - F.col("used_before")), F.lit(0)))
 
 

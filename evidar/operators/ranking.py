@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidar.operators.slices import carry, number_slice
+from evidar.operators.slices import carry
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -20,9 +20,9 @@ def rank_hits(hits: DataFrame, k: int, score: str = "score") -> DataFrame:
     return top_k(hits, ["query_id"], [F.col(score).desc(), F.col("chunk_ordinal")], k)
 
 
-def with_ordinals(chunks: DataFrame, order: str, width: int = 65_536) -> DataFrame:
+def with_ordinals(chunks: DataFrame, order: str) -> DataFrame:
     """Dense zero-based position of every chunk in its collection."""
-    numbered = carry(chunks.drop("chunk_ordinal"), ["collection_id"], number_slice(order, width), [order], index="chunk_ordinal")
+    numbered = carry(chunks.drop("chunk_ordinal"), ["collection_id"], None, [order], index="chunk_ordinal")
     return numbered.withColumn("chunk_ordinal", F.col("chunk_ordinal") - 1)
 
 
@@ -53,4 +53,4 @@ def first_per_locator(chunks: DataFrame, order: list[str]) -> DataFrame:
 def top_visuals(candidates: DataFrame, k: int = 6) -> DataFrame:
     """K7: best ``k`` visual candidates per document, then page order."""
     best = top_k(candidates, ["doc_id"], [F.col("score").desc(), F.col("number")], k, "_best").drop("_best")
-    return best.withColumn("position", F.row_number().over(Window.partitionBy("doc_id").orderBy("number")))
+    return best.withColumn("position", F.row_number().over(Window.partitionBy("doc_id").orderBy("number", F.col("score").desc(), *[c for c in ("id",) if c in best.columns])))

@@ -13,7 +13,7 @@ from evidar.config import DEFAULT, Config
 from evidar.functions.expr import half_up, safe_number
 from evidar.functions.text import redact_json
 from evidar.operators.ranking import top_k
-from evidar.operators.slices import carry, number_slice, time_slice
+from evidar.operators.slices import carry
 from evidar.session import saved
 
 # ---- fixed values ---------------------------------------------------------------
@@ -112,9 +112,9 @@ def first_seen(events: DataFrame) -> DataFrame:
     return first.unionByName(events.filter("client_event_id IS NULL"))
 
 
-def number_events(events: DataFrame, seconds: int = 3_600) -> DataFrame:
+def number_events(events: DataFrame) -> DataFrame:
     """Gapless sequence per session in arrival order."""
-    return carry(events, ["study_id"], time_slice("arrival_ts", seconds), ["arrival_ts", "arrival_seq"], index="sequence")
+    return carry(events, ["study_id"], None, ["arrival_ts", "arrival_seq"], index="sequence")
 
 
 def in_window(end_ms: Column, cfg: Config = DEFAULT) -> Column:
@@ -144,7 +144,7 @@ def pair_source_views(events: DataFrame) -> DataFrame:
     views = events.filter(F.col("type").isin("source_view_opened", "source_view_closed")).select(
         "study_id", "sequence", "type", "elapsed_ms")
     nxt = F.struct("sequence", "type", "elapsed_ms")
-    paired = carry(views, ["study_id"], number_slice("sequence", 8_192), ["sequence"], following={"_next": nxt})
+    paired = carry(views, ["study_id"], None, ["sequence"], following={"_next": nxt})
     closed = F.col("_next.type") == "source_view_closed"
     return paired.filter("type = 'source_view_opened'").select(
         "study_id", F.col("sequence").alias("open_seq"), F.when(closed, F.col("_next.sequence")).alias("close_seq"),
@@ -261,7 +261,7 @@ def late_batch(pending: DataFrame, events: DataFrame, sessions: DataFrame, ends:
     logged = events.select(*names).distinct()
     new = usable.join(logged, names, "left_anti").filter(F.lower(F.trim("type")).rlike(EVENT_TYPE))
     once = top_k(new, names, [F.col("position")], 1, "_n").drop("_n")
-    numbered = carry(once, ["study_id"], number_slice("position"), ["position"], index="_nth")
+    numbered = carry(once, ["study_id"], None, ["position"], index="_nth")
     last = events.groupBy("study_id").agg(F.max("sequence").alias("_last"))
     appended = numbered.join(last, "study_id", "left").withColumn(
         "sequence", F.coalesce("_last", F.lit(0)) + F.col("_nth")).drop("_nth", "_last")

@@ -2,7 +2,8 @@
 
 A plain window over a key runs in one task. Here every key is cut into slices
 along its order; a slice is windowed on its own and what earlier or later
-slices contribute is carried over from one small summary row per slice.
+slices contribute is carried over from one small summary row per slice. Slices
+have about equal numbers of rows, whatever the values of the order are.
 """
 
 from __future__ import annotations
@@ -10,11 +11,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidar.session import saved
+
+
+def evenly_sliced(df: DataFrame, keys: list[str], order: list[str], slices: int | None = None) -> DataFrame:
+    """``df`` with ``_slice``, which never decreases along keys and order: ranges of about equal size by sampled bounds.
+
+    A burst of a key in one moment is many slices, a key with few rows is one. Written to the shared folder, so that both the
+    summaries and the rows see the same bounds and what comes before is computed once.
+    """
+    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return saved(df.repartitionByRange(n, *keys, *order).withColumn("_slice", F.spark_partition_id()), "slices")
+
 
 def carry(
     df: DataFrame,
     keys: list[str],
-    part: Column,
+    part: Column | None,
     order: list[str],
     index: str | None = None,
     before: dict[str, Column] | None = None,
@@ -23,10 +36,10 @@ def carry(
 ) -> DataFrame:
     """Position, running sums before the row, previous and next values.
 
-    ``part`` must never decrease along ``order``; keys and order are not NULL.
+    ``part`` must never decrease along ``order``; without it, slices are of equal count. Keys and order are not NULL.
     """
     before, prev, following = before or {}, prev or {}, following or {}
-    df = df.withColumn("_slice", part)
+    df = evenly_sliced(df, keys, order) if part is None else df.withColumn("_slice", part)
     at = F.struct(*order)
     aggs = [F.count(F.lit(1)).alias("_n")]
     aggs += [F.sum(e).alias(f"_s_{n}") for n, e in before.items()]

@@ -199,6 +199,24 @@ def test_carry_equals_one_window(spark):
         assert [r.p for r in out] == [None, *vs[:-1]] and [r.f for r in out] == [*vs[1:], None]
 
 
+def test_equal_slices_equal_one_window(spark):
+    """One key holds a third of all rows, all of them in one second and many at the same time."""
+    made = [("hot", 5, i) for i in range(400)] + [(f"k{i % 200}", i * 100_000, i) for i in range(800)]
+    df = spark.createDataFrame([(k, t, i, i * 7 % 11) for k, t, i in made], "k string, t long, i int, v int")
+    sliced = slices.evenly_sliced(df, ["k"], ["t", "i"], 12)
+    assert sliced.filter("k = 'hot'").select("_slice").distinct().count() >= 3
+    assert max(r["count"] for r in sliced.groupBy("_slice").count().collect()) <= 3 * len(made) / 12
+    for part, source in ((None, df), (F.col("_slice"), sliced)):
+        got = slices.carry(source, ["k"], part, ["t", "i"], index="n", before={"s": F.col("v")}, prev={"p": F.col("v")}, following={"f": F.col("v")})
+        found = {(r.k, r.i): (r.n, r.s, r.p, r.f) for r in got.collect()}
+        assert len(found) == len(made)
+        for key in ("hot", "k0", "k7"):
+            own = sorted((t, i) for k, t, i in made if k == key)
+            vs = [i * 7 % 11 for _, i in own]
+            assert [found[key, i] for _, i in own] == [
+                (n + 1, sum(vs[:n]), vs[n - 1] if n else None, vs[n + 1] if n + 1 < len(vs) else None) for n in range(len(vs))]
+
+
 def test_evenly_spaced(spark):
     df = spark.range(11).select(F.lit("g").alias("g"), F.col("id").alias("pos"))
     assert rows(ranking.evenly_spaced(df, ["g"], "pos", 4), "pos") == [(0,), (3,), (7,), (10,)]
