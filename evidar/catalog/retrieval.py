@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evidar.catalog.common import CHUNKS_SQL, document_chunks, norm, tables, tokens, trim
 from evidar.functions.text import token_jaccard, tokenize
-from evidar.operators import blockmax, hybrid, lexical, nearest, ranking, selection
+from evidar.operators import blockmax, hybrid, lexical, nearest, ranking, selection, similar
 from evidar.plans import retrieval
 
 QUERIES: dict = {}
@@ -498,3 +498,22 @@ pick AS (SELECT q AS query_id, picks.doc_id, k.source, k.rel AS score, picks.ran
 {_neighbours_sql('evid', 'pick', 10, "TRUE")}
 SELECT evid.query_id, qn.mode, evid.doc_id::VARCHAR AS chunk_id, evid.rank::INTEGER AS rank, evid.score, evid.adjacent, 'ranked' AS strategy FROM evid JOIN qn USING (query_id)
 """
+
+
+def token_jaccard_pairs(t):
+    """Similar documents of a source; one row per pair of different token sets, and one per copy with its class."""
+    classes, pairs = similar.token_jaccard_pairs(document_chunks(t, "source"), 0.8)
+    copies = classes.where("chunk_id <> class_id").select("collection_id", F.col("class_id").alias("left_id"), F.col("chunk_id").alias("right_id"), F.lit(1.0).alias("similarity"), F.lit(True).alias("copy"))
+    return pairs.withColumn("copy", F.lit(False)).unionByName(copies).withColumn("similarity", F.round("similarity", 6))
+
+
+QUERIES["token_jaccard_pairs"] = tables(token_jaccard_pairs)
+ORACLES["token_jaccard_pairs"] = f"""
+WITH x AS (SELECT source, doc_id::VARCHAR AS id, list_sort(list_distinct({tokens('text')})) AS toks FROM documents),
+y AS (SELECT *, min(id) OVER (PARTITION BY source, toks) AS class FROM x WHERE len(toks) > 0),
+p AS (SELECT a.source, a.id AS left_id, b.id AS right_id, len(list_intersect(a.toks, b.toks)) AS s, len(a.toks) + len(b.toks) AS n
+      FROM y a JOIN y b ON a.source = b.source AND a.id < b.id AND a.id = a.class AND b.id = b.class
+       AND least(len(a.toks), len(b.toks)) >= 0.8 * greatest(len(a.toks), len(b.toks)))
+SELECT source AS collection_id, left_id, right_id, round(s / (n - s), 6) AS similarity, FALSE AS copy FROM p WHERE s >= 0.8 * (n - s)
+UNION ALL SELECT source, class, id, 1.0::DOUBLE, TRUE FROM y WHERE id <> class
+"""
