@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evidar.catalog.common import document_chunks, norm, tables, tokens, trim
 from evidar.catalog.retrieval import plain_questions
+from evidar.catalog.text import COMPARABLE
 from evidar.config import Config
 from evidar.functions import structure as S
 from evidar.operators import evidence, index, lexical, ocr
@@ -250,6 +251,22 @@ def merge_native_ocr(t):
 
 
 QUERIES["merge_native_ocr"] = tables(merge_native_ocr)
+# Line by line: what is known grows with every line that is taken.
+ORACLES["merge_native_ocr"] = f"""
+WITH RECURSIVE p AS (SELECT u.conv_id, u.turn, {norm('u.text')} AS a, {norm("upper(replace(u.text, 'ß', 'ss')) || chr(10) || a.text || chr(10) || a.text")} AS b
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'),
+l AS (SELECT *, list_filter(list_transform(string_split(a, chr(10)), lambda x: {COMPARABLE.format(x='x')}), lambda x: length(x) >= 4) AS known,
+  list_filter(list_transform(string_split(b, chr(10)), lambda x: {trim('x')}), lambda x: x <> '') AS lines FROM p),
+r AS (SELECT conv_id, turn, lines, 0 AS i, known, []::VARCHAR[] AS added FROM l
+  UNION ALL
+  SELECT conv_id, turn, lines, i + 1, CASE WHEN taken THEN list_append(known, key) ELSE known END, CASE WHEN taken THEN list_append(added, lines[i + 1]) ELSE added END
+  FROM (SELECT *, key <> '' AND NOT list_contains(known, key) AND NOT (length(key) >= 8 AND len(list_filter(known, lambda k: contains(k, key) OR contains(key, k))) > 0) AS taken
+    FROM (SELECT *, {COMPARABLE.format(x='lines[i + 1]')} AS key FROM r WHERE i < len(lines)) x) y),
+d AS (SELECT conv_id, turn, added FROM r WHERE i = len(lines)),
+o AS (SELECT l.*, added, contains({COMPARABLE.format(x='a')}, {COMPARABLE.format(x='b')}) AS covered FROM l JOIN d USING (conv_id, turn))
+SELECT conv_id, turn, CASE WHEN a = '' THEN 'ocr' WHEN b <> '' AND NOT covered AND len(added) > 0 THEN 'mixed' ELSE 'native' END AS origin,
+  md5(CASE WHEN a = '' THEN b WHEN b <> '' AND NOT covered AND len(added) > 0 THEN a || chr(10) || chr(10) || array_to_string(added, chr(10)) ELSE a END) AS digest FROM o
+"""
 
 
 def _ocr_pages(t):

@@ -2,61 +2,93 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from evidar.config import DEFAULT, Config
 from evidar.functions.expr import col, let, trim_ws
 from evidar.functions.text import comparable_text, is_meaningful, normalize_ws
 
 
+class KnownLines:
+    """Comparable lines with an index that finds those a text contains or that contain it.
+
+    A line that contains a text of ``GRAM`` characters or more holds its first gram; a text that contains a long line holds that line's first
+    gram, and short lines are looked up whole. So a test costs about the length of the text, not the number of lines.
+    """
+
+    GRAM = 8
+
+    def __init__(self):
+        self.whole: set[str] = set()
+        self.short: set[int] = set()
+        self.holding: dict[str, set[str]] = {}
+        self.beginning: dict[str, set[str]] = {}
+
+    def add(self, line: str) -> None:
+        if line in self.whole:
+            return
+        self.whole.add(line)
+        if len(line) < self.GRAM:
+            self.short.add(len(line))
+            return
+        self.beginning.setdefault(line[: self.GRAM], set()).add(line)
+        for k in range(len(line) - self.GRAM + 1):
+            self.holding.setdefault(line[k : k + self.GRAM], set()).add(line)
+
+    def related(self, text: str) -> bool:
+        """Whether a line equals ``text`` or, if that has ``GRAM`` characters or more, contains it or is contained in it."""
+        if text in self.whole or len(text) < self.GRAM:
+            return text in self.whole
+        if any(text in line for line in self.holding.get(text[: self.GRAM], ())):
+            return True
+        for k in range(len(text) - self.GRAM + 1):
+            if any(text.startswith(line, k) for line in self.beginning.get(text[k : k + self.GRAM], ())):
+                return True
+        return any(text[k : k + n] in self.whole for n in self.short for k in range(len(text) - n + 1))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _new_lines(known: pd.Series, keys: pd.Series, lines: pd.Series) -> pd.Series:
+    """The lines whose key is new: not empty, and related to no known line nor to a key taken before."""
+
+    def new(old, texts, whole):
+        if old is None or texts is None:
+            return None
+        held, out = KnownLines(), []
+        for line in old:
+            held.add(line)
+        for key, line in zip(texts, whole):
+            if key != "" and not held.related(key):
+                held.add(key)
+                out.append(line)
+        return out
+
+    return pd.Series([new(*row) for row in zip(known, keys, lines)])
+
+
 def merge_native_ocr(native: Column | str, ocr: Column | str) -> Column:
     """M1: native text plus the OCR lines it does not have, as ``struct<text, origin>``."""
-    strings = "array<string>"
-
     def result(text: Column, origin: str) -> Column:
         return F.struct(text.alias("text"), F.lit(origin).alias("origin"))
 
     def new_lines(a: Column, b: Column) -> Column:
         known = F.filter(F.transform(F.split(a, "\n"), comparable_text), lambda line: F.length(line) >= 4)
-
-        def step(state: Column, line: Column) -> Column:
-            def decide(key: Column) -> Column:
-                alike = (F.length(key) >= 8) & F.exists(
-                    state["known"], lambda k: F.contains(k, key) | F.contains(key, k)
-                )
-                skip = (key == "") | F.array_contains(state["known"], key) | alike
-                added = F.struct(
-                    F.array_append(state["known"], key).alias("known"), F.array_append(state["added"], line).alias("added")
-                )
-                return F.when(skip, state).otherwise(added)
-
-            return let(comparable_text(line), decide)
-
-        begin = F.struct(known.cast(strings).alias("known"), F.array().cast(strings).alias("added"))
         lines = F.filter(F.transform(F.split(b, "\n"), trim_ws), lambda line: line != "")
-        return F.aggregate(lines, begin, step, lambda state: state["added"])
-
-    def merged(a: Column, b: Column) -> Column:
-        covered = F.contains(comparable_text(a), comparable_text(b))
-        extended = let(
-            new_lines(a, b),
-            lambda extra: F.when(
-                F.size(extra) > 0, result(F.concat(a, F.lit("\n\n"), F.array_join(extra, "\n")), "mixed")
-            ).otherwise(result(a, "native")),
-        )
-        return (
-            F.when((b == "") & (a == ""), result(a, "ocr"))
-            .when(b == "", result(a, "native"))
-            .when(a == "", result(b, "ocr"))
-            .when(covered, result(a, "native"))
-            .otherwise(extended)
-        )
-
-    blank = F.lit("")
-    return let(
-        normalize_ws(F.coalesce(col(native), blank)),
-        lambda a: let(normalize_ws(F.coalesce(col(ocr), blank)), lambda b: merged(a, b)),
+        return _new_lines(known, F.transform(lines, comparable_text), lines)
+
+    a, b = normalize_ws(F.coalesce(col(native), F.lit(""))), normalize_ws(F.coalesce(col(ocr), F.lit("")))
+    covered = F.contains(comparable_text(a), comparable_text(b))
+    extra = new_lines(a, b)
+    return (
+        F.when((b == "") & (a == ""), result(a, "ocr"))
+        .when(b == "", result(a, "native"))
+        .when(a == "", result(b, "ocr"))
+        .when(covered, result(a, "native"))
+        .when(F.size(extra) > 0, result(F.concat(a, F.lit("\n\n"), F.array_join(extra, "\n")), "mixed"))
+        .otherwise(result(a, "native"))
     )
 
 
