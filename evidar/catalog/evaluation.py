@@ -50,6 +50,42 @@ QUERIES["recall_mrr_ndcg"] = tables(recall_mrr_ndcg)
 ORACLES["recall_mrr_ndcg"] = f"WITH {METRICS_SQL} SELECT query_id, category, round(recall, 4) AS recall, round(mrr, 4) AS mrr, round(ndcg, 4) AS ndcg FROM m"
 
 
+def eval_dataset_files(t):
+    """Benchmark and documents as dataset files, read back; one report per document of the dataset."""
+    from uuid import uuid4
+
+    from evidar.session import shared_folder
+    from evidar.sources import files
+
+    docs = t("documents")
+    spark = docs.sparkSession
+    base = f"{shared_folder(spark)}/evidar/dataset-{uuid4().hex}"
+    chunk = F.struct(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("fileName"), (F.col("doc_id") % 120).cast("int").alias("number"), F.col("text").alias("text"))
+    ids = F.array(F.col("doc_id").cast("string"))
+    case = F.struct(
+        F.concat(F.lit("case-"), F.col("doc_id").cast("string")).alias("id"), F.col("source").alias("documentId"), F.lit("detail").alias("category"), F.lit("qa").alias("mode"),
+        F.col("lang").alias("question"), ids.alias("relevantChunkIds"), (F.col("doc_id") % 3 == 0).alias("shouldRefuse"))
+    # One dataset a document: a file is read by one task, so none holds a whole source.
+    dataset = docs.select(
+        F.col("source").alias("name"), F.create_map(F.col("lang"), F.lit(0.5)).alias("priorities"),
+        F.array(F.struct(F.col("source").alias("id"), F.array(chunk).alias("chunks"))).alias("documents"), F.array(case).alias("cases"),
+        F.array(F.struct(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("expected"), F.col("source").alias("actual"))).alias("ocrSamples"))
+    dataset.write.json(f"{base}/in")
+    parts = files.read_eval(spark, f"{base}/in", lines=True)
+    sizes = parts["chunks"].groupBy("collection_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars"))
+    asked = parts["cases"].groupBy("collection_id").agg(F.count_if("should_refuse").alias("refused"), F.min("query_id").alias("first_case"))
+    samples = parts["ocr_samples"].groupBy(F.col("actual").alias("collection_id")).agg(F.count_distinct("expected").alias("languages"))
+    files.write_report(sizes.join(asked, "collection_id").join(samples, "collection_id"), f"{base}/report")
+    return spark.read.schema("collection_id string, chunks bigint, chars bigint, refused bigint, first_case string, languages bigint").json(f"{base}/report")
+
+
+QUERIES["eval_dataset_files"] = tables(eval_dataset_files)
+ORACLES["eval_dataset_files"] = """
+SELECT source AS collection_id, count(*) AS chunks, sum(length(text))::BIGINT AS chars, count(*) FILTER (doc_id % 3 = 0) AS refused,
+  min('case-' || doc_id) AS first_case, count(DISTINCT lang) AS languages FROM documents GROUP BY source
+"""
+
+
 def category_scores(t):
     return E.category_scores(_metrics(t)).select("category", "cases", "overall", *ROUND("score", "recall", "mrr", "ndcg"))
 

@@ -341,7 +341,7 @@ QUERIES["sanitize_chunks"] = tables(sanitize_chunks)
 ORACLES["sanitize_chunks"] = f"""
 WITH f AS (SELECT *, split_part(split_part(text, chr(10), 1), '.', 1) AS title FROM documents),
 n AS (SELECT source, doc_id, title, {norm('text')} AS body FROM f)
-SELECT source AS collection_id, doc_id::VARCHAR AS chunk_id, 'section' AS kind, (doc_id % 120 + 1)::INTEGER AS number, left(title, 140) AS title, md5(body) AS digest
+SELECT source AS collection_id, doc_id::VARCHAR AS chunk_id, 'section' AS kind, (doc_id % 120 + 1)::INTEGER AS number, title, md5(body) AS digest
 FROM n WHERE length(body) >= 12
 """
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from evidar.catalog.common import norm, tables
-from evidar.config import PHASES
+from evidar.config import DEFAULT, PHASES
 from evidar.functions import records as R
 from evidar.functions import text as T
 from evidar.functions.terms import content_key
@@ -211,7 +213,7 @@ def validate_checkpoint(t):
                  F.when(k % 11 == 0, 2).otherwise(1).alias("failedPageCount"), F.lit(3).alias("inspectedPageCount")).alias("ocr"),
         F.array(F.struct(F.lit("c").alias("id"), F.lit("text").alias("text"), (k % 130).alias("number"))).alias("chunks"))
     rows = t("orders").select(k, pick(["parsed", "vision", "other"], k % 3).alias("stage"), F.to_json(body).alias("json"))
-    return W.validate_checkpoint(rows).select(F.col("o_orderkey").alias("id"), "error_code")
+    return W.validate_checkpoint(rows, replace(DEFAULT, max_sections=120, max_chunks=256), 3 * 1024 * 1024, 20_000).select(F.col("o_orderkey").alias("id"), "error_code")
 
 
 QUERIES["validate_checkpoint"] = tables(validate_checkpoint)

@@ -255,9 +255,7 @@ SELECT query_id, doc_id::VARCHAR AS chunk_id, score, rank FROM gated
 
 
 def context_fill(t):
-    asked = t("benchmark").select(
-        F.col("item_id").alias("query_id"), F.lit("corpus").alias("collection_id"), F.lit("quiz").alias("mode"),
-        F.array_max(F.transform(tokenize("text"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("text"))
+    asked = questions(t).withColumn("mode", F.lit("quiz"))
     chunks = document_chunks(t)
     hits = retrieval.fused_hits(asked, chunks)
     return selection.context_fill(hits, asked, chunks, 100).select("query_id", "chunk_id", "score", "rank")
@@ -265,9 +263,7 @@ def context_fill(t):
 
 QUERIES["context_fill"] = tables(context_fill)
 ORACLES["context_fill"] = f"""
-WITH {INDEX_SQL}, w AS (SELECT item_id, unnest({tokens('text')}) AS word FROM benchmark),
-v AS (SELECT item_id AS query_id, 'quiz' AS mode, 0 AS pos, word AS vtext FROM w
-      QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY length(word) DESC, word DESC) = 1), {LEX_SQL}, {_hybrid_sql(False)},
+WITH {INDEX_SQL}, {QUESTIONS_SQL}, {LEX_SQL}, {_hybrid_sql(False)},
 best AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_ordinal) AS o
          FROM fused WHERE hybrid_score > 0 QUALIFY o <= 100),
 n AS (SELECT count(*) AS n FROM c),

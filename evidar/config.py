@@ -12,9 +12,10 @@ from dataclasses import dataclass
 class Config:
     # index budgets
     max_file_bytes: int = 20 * 1024 * 1024
-    max_sections: int = 120
-    max_chars: int = 180_000
-    max_chunks: int = 240
+    # None takes documents of any size
+    max_sections: int | None = None
+    max_chars: int | None = None
+    max_chunks: int | None = None
     chunk_size: int = 1_200
     chunk_overlap: int = 160
     index_version: int = 5

@@ -18,7 +18,7 @@ EXTENSIONS = ["pdf", "pptx"]
 MIME_TYPES = [
     "application/pdf", "application/vnd.openxmlformats-officedocument.presentationml.presentation", "application/octet-stream", "",
 ]
-MAGIC = {"pdf": "255044462D", "pptx": "504B"}
+MAGIC = {"pdf": b"%PDF-", "pptx": b"PK"}
 PROMPT_VERSION, DEFAULT_MODEL = "rq1-grounding-v1", "qwen-plus"
 
 
@@ -46,7 +46,7 @@ def finalize_reason(reason: Column | str) -> Column:
 def file_reject_code(name: Column, size: Column, mime: Column, content: Column, cfg: Config = DEFAULT) -> Column:
     """First reason to reject a file, NULL when it is accepted."""
     extension = file_extension(name)
-    signature = first_match(((extension == e, F.hex(F.substring(content, 1, len(m) // 2)) == m) for e, m in MAGIC.items()), False)
+    signature = first_match(((extension == e, F.substring(content, 1, len(m)) == F.lit(m)) for e, m in MAGIC.items()), False)
     return first_match([
         (F.coalesce(size, F.lit(0)) == 0, "FILE_REQUIRED"),
         (~extension.isin(EXTENSIONS), "UNSUPPORTED_FORMAT"),

@@ -15,7 +15,9 @@ TERM_STOP_WORDS = [
     "in", "is", "it", "its", "of", "on", "one", "or", "that", "the", "their", "this", "to",
     "used", "using", "while", "with", "within",
 ]
-NUMBER_WORDS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"]
+NUMBER_WORDS = {
+    "zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10,
+}
 CRITICAL_TERMS = [
     "0", "add", "alter", "chang", "change", "decreas", "decrease", "delet", "delete",
     "empty", "fix", "increas", "increase", "insert", "never", "no", "not", "null",
@@ -32,7 +34,7 @@ def words(text: Column | str) -> Column:
 
 
 def stem(word: Column) -> Column:
-    rules = [(word == name, str(value)) for value, name in enumerate(NUMBER_WORDS)]
+    rules = [(word == name, str(value)) for name, value in NUMBER_WORDS.items()]
     for suffix, shortest, replacement in SUFFIXES:
         cut = F.concat(F.substring(word, F.lit(1), F.length(word) - len(suffix)), F.lit(replacement))
         rules.append((word.endswith(suffix) & (F.length(word) >= shortest), cut))

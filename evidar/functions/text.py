@@ -238,26 +238,50 @@ def redact_text(c: Column | str, limit: int | None = None) -> Column:
     return text
 
 
+#: A quoted credential name and its value, in text that cannot be parsed as JSON; quotes may be escaped.
+NAMED = re.compile(
+    r'(\\*")([^"\\]{0,200}?(?:%s)[^"\\]{0,200})\1\s*:\s*(?:(\\*")(?:(?!\3).)*(?:\3|$)|[^\s",\[{}\]]+|(?=[\[{]))' % SECRET_KEY.removeprefix("(?i)"),
+    re.DOTALL | re.IGNORECASE,
+)
+
+
+def _names_redacted(text: str) -> str:
+    """Text without the values of credential-named entries; where such a value is an object or a list, all from there on goes."""
+    out, done = [], 0
+    for m in NAMED.finditer(text):
+        out.append(f"{text[done : m.start()]}{m[1]}{m[2]}{m[1]}:{m[1]}{REDACTED}{m[1]}")
+        done = m.end()
+        if text[done : done + 1] in ("{", "["):
+            return "".join(out)
+    return "".join([*out, text[done:]]) if out else text
+
+
 def _without_secrets(text: str | None) -> str | None:
-    """JSON text whose credential-named keys lose their value at every depth; any other text as it is."""
-    if not text or text.lstrip()[:1] not in ("{", "["):
+    """JSON text whose credential-named keys lose their value at every depth, in JSON held as strings too.
+
+    Fails closed: what cannot be parsed, as it is broken or nested too deeply, loses such values by their names in the text.
+    """
+    if not text or text.lstrip()[:1] not in ("{", "[", '"'):
         return text
     try:
         body = json.loads(text)
+        if isinstance(body, str):
+            inner = _without_secrets(body)
+            return text if inner == body else json.dumps(inner, ensure_ascii=False)
+        found, todo = False, [body]
+        while todo:
+            node = todo.pop()
+            entries = node.items() if isinstance(node, dict) else enumerate(node)
+            for key, value in list(entries):
+                if isinstance(key, str) and re.search(SECRET_KEY, key):
+                    node[key], found = REDACTED, True
+                elif isinstance(value, (dict, list)):
+                    todo.append(value)
+                elif isinstance(value, str) and (inner := _without_secrets(value)) != value:
+                    node[key], found = inner, True
+        return json.dumps(body, ensure_ascii=False, separators=(",", ":")) if found else text
     except (ValueError, RecursionError):
-        return text
-    found, todo = False, [body]
-    while todo:
-        node = todo.pop()
-        entries = node.items() if isinstance(node, dict) else enumerate(node)
-        for key, value in list(entries):
-            if isinstance(key, str) and re.search(SECRET_KEY, key):
-                node[key], found = REDACTED, True
-            elif isinstance(value, (dict, list)):
-                todo.append(value)
-            elif isinstance(value, str) and (inner := _without_secrets(value)) != value:
-                node[key], found = inner, True
-    return json.dumps(body, ensure_ascii=False, separators=(",", ":")) if found else text
+        return _names_redacted(text)
 
 
 @F.pandas_udf(StringType())
@@ -273,7 +297,7 @@ def _all_keys_redacted(values: pd.Series) -> pd.Series:
 def redact_json(c: Column | str) -> Column:
     """P28 on JSON text: credential-named keys lose their value at every depth, also in JSON held as text; then ``redact_text``.
 
-    Text that is not JSON, or holds no such key, only passes through ``redact_text``.
+    Text that is no JSON loses the values that follow quoted names of that kind; all text passes through ``redact_text``.
     """
     return redact_text(_keys_redacted(col(c)))
 
@@ -288,9 +312,12 @@ def redact_map(c: Column | str) -> Column:
 
 
 def sanitize_metadata(c: Column | str) -> Column:
-    """Allow-listed keys with a value, redacted."""
-    kept = F.map_filter(col(c), lambda k, v: k.isin(METADATA_KEYS) & v.isNotNull())
-    return F.transform_values(kept, lambda k, v: redact_text(v))
+    """Allow-listed keys with a scalar value, redacted; a value that is the text of an object or a list is dropped."""
+    kind = lambda v: F.schema_of_variant(F.try_parse_json(v))
+    scalar = lambda v: ~F.coalesce(kind(v).startswith("OBJECT") | kind(v).startswith("ARRAY"), F.lit(False))
+    # An object too broken or too deep to be parsed is no scalar either.
+    kept = F.map_filter(col(c), lambda k, v: k.isin(METADATA_KEYS) & v.isNotNull() & ~F.ltrim(v).startswith("{") & scalar(v))
+    return redact_map(kept)
 
 
 def safe_identifier(c: Column | str, fallback: str | Column, limit: int | None = None) -> Column:

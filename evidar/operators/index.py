@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidar.config import DEFAULT, Config
-from evidar.functions.expr import SPACE, half_up, trim_ws
+from evidar.functions.expr import SPACE, cut, half_up, trim_ws
 from evidar.functions.structure import chunk_pieces, segment_text
 from evidar.functions.text import infer_title, is_meaningful, normalize_ws
 from evidar.operators.ranking import top_k
@@ -101,14 +101,14 @@ def running_budget(df: DataFrame, keys: list[str], order: str, size: str, limit:
 
 
 def budget_sections(sections: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """P13 for sections: the first ones, cut at the character budget."""
-    first = top_k(sections, ["doc_id"], [F.col("node_seq")], cfg.max_sections, "section_pos")
-    sized = first.withColumn("_chars", F.length("text"))
-    # At most max_sections rows per document reach this window.
-    before = Window.partitionBy("doc_id").orderBy("section_pos").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.lit(cfg.max_chars) - F.coalesce(F.sum("_chars").over(before), F.lit(0))
-    kept = sized.withColumn("_left", left).filter(F.col("_left") > 0)
-    return kept.withColumn("text", F.substring("text", F.lit(1), F.col("_left"))).drop("_left", "_chars")
+    """P13 for sections: numbered in order; the first ones, cut at the character budget, where limits are given."""
+    placed = carry(sections, ["doc_id"], None, ["node_seq"], index="section_pos", before={"_before": F.length("text")})
+    if cfg.max_sections is not None:
+        placed = placed.filter(F.col("section_pos") <= cfg.max_sections)
+    if cfg.max_chars is not None:
+        placed = placed.withColumn("_left", F.lit(cfg.max_chars) - F.col("_before")).filter(F.col("_left") > 0)
+        placed = placed.withColumn("text", F.substring("text", F.lit(1), F.col("_left").cast("int"))).drop("_left")
+    return placed.withColumn("section_pos", F.col("section_pos").cast("int")).drop("_before")
 
 
 def segments(sections: DataFrame) -> DataFrame:
@@ -128,14 +128,18 @@ def chunk_sections(sections: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 
 def apply_budgets(sections: DataFrame, cfg: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """Chunks within all budgets, and one header row per document.
+    """Chunks within the budgets that are given, and one header row per document.
 
     ``truncated`` tells whether anything was left out, except chunks cut inside
     the last section.
     """
     safe = budget_sections(sections, cfg)
     made = chunk_sections(safe, cfg)
-    numbered = top_k(made, ["doc_id"], [F.col("section_pos"), F.col("piece_pos")], cfg.max_chunks, "_n")
+    order = ["section_pos", "piece_pos"]
+    if cfg.max_chunks is None:
+        numbered = carry(made, ["doc_id"], None, order, index="_n")
+    else:
+        numbered = top_k(made, ["doc_id"], [F.col(c) for c in order], cfg.max_chunks, "_n")
     chunks = numbered.withColumn("chunk_ordinal", (F.col("_n") - 1).cast("bigint")).drop("_n")
 
     full = sections.groupBy("doc_id").agg(
@@ -147,12 +151,12 @@ def apply_budgets(sections: DataFrame, cfg: Config = DEFAULT) -> tuple[DataFrame
     )
     kept = chunks.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("chunk_count"),
-        F.max(F.when(F.col("chunk_ordinal") == cfg.max_chunks - 1, F.col("section_pos"))).alias("_filled_in"),
+        F.max(F.when(F.col("chunk_ordinal") == (cfg.max_chunks or 0) - 1, F.col("section_pos"))).alias("_filled_in"),
     )
     header = full.join(used, "doc_id").join(kept, "doc_id", "left").select(
         "doc_id", "section_count", "character_count", F.coalesce("chunk_count", F.lit(0).cast("bigint")).alias("chunk_count"),
         (
-            (F.col("_sections") > cfg.max_sections)
+            (F.lit(False) if cfg.max_sections is None else F.col("_sections") > cfg.max_sections)
             | (F.col("_chars") > F.col("character_count"))
             | F.coalesce(F.col("_filled_in") < F.col("_last"), F.lit(False))
         ).alias("truncated"),
@@ -160,8 +164,11 @@ def apply_budgets(sections: DataFrame, cfg: Config = DEFAULT) -> tuple[DataFrame
     return chunks, header
 
 
-def union_visual(chunks: DataFrame, analyses: DataFrame) -> DataFrame:
-    """Add chunks made from visual analyses.
+def union_visual(
+    chunks: DataFrame, analyses: DataFrame, max_title: int | None = None, max_summary: int | None = None,
+    max_observations: int | None = None, max_relationships: int | None = None,
+) -> DataFrame:
+    """Add chunks made from visual analyses, whole or up to the limits given.
 
     ``analyses``: collection_id, file_name, kind, number, visual_id, visual_kind, title, summary,
     observations, relationships, confidence.
@@ -170,23 +177,27 @@ def union_visual(chunks: DataFrame, analyses: DataFrame) -> DataFrame:
     def block(heading: str, lines) -> "F.Column":
         return F.when(F.size(lines) > 0, F.concat(F.lit(f"{heading}：\n- "), F.array_join(lines, "\n- ")))
 
-    some = lambda c, n: F.slice(F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda s: s != ""), 1, n)
+    def some(c: str, n: int | None):
+        filled = F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda s: s != "")
+        return filled if n is None else F.slice(filled, 1, n)
+
+    title = cut("title", max_title)
     sure = F.least(F.greatest(F.coalesce(F.nullif("confidence", F.lit(0.0)), F.lit(0.5)), F.lit(0.0)), F.lit(1.0))
     visual = analyses.select(
         "collection_id", "file_name", "kind", "number",
         F.concat(F.col("kind"), F.lit("-"), F.col("number").cast("string"), F.lit("-visual-"), F.col("visual_id")).alias("chunk_id"),
         F.when(F.col("kind") == "slide", F.concat(F.lit("幻灯片 "), F.col("number").cast("string")))
         .otherwise(F.concat(F.lit("第 "), F.col("number").cast("string"), F.lit(" 页"))).alias("label"),
-        F.substring("title", 1, 140).alias("title"), F.lit("visual").alias("content_type"),
+        title.alias("title"), F.lit("visual").alias("content_type"),
         F.array(F.lit("visual")).alias("structure_types"), F.lit("vision").alias("text_origin"),
         F.round(F.lit(0.7) + sure * 0.3, 4).alias("evidence_weight"),
         F.concat_ws(
             "\n",
             F.concat(F.lit("视觉证据类型："), F.col("visual_kind")),
-            F.concat(F.lit("标题："), F.substring("title", 1, 140)),
-            F.concat(F.lit("摘要："), F.substring("summary", 1, 1_000)),
-            block("可见元素", some("observations", 12)),
-            block("可见关系", some("relationships", 10)),
+            F.concat(F.lit("标题："), title),
+            F.concat(F.lit("摘要："), cut("summary", max_summary)),
+            block("可见元素", some("observations", max_observations)),
+            block("可见关系", some("relationships", max_relationships)),
         ).alias("text"),
     )
     return chunks.unionByName(visual, allowMissingColumns=True)
@@ -224,19 +235,21 @@ def no_text_documents(sections: DataFrame, headers: DataFrame, visuals: DataFram
     return poor.select("doc_id", F.lit("NO_TEXT_LAYER").alias("error_code"))
 
 
-def sanitize_chunks(chunks: DataFrame, max_chunks: int | None = None, max_chars: int | None = None) -> DataFrame:
-    """Chunks with clamped fields; short texts dropped. Limits per collection and per text only where they are given."""
+def sanitize_chunks(
+    chunks: DataFrame, max_chunks: int | None = None, max_chars: int | None = None, max_title: int | None = None,
+    max_label: int | None = None, max_number: int | None = None,
+) -> DataFrame:
+    """Chunks with clamped fields; short texts dropped. Ids and file names stay whole; limits hold only where they are given."""
     first = chunks if max_chunks is None else top_k(chunks, ["collection_id"], [F.col("chunk_ordinal")], max_chunks, "_pos").drop("_pos")
     text = normalize_ws("text") if max_chars is None else F.substring(normalize_ws("text"), 1, max_chars)
+    in_range = F.col("number") >= 1 if max_number is None else F.col("number").between(1, max_number)
     keep = lambda c, allowed, other: F.when(F.col(c).isin(allowed), F.col(c)).otherwise(other)
     out = (
         first.filter(F.col("chunk_id").isNotNull() & F.col("text").isNotNull() & F.col("label").isNotNull())
-        .withColumn("chunk_id", F.substring("chunk_id", 1, 120))
-        .withColumn("file_name", F.substring("file_name", 1, 180))
-        .withColumn("title", F.substring(F.coalesce("title", "label"), 1, 140))
-        .withColumn("label", F.substring("label", 1, 80))
+        .withColumn("title", cut(F.coalesce("title", "label"), max_title))
+        .withColumn("label", cut("label", max_label))
         .withColumn("kind", keep("kind", ["page", "slide", "section"], "section"))
-        .withColumn("number", F.when(F.col("number").between(1, 120), F.col("number")).otherwise(1))
+        .withColumn("number", F.when(in_range, F.col("number")).otherwise(1))
         .withColumn("content_type", keep("content_type", ["prose", "list", "definition", "table", "code", "visual"], "prose"))
         .withColumn("text_origin", keep("text_origin", ["native", "ocr", "mixed", "vision"], "native"))
         .withColumn("text", text)

@@ -17,7 +17,9 @@ from evidar.session import checkpointed
 
 
 def limiter_key(scope: Column | str, key: Column | str) -> Column:
-    return F.substring(F.concat(F.substring(scope, 1, 80), F.lit(":"), F.coalesce(key, F.lit("unknown"))), 1, 256)
+    """Scope and key in one text; a long one is told apart by its hash."""
+    whole = F.concat(scope, F.lit(":"), F.coalesce(key, F.lit("unknown")))
+    return F.when(F.length(whole) > 256, F.concat(F.substring(whole, 1, 80), F.lit("#"), F.sha2(whole, 256))).otherwise(whole)
 
 
 def _next_target(rows: DataFrame, width: int) -> DataFrame:

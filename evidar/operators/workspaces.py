@@ -15,7 +15,7 @@ CHECKPOINT_JSON = (
     "failedPageCount STRING, inspectedPageCount STRING>, chunks ARRAY<STRUCT<id STRING, text STRING, number STRING>>"
 )
 # Fixed values.
-STAGES, CHECKPOINT_BYTES, EXTRA_CHUNKS, CHECKPOINT_TEXT = ["parsed", "vision"], 3 * 1024 * 1024, 16, 20_000
+STAGES = ["parsed", "vision"]
 
 
 def list_workspaces(workspaces: DataFrame) -> DataFrame:
@@ -56,25 +56,30 @@ def orphans(documents: DataFrame, workspaces: DataFrame, jobs: DataFrame) -> tup
     return unused, jobs.join(unused.select("fingerprint"), "fingerprint", "left_semi")
 
 
-def validate_checkpoint(rows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """V1: error code of stored checkpoints. ``rows``: stage, json."""
+def validate_checkpoint(rows: DataFrame, cfg: Config = DEFAULT, max_bytes: int | None = None, max_text: int | None = None) -> DataFrame:
+    """V1: error code of stored checkpoints. ``rows``: stage, json. Numbers of pages and chunks, texts and sizes are limited only as ``cfg`` and
+    the parameters say.
+    """
+    def at_most(value, limit):
+        return F.lit(True) if limit is None else value <= limit
+
     c = F.from_json("json", CHECKPOINT_JSON)
     rows = rows.withColumn("_c", c)
     whole = lambda name, low: F.coalesce(
         (safe_number(F.col(f"_c.ocr.{name}")) == F.floor(safe_number(F.col(f"_c.ocr.{name}")))) & (safe_number(F.col(f"_c.ocr.{name}")) >= low), F.lit(False))
     value = lambda name: safe_number(F.col(f"_c.ocr.{name}"))
     summary = (
-        whole("totalPageCount", 1) & (value("totalPageCount") <= cfg.max_sections) & whole("successfulPageCount", 0) & whole("failedPageCount", 0)
+        whole("totalPageCount", 1) & at_most(value("totalPageCount"), cfg.max_sections) & whole("successfulPageCount", 0) & whole("failedPageCount", 0)
         & (value("successfulPageCount") + value("failedPageCount") == value("totalPageCount")) & (value("inspectedPageCount") == value("totalPageCount"))
     )
     number = lambda k: k["number"].try_cast("double")
     chunk_ok = lambda k: F.coalesce(
-        k["id"].isNotNull() & k["text"].isNotNull() & (F.length(k["text"]) <= CHECKPOINT_TEXT)
-        & (number(k) == F.floor(number(k))) & number(k).between(1, cfg.max_sections), F.lit(False))
+        k["id"].isNotNull() & k["text"].isNotNull() & at_most(F.length(k["text"]), max_text)
+        & (number(k) == F.floor(number(k))) & (number(k) >= 1) & at_most(number(k), cfg.max_sections), F.lit(False))
     valid = (
-        F.col("stage").isin(STAGES) & (F.octet_length("json") <= CHECKPOINT_BYTES) & (F.col("_c.indexVersion") == str(cfg.index_version))
+        F.col("stage").isin(STAGES) & at_most(F.octet_length("json"), max_bytes) & (F.col("_c.indexVersion") == str(cfg.index_version))
         & (F.col("_c.ocr.mode") == "force") & summary & F.col("_c.id").isNotNull() & F.col("_c.name").isNotNull()
-        & (F.size("_c.chunks") <= cfg.max_chunks + EXTRA_CHUNKS) & F.forall("_c.chunks", chunk_ok)
+        & at_most(F.size("_c.chunks"), cfg.max_chunks) & F.forall("_c.chunks", chunk_ok)
     )
     code = F.when(F.col("json").isNull(), None).when(~F.coalesce(valid, F.lit(False)), "INVALID_CHECKPOINT")
     return rows.withColumn("error_code", code).drop("_c")

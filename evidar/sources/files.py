@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidar.config import DEFAULT, Config
+from evidar.functions.expr import first_match
 from evidar.functions.records import file_extension, file_reject_code, fingerprint
 
 EVENT_LOG = (
@@ -20,11 +21,21 @@ EVAL_DATASET = (
 )
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a folder with name, size and content."""
+# MIME type by extension; any other extension is of unknown type.
+MIME_OF = {
+    "pdf": "application/pdf",
+    "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
+}
+
+
+def read_files(spark: SparkSession, path: str, cfg: Config = DEFAULT) -> DataFrame:
+    """Files of a folder with name, size, MIME type and content. Content above the size that ``intake`` takes is not read: NULL."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"),
-                        F.lit("").alias("mime_type"), "content", "path")
+    small = files.where(F.col("length") <= cfg.max_file_bytes)
+    large = files.where(F.col("length") > cfg.max_file_bytes).withColumn("content", F.lit(None).cast("binary"))
+    name = F.element_at(F.split("path", "/"), -1)
+    mime = first_match(((file_extension(name) == e, m) for e, m in MIME_OF.items()), "application/octet-stream")
+    return small.unionByName(large).select(name.alias("name"), F.col("length").alias("size"), mime.alias("mime_type"), "content", "path")
 
 
 def intake(files: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -76,9 +87,9 @@ def write_experiment_csv(events: DataFrame, path: str) -> None:
     experiment_csv_rows(events).write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"')
 
 
-def read_eval(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Chunks, cases, OCR samples and priorities of evaluation datasets."""
-    raw = spark.read.schema(EVAL_DATASET).json(path, multiLine=True)
+def read_eval(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
+    """Chunks, cases, OCR samples and priorities of evaluation datasets: one in a file, or with ``lines`` one in a line."""
+    raw = spark.read.schema(EVAL_DATASET).json(path, multiLine=not lines)
     docs = raw.select(F.explode("documents").alias("d"))
     chunks = docs.select(F.col("d.id").alias("collection_id"), F.posexplode("d.chunks").alias("chunk_ordinal", "c")).select(
         "collection_id", F.col("c.id").alias("chunk_id"), F.col("chunk_ordinal").cast("bigint").alias("chunk_ordinal"), F.col("c.fileName").alias("file_name"),
@@ -94,8 +105,8 @@ def read_eval(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    """The report row as JSON."""
-    report.coalesce(1).write.mode("overwrite").json(path)
+    """Report rows as JSON lines."""
+    report.write.mode("overwrite").json(path)
 
 
 def asset_audit(expected: DataFrame, observed: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -97,6 +97,22 @@ def test_nested_redaction(spark):
     assert scalar(spark, T.redact_map(F.lit(None).cast("map<string,string>"))) is None
 
 
+def test_redaction_fails_closed(spark):
+    deep = "[" * 100_000 + '{"apiKey":"hunter2"}' + "]" * 100_000
+    cases = ['"{\\"apiKey\\":\\"hunter2\\"}"', deep, '{"n":1,"password": "hunter2", broken', '{"secret":{"a":"hunter2"},"x":', '{"a":"{\\"apiKey\\":\\"hunter2\\" oops"']
+    df = spark.createDataFrame([(c,) for c in cases], "t string")
+    got = [r.x for r in df.select(T.redact_json("t").alias("x")).collect()]
+    assert not any("hunter2" in g for g in got) and all("[REDACTED]" in g for g in got)
+    assert got[2] == '{"n":1,"password":"[REDACTED]", broken'
+    same = ['"plain text"', "not json: password", '{"n": 1, "note": "keep"}', '"{broken"', '[1, 2']
+    assert [r.x for r in spark.createDataFrame([(c,) for c in same], "t string").select(T.redact_json("t").alias("x")).collect()] == same
+    body = F.create_map(*[F.lit(x) for x in (
+        "appVersion", '{"apiKey":"hunter2"}', "modelVersion", '["hunter2"]', "buildCommit", "[draft] 1", "promptVersion", '{"apiKey":"hunter2"', "materialHash", '"{\\"apiKey\\":\\"hunter2\\"}"', "other", "x", "materialVersion", "7")])
+    kept = scalar(spark, T.sanitize_metadata(body))
+    assert "hunter2" not in str(kept) and {k: kept[k] for k in ("buildCommit", "materialVersion")} == {"buildCommit": "[draft] 1", "materialVersion": "7"}
+    assert set(kept) == {"buildCommit", "materialVersion", "materialHash"}
+
+
 def test_long_texts_are_kept_whole(spark):
     long = F.repeat(F.lit("ab "), 100_000)
     assert scalar(spark, F.length(T.canonical_text(long))) == 299_999
