@@ -28,6 +28,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote, once everything made from them is stored itself; a union of such tables is taken apart by its files."""
+    for table in tables:
+        spark = table.sparkSession
+        folders = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
+        for folder in folders:
+            if "/evidar/" in folder:
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def remainder(name: str, divisor: int):
     """crc32 of an id as text, modulo ``divisor``; a NULL id counts as remainder 0."""
     return F.coalesce(F.crc32(F.col(name).cast("string")) % divisor, F.lit(0)).cast("int")
@@ -136,7 +147,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = stored(tidy(small.unionByName(low.select("a", F.col("m").alias("b")))), "links")
+        following = stored(tidy(small.unionByName(low.select("a", F.col("m").alias("b")))), "links")
+        discard(links)
+        links = following
         after = stamp(links)
         if after == before:
             break
