@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidar.functions.expr import let
 from evidar.llm.common import stored
 
 WINDOW = 8
@@ -25,7 +26,6 @@ UNIT_WORDS = "|".join(sorted(set(UNITS), key=lambda u: (-len(u), u)))
 UNIT_RULE = rf"({NUMBER}[0-9.,:/]+)\s*({UNIT_WORDS})([^\p{{L}}]|$)"
 #: As the SQL has it: only a unit joined to its number.
 SQL_UNIT_RULE = rf"({NUMBER}[0-9.,:/]+)\s?({UNIT_WORDS})([^\p{{L}}]|$)"
-VALUE_RULE = rf"(?<=[{NAME}{UNIT}])\p{{L}}+|(?<={NUMBER})[0-9.,:/]+"
 SQL_TOKEN_RULE = rf"{NUMBER}[0-9.,:/]+|[{NAME}{UNIT}]?\p{{L}}+"
 #: Letters of scripts that put no blanks between words; each is a token.
 UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
@@ -70,8 +70,10 @@ def verbatim(token: Column) -> Column:
 
 def _windows(hashes: Column, size: Column) -> Column:
     """Hash of every run of ``size`` token hashes; NULL when there are fewer."""
-    last = F.size(hashes) - size
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(hashes, i + 1, size))))
+    def cut(h: Column) -> Column:
+        return F.when(F.size(h) >= size, F.transform(F.sequence(F.lit(0), F.size(h) - size), lambda i: F.xxhash64(F.slice(h, i + 1, size))))
+
+    return let(hashes, cut)
 
 
 def _items(benchmark: DataFrame, window: int, shortest: int) -> DataFrame:
@@ -93,6 +95,51 @@ def _items(benchmark: DataFrame, window: int, shortest: int) -> DataFrame:
     return one.unionByName(two).withColumn("key", F.xxhash64(F.transform("cut", lambda t: F.xxhash64(t)))).drop("short")
 
 
+def _runs(text: Column) -> Column:
+    """The letter runs of a text in lower case: the tokens without numbers, whatever their marks."""
+    clean = F.when(text.rlike(UNSPACED), F.regexp_replace(text, UNSPACED, " $1 ")).otherwise(text)
+    return F.regexp_extract_all(F.lower(clean), F.lit(r"\p{L}+"), F.lit(0))
+
+
+def _anchors(items: DataFrame) -> DataFrame:
+    """(apart, key), one for each window of ``_items``: every text that holds the window has the key among its ``_anchor_keys``.
+
+    Numbers aside, the tokens of a window are letter runs that follow each other, and those that are no marks are known. Of the two
+    known ones that stand closest together (ties: the longest, as rare ones mostly are), the key is a hash of both and their distance; of a
+    window with one known word, of that word (0 apart); of one without, of the first digits of its first number (-1).
+    """
+    known = lambda w, c: F.when(F.col("rule") == "verbatim", F.translate(w, NUMBER + NAME + UNIT + BEGIN, "")).when(~c.isin(NAME, UNIT), c)
+    both = F.filter(F.arrays_zip("words", "cut"), lambda p: F.substring(p["words"], 1, 1) != NUMBER)
+    runs = items.select(F.transform(both, lambda p: known(p["words"], p["cut"])).alias("r"), F.regexp_extract(F.array_join("words", " "), "[0-9]+", 0).alias("digits"))
+    runs = runs.withColumn("i", F.explode(F.sequence(F.lit(-1), F.size("r") - 1))).withColumn("j", F.explode(F.sequence(F.lit(-1), F.size("r") - 1)))
+    one, two = F.get("r", F.col("i")), F.get("r", F.col("j"))
+    pair = F.when((F.col("i") >= 0) & (F.col("j") > F.col("i")) & one.isNotNull() & two.isNotNull(), F.col("j") - F.col("i"))
+    single = F.when((F.col("i") >= 0) & (F.col("j") == F.col("i")) & one.isNotNull(), 0)
+    number = F.when((F.col("i") == -1) & (F.col("j") == -1) & (F.col("digits") != ""), -1)
+    apart = F.coalesce(pair, single, number).alias("apart")
+    left = F.when(number.isNotNull(), F.col("digits")).otherwise(one).alias("one")
+    right = F.when(pair.isNotNull(), two).otherwise(F.lit("")).alias("two")
+    made = runs.select("r", "digits", apart, left, right).where("apart IS NOT NULL")
+    # Pairs before single words before numbers; close ones first.
+    rank = F.when(F.col("apart") > 0, F.col("apart")).otherwise(100 - F.col("apart"))
+    best = made.groupBy("r", "digits").agg(F.min(F.struct(rank, -(F.length("one") + F.length("two")), "apart", "one", "two")).alias("b"))
+    return best.select("b.apart", F.xxhash64("b.apart", "b.one", "b.two").alias("key")).distinct()
+
+
+def _anchor_keys(text: Column, apart: list[int]) -> Column:
+    """Distinct hashes of all pairs of letter runs that are ``apart``, of single runs (0) and of digits (-1)."""
+    def of_runs(d: int):
+        if d == 0:
+            return lambda r: F.transform(r, lambda w: F.xxhash64(F.lit(0), w, F.lit("")))
+        return lambda r: F.zip_with(r, F.slice(r, d + 1, F.greatest(F.size(r) - d, F.lit(0))), lambda w, v: F.when(v.isNotNull(), F.xxhash64(F.lit(d), w, v)))
+
+    none = F.array().cast("array<bigint>")
+    parts = [let(_runs(text), lambda r: F.concat(none, *[of_runs(d)(r) for d in apart if d >= 0]))]
+    if -1 in apart:
+        parts.append(F.transform(F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0)), lambda w: F.xxhash64(F.lit(-1), w, F.lit(""))))
+    return F.concat(*parts)
+
+
 def _judged(met: DataFrame) -> DataFrame:
     """(doc_id, body_hash, item_id, n_windows, n_slots, exact) of the matched windows whose slots are consistent."""
     met = met.withColumn("same", F.forall("slots", lambda p: p["own"] == p["words"]))
@@ -119,16 +166,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest:
     of any other those with all their own values unchanged; ``exact`` says that a consistent alignment or such a window has all values unchanged.
     Items found by the first template are judged by its windows alone, others by those of both.
 
-    The first pass only tells which documents have a template window of any item. The benchmark's windows are written first; Spark
-    broadcasts them when that table is under its limit and shuffles otherwise. Windows, slots and alignments are then
-    only built for those documents. NULL texts and items without a token match nothing; items of fewer than ``shortest`` tokens and windows of
+    The first pass only tells which documents hold the anchor of a window: two of its words at their distance. The benchmark's anchors are
+    written first; Spark broadcasts them when that table is under its limit and shuffles otherwise. Texts are marked and cut into windows, slots
+    and alignments only for those documents. NULL texts and items without a token match nothing; items of fewer than ``shortest`` tokens and windows of
     mostly values match only word by word with their values. Rows equal in id and text are one document.
     Alignments hold at most one row per window of an item, whatever the document's length.
     """
     items = stored(_items(benchmark, window, shortest), "items")
-    keys = stored(items.select("size", "key", "rule").distinct().coalesce(1), "keys")
     rules = {"template": template, "named": named, "verbatim": verbatim}
-    sizes = [(r["size"], r["rule"]) for r in keys.select("size", "rule").distinct().collect()]
+    sizes = [(r["size"], r["rule"]) for r in items.select("size", "rule").distinct().collect()]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.where("text IS NOT NULL").withColumn("body_hash", F.xxhash64("text"))
     empty = rows.select("doc_id", "body_hash", F.lit(None).cast("long").alias("item_id")).where("false")
@@ -137,18 +183,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest:
         return empty.select("*", *counts)
 
     hashes = lambda t, rule: F.transform(t, lambda w: F.xxhash64(rule(w)))
-    # Templates are cut in the text, before it becomes tokens; the text is marked once.
     of = {name for _, name in sizes}
-    words = lambda m: F.filter(F.split(F.regexp_replace(m, VALUE_RULE, ""), rf"[^\p{{L}}{NUMBER}{NAME}{UNIT}]+"), lambda t: t != "")
-    cut = {"template": F.translate("m", BEGIN, ""), "named": F.translate("m", BEGIN, NAME)}
-    hashed = rows.select("doc_id", "body_hash", marked(F.col("text")).alias("m"))
-    hashed = hashed.select("doc_id", "body_hash", *[
-        (hashes(tokens(F.col("m")), verbatim) if name == "verbatim" else F.transform(words(cut[name]), lambda t: F.xxhash64(t))).alias(name) for name in sorted(of)
-    ])
-    made = F.concat(*[F.coalesce(_windows(F.col(name), F.lit(size)), F.array().cast("array<bigint>")) for size, name in sizes])
-    made = hashed.select("doc_id", "body_hash", F.explode(made).alias("key"))
-    found = made.join(keys.select("key").distinct(), "key", "left_semi").select("doc_id", "body_hash")
-    suspects = stored(found.distinct(), "suspects").withColumnsRenamed({"doc_id": "_id", "body_hash": "_hash"})
+    anchors = stored(_anchors(items).coalesce(1), "anchors")
+    apart = [r["apart"] for r in anchors.select("apart").distinct().collect()]
+    found = rows.select("doc_id", "body_hash", F.explode(_anchor_keys(F.col("text"), apart)).alias("key")).join(anchors.select("key").distinct(), "key", "left_semi")
+    suspects = stored(found.select("doc_id", "body_hash").distinct(), "suspects").withColumnsRenamed({"doc_id": "_id", "body_hash": "_hash"})
 
     near = rows.join(suspects, rows.doc_id.eqNullSafe(suspects._id) & (rows.body_hash == suspects._hash), "left_semi")
     near = near.dropDuplicates(["doc_id", "body_hash"]).select("doc_id", "body_hash", tokens(marked(F.col("text"))).alias("t"))
@@ -185,9 +224,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest: int = SHORTEST) -> DataFrame:
     """``docs`` without those that hold a benchmark item, exact or re-parameterised; all columns are kept."""
-    gone = leaks(docs, benchmark, window, shortest).select(F.col("doc_id").alias("_id"), F.col("body_hash").alias("_hash")).distinct()
-    own = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash"))
-    return docs.join(gone, own, "left_anti")
+    gone = leaks(docs, benchmark, window, shortest).select(F.col("doc_id").alias("gone_id"), F.col("body_hash").alias("gone_hash")).distinct()
+    # The row travels as one column, so its own columns may have any name.
+    rows = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(F.col("text").cast("string")).alias("own_hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(gone, F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_hash") == F.col("gone_hash")), "left_anti").select("row.*")
 
 
 def op9_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
