@@ -10,6 +10,9 @@ from evidar.llm.common import stored
 
 WINDOW = 8
 SHORTEST = 5
+#: Most words of an anchor.
+GRAM = 4
+PART = "struct<kind:string,n:int,rank:int,w:array<string>>"
 #: Unit words that count as a unit after a number.
 UNITS = (
     "km m cm mm mi miles mile feet ft inches inch kg g mg lb lbs pounds oz l ml liters litres hours hour h minutes min seconds sec s days "
@@ -102,41 +105,47 @@ def _runs(text: Column) -> Column:
 
 
 def _anchors(items: DataFrame) -> DataFrame:
-    """(apart, key), one for each window of ``_items``: every text that holds the window has the key among its ``_anchor_keys``.
+    """(kind, n, key), one for each window of ``_items``: every text that holds the window has the key among its ``_anchor_keys``.
 
-    Numbers aside, the tokens of a window are letter runs that follow each other, and those that are no marks are known. Of the two
-    known ones that stand closest together (ties: the longest, as rare ones mostly are), the key is a hash of both and their distance; of a
-    window with one known word, of that word (0 apart); of one without, of the first digits of its first number (-1).
+    Numbers aside, the tokens of a window are letter runs that follow each other, and those that are no marks are known. The key is a hash
+    of up to ``GRAM`` known ones in a row (ties: the longest, as rare ones mostly are); where no two follow each other, of the closest two and their
+    distance; else of the one that is known; of a window without any, of the first digits of its first number.
     """
     known = lambda w, c: F.when(F.col("rule") == "verbatim", F.translate(w, NUMBER + NAME + UNIT + BEGIN, "")).when(~c.isin(NAME, UNIT), c)
     both = F.filter(F.arrays_zip("words", "cut"), lambda p: F.substring(p["words"], 1, 1) != NUMBER)
     runs = items.select(F.transform(both, lambda p: known(p["words"], p["cut"])).alias("r"), F.regexp_extract(F.array_join("words", " "), "[0-9]+", 0).alias("digits"))
-    runs = runs.withColumn("i", F.explode(F.sequence(F.lit(-1), F.size("r") - 1))).withColumn("j", F.explode(F.sequence(F.lit(-1), F.size("r") - 1)))
-    one, two = F.get("r", F.col("i")), F.get("r", F.col("j"))
-    pair = F.when((F.col("i") >= 0) & (F.col("j") > F.col("i")) & one.isNotNull() & two.isNotNull(), F.col("j") - F.col("i"))
-    single = F.when((F.col("i") >= 0) & (F.col("j") == F.col("i")) & one.isNotNull(), 0)
-    number = F.when((F.col("i") == -1) & (F.col("j") == -1) & (F.col("digits") != ""), -1)
-    apart = F.coalesce(pair, single, number).alias("apart")
-    left = F.when(number.isNotNull(), F.col("digits")).otherwise(one).alias("one")
-    right = F.when(pair.isNotNull(), two).otherwise(F.lit("")).alias("two")
-    made = runs.select("r", "digits", apart, left, right).where("apart IS NOT NULL")
-    # Pairs before single words before numbers; close ones first.
-    rank = F.when(F.col("apart") > 0, F.col("apart")).otherwise(100 - F.col("apart"))
-    best = made.groupBy("r", "digits").agg(F.min(F.struct(rank, -(F.length("one") + F.length("two")), "apart", "one", "two")).alias("b"))
-    return best.select("b.apart", F.xxhash64("b.apart", "b.one", "b.two").alias("key")).distinct()
-
-
-def _anchor_keys(text: Column, apart: list[int]) -> Column:
-    """Distinct hashes of all pairs of letter runs that are ``apart``, of single runs (0) and of digits (-1)."""
-    def of_runs(d: int):
-        if d == 0:
-            return lambda r: F.transform(r, lambda w: F.xxhash64(F.lit(0), w, F.lit("")))
-        return lambda r: F.zip_with(r, F.slice(r, d + 1, F.greatest(F.size(r) - d, F.lit(0))), lambda w, v: F.when(v.isNotNull(), F.xxhash64(F.lit(d), w, v)))
+    runs = runs.withColumn("i", F.explode(F.sequence(F.lit(-1), F.size("r") - 1))).withColumn("j", F.explode(F.sequence(F.col("i"), F.size("r") - 1)))
+    i, j = F.col("i"), F.col("j")
+    between = F.when(i >= 0, F.slice("r", F.greatest(i, F.lit(0)) + 1, j - i + 1))
+    one, two = F.get("r", i), F.get("r", j)
+    gram = (j > i) & (j - i < GRAM) & F.forall(between, lambda w: w.isNotNull())
+    pair = (i >= 0) & (j > i) & one.isNotNull() & two.isNotNull()
+    single = (i >= 0) & (j == i) & one.isNotNull()
+    number = (i == -1) & (j == -1) & (F.col("digits") != "")
+
+    def as_(kind: str, n: Column, rank: Column, words: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), n.cast("int").alias("n"), rank.cast("int").alias("rank"), words.alias("w")).cast(PART)
+
+    found = (
+        F.when(gram & (i >= 0), as_("gram", j - i + 1, GRAM - (j - i), between)).when(pair, as_("pair", j - i, 100 + j - i, F.array(one, two)))
+        .when(single, as_("gram", F.lit(1), F.lit(1_000_000), F.array(one))).when(number, as_("digits", F.lit(1), F.lit(2_000_000), F.array("digits")))
+    )
+    made = runs.select("r", "digits", found.alias("p")).where("p IS NOT NULL")
+    long = -F.length(F.array_join("p.w", ""))
+    best = made.groupBy("r", "digits").agg(F.min(F.struct(F.col("p.rank"), long, F.col("p"))).alias("b"))
+    return best.select("b.p.kind", "b.p.n", F.xxhash64("b.p.kind", "b.p.n", "b.p.w").alias("key")).distinct()
+
+
+def _anchor_keys(text: Column, kinds: list[tuple[str, int]]) -> Column:
+    """Hashes of all grams of n letter runs, of pairs n apart, and of digits, as ``kinds`` asks for."""
+    def of_runs(r: Column, kind: str, n: int) -> Column:
+        words = (lambda w, i: F.slice(r, i + 1, n)) if kind == "gram" else (lambda w, i: F.array(w, F.get(r, i + n)))
+        return F.transform(r, lambda w, i: F.xxhash64(F.lit(kind), F.lit(n), words(w, i)))
 
     none = F.array().cast("array<bigint>")
-    parts = [let(_runs(text), lambda r: F.concat(none, *[of_runs(d)(r) for d in apart if d >= 0]))]
-    if -1 in apart:
-        parts.append(F.transform(F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0)), lambda w: F.xxhash64(F.lit(-1), w, F.lit(""))))
+    parts = [let(_runs(text), lambda r: F.concat(none, *[of_runs(r, kind, n) for kind, n in kinds if kind != "digits"]))]
+    if ("digits", 1) in kinds:
+        parts.append(F.transform(F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0)), lambda w: F.xxhash64(F.lit("digits"), F.lit(1), F.array(w))))
     return F.concat(*parts)
 
 
@@ -166,7 +175,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest:
     of any other those with all their own values unchanged; ``exact`` says that a consistent alignment or such a window has all values unchanged.
     Items found by the first template are judged by its windows alone, others by those of both.
 
-    The first pass only tells which documents hold the anchor of a window: two of its words at their distance. The benchmark's anchors are
+    The first pass only tells which documents hold the anchor of a window: a few of its words in a row. The benchmark's anchors are
     written first; Spark broadcasts them when that table is under its limit and shuffles otherwise. Texts are marked and cut into windows, slots
     and alignments only for those documents. NULL texts and items without a token match nothing; items of fewer than ``shortest`` tokens and windows of
     mostly values match only word by word with their values. Rows equal in id and text are one document.
@@ -185,8 +194,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest:
     hashes = lambda t, rule: F.transform(t, lambda w: F.xxhash64(rule(w)))
     of = {name for _, name in sizes}
     anchors = stored(_anchors(items).coalesce(1), "anchors")
-    apart = [r["apart"] for r in anchors.select("apart").distinct().collect()]
-    found = rows.select("doc_id", "body_hash", F.explode(_anchor_keys(F.col("text"), apart)).alias("key")).join(anchors.select("key").distinct(), "key", "left_semi")
+    kinds = [(r["kind"], r["n"]) for r in anchors.select("kind", "n").distinct().collect()]
+    found = rows.select("doc_id", "body_hash", F.explode(_anchor_keys(F.col("text"), kinds)).alias("key")).join(anchors.select("key").distinct(), "key", "left_semi")
     suspects = stored(found.select("doc_id", "body_hash").distinct(), "suspects").withColumnsRenamed({"doc_id": "_id", "body_hash": "_hash"})
 
     near = rows.join(suspects, rows.doc_id.eqNullSafe(suspects._id) & (rows.body_hash == suspects._hash), "left_semi")
