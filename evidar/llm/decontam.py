@@ -11,7 +11,7 @@ from evidar.llm.common import stored
 WINDOW = 8
 SHORTEST = 5
 #: Most words of an anchor.
-GRAM = 4
+GRAM = 3
 PART = "struct<kind:string,n:int,rank:int,w:array<string>>"
 #: Unit words that count as a unit after a number.
 UNITS = (
@@ -133,19 +133,23 @@ def _anchors(items: DataFrame) -> DataFrame:
     made = runs.select("r", "digits", found.alias("p")).where("p IS NOT NULL")
     long = -F.length(F.array_join("p.w", ""))
     best = made.groupBy("r", "digits").agg(F.min(F.struct(F.col("p.rank"), long, F.col("p"))).alias("b"))
-    return best.select("b.p.kind", "b.p.n", F.xxhash64("b.p.kind", "b.p.n", "b.p.w").alias("key")).distinct()
+    # Words that are not there are NULL, which a hash passes over.
+    hashed = [F.xxhash64(F.get("b.p.w", F.lit(k))) for k in range(GRAM)]
+    hashed = [F.when(F.get("b.p.w", F.lit(k)).isNotNull(), h) for k, h in enumerate(hashed)]
+    return best.select("b.p.kind", "b.p.n", F.xxhash64("b.p.kind", "b.p.n", *hashed).alias("key")).distinct()
 
 
 def _anchor_keys(text: Column, kinds: list[tuple[str, int]]) -> Column:
     """Hashes of all grams of n letter runs, of pairs n apart, and of digits, as ``kinds`` asks for."""
-    def of_runs(r: Column, kind: str, n: int) -> Column:
-        words = (lambda w, i: F.slice(r, i + 1, n)) if kind == "gram" else (lambda w, i: F.array(w, F.get(r, i + n)))
-        return F.transform(r, lambda w, i: F.xxhash64(F.lit(kind), F.lit(n), words(w, i)))
+    def of_runs(h: Column, kind: str, n: int) -> Column:
+        others = range(1, n) if kind == "gram" else [n]
+        return F.transform(h, lambda w, i: F.xxhash64(F.lit(kind), F.lit(n), w, *[F.get(h, i + k) for k in others]))
 
     none = F.array().cast("array<bigint>")
-    parts = [let(_runs(text), lambda r: F.concat(none, *[of_runs(r, kind, n) for kind, n in kinds if kind != "digits"]))]
+    hashes = F.transform(_runs(text), lambda w: F.xxhash64(w))
+    parts = [let(hashes, lambda h: F.concat(none, *[of_runs(h, kind, n) for kind, n in kinds if kind != "digits"]))]
     if ("digits", 1) in kinds:
-        parts.append(F.transform(F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0)), lambda w: F.xxhash64(F.lit("digits"), F.lit(1), F.array(w))))
+        parts.append(F.transform(F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0)), lambda w: F.xxhash64(F.lit("digits"), F.lit(1), F.xxhash64(w))))
     return F.concat(*parts)
 
 
@@ -200,14 +204,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest:
 
     near = rows.join(suspects, rows.doc_id.eqNullSafe(suspects._id) & (rows.body_hash == suspects._hash), "left_semi")
     near = near.dropDuplicates(["doc_id", "body_hash"]).select("doc_id", "body_hash", tokens(marked(F.col("text"))).alias("t"))
-    placed = None
+    near = stored(near, "near")
+    # Places of matching windows first; tokens join them afterwards, so no list of tokens is repeated per window.
+    keys = stored(items.select("size", "key").distinct().coalesce(1), "keys")
+    places = None
     for size, name in sizes:
-        rule = rules[name]
-        made = near.select("doc_id", "body_hash", "t", F.posexplode(_windows(hashes("t", rule), F.lit(size))).alias("at", "key"))
-        made = made.select("doc_id", "body_hash", "at", "key", F.lit(size).alias("size"), F.slice("t", F.col("at") + 1, size).alias("own"))
-        made = made.withColumn("own_cut", F.transform("own", rule)).withColumn("by", F.lit(name))
-        placed = made if placed is None else placed.unionByName(made)
-    met = placed.join(items.select("size", "key", "item_id", "start", "words", "cut", "rule"), ["size", "key"])
+        made = near.select("doc_id", "body_hash", F.posexplode(_windows(hashes("t", rules[name]), F.lit(size))).alias("at", "key"))
+        made = made.select("doc_id", "body_hash", "at", "key", F.lit(size).alias("size"), F.lit(name).alias("by"))
+        places = made if places is None else places.unionByName(made)
+    places = stored(places.join(keys, ["size", "key"], "left_semi"), "places").withColumnsRenamed({"doc_id": "at_id", "body_hash": "at_hash"})
+    own = near.join(places, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("body_hash") == F.col("at_hash")))
+    own = own.select("doc_id", "body_hash", "at", "key", "size", "by", F.slice("t", F.col("at") + 1, F.col("size")).alias("own"))
+    own_cut = F.when(F.col("by") == "template", F.transform("own", template)).when(F.col("by") == "named", F.transform("own", named)).otherwise(F.transform("own", verbatim))
+    met = own.withColumn("own_cut", own_cut).join(items.select("size", "key", "item_id", "start", "words", "cut", "rule"), ["size", "key"])
     # Equal templates, not only equal hashes; then the values behind the marks, side by side.
     same = F.col("own_cut") == F.col("cut")
     # A possible name counts as a slot where it differs.
