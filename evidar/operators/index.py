@@ -137,10 +137,10 @@ def apply_budgets(sections: DataFrame, cfg: Config = DEFAULT) -> tuple[DataFrame
     made = chunk_sections(safe, cfg)
     order = ["section_pos", "piece_pos"]
     if cfg.max_chunks is None:
-        numbered = carry(made, ["doc_id"], None, order, index="_n")
+        numbered = carry(made, ["doc_id"], None, order, index="_nth")
     else:
-        numbered = top_k(made, ["doc_id"], [F.col(c) for c in order], cfg.max_chunks, "_n")
-    chunks = numbered.withColumn("chunk_ordinal", (F.col("_n") - 1).cast("bigint")).drop("_n")
+        numbered = top_k(made, ["doc_id"], [F.col(c) for c in order], cfg.max_chunks, "_nth")
+    chunks = numbered.withColumn("chunk_ordinal", (F.col("_nth") - 1).cast("bigint")).drop("_nth")
 
     full = sections.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("_sections"), F.sum(F.length("text")).alias("_chars")
