@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 from bisect import bisect_left, insort
-from itertools import chain
+from collections import defaultdict
+from collections.abc import Iterable
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from evidar.llm.common import blocks, index_words, stored, text_bytes
+from evidar.llm.common import blocks, stored, text_bytes
 
 BLOCK = 4 << 20
 #: Marks that end words; a run of them after letters is one piece for the splitter. No apostrophe, which it treats apart.
@@ -34,36 +36,76 @@ def _byte_signs() -> dict[int, int]:
 
 
 class _Words:
-    """Token ids of words, encoded once per task: one flat array, and where each word's ids begin and how many they are.
+    """Token ids of words, each encoded once: one flat array, where each word's ids begin, how many they are, how often it was asked for.
 
     White space is dropped by this kind of tokenizer and separates its pieces, so ids of a text are the ids of its words in order.
-    Plain words need no splitter and go to the merges at once. After ``MOST`` words it starts anew.
+    Plain words need no splitter and go to the merges at once. Number 0 stands for ``end_id``. An instance is broadcast without its
+    words: a worker process unpickles it once and keeps it over all its tasks. Past ``MOST`` words only the frequent half stays.
     """
 
-    MOST = 400_000
+    MOST = 600_000
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, end_id: int):
+        self.definition, self.end_id, self.tokenizer = definition, end_id, None
+
+    def __reduce__(self):
+        return type(self), (self.definition, self.end_id)
+
+    def open(self) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would only add memory
-        self.tokenizer = Tokenizer.from_str(definition)
+        self.tokenizer = Tokenizer.from_str(self.definition)
         self.signs = _byte_signs()
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if len(self.known) > self.MOST:
-            self.forget()
-        new = [w for w in words if w not in self.known]
-        flat, start, size = self._encode(new)
-        for w in new:
-            self.known[w] = len(self.known)
-        self.start = np.concatenate([self.start, start + len(self.flat)])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, flat])
-        which = np.fromiter((self.known[w] for w in words), np.int64, len(words))
-        return self.flat, self.start[which], self.size[which]
+        self._number([None])
+        self.flat, self.start, self.size = np.array([self.end_id], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.uses = np.ones(1, np.int64)
+
+    def _number(self, words: list) -> None:
+        self.known = defaultdict()
+        self.known.default_factory = self.known.__len__
+        self.known.update(zip(words, range(len(words))))
+
+    def texts(self, texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with ``end_id`` behind it, one after the other; and how many each has."""
+        if self.tokenizer is None:
+            self.open()
+        before, known = len(self.known), self.known
+        tokens, counts = [np.zeros(0, np.int32)], []
+        for text in texts:
+            words = text.split()
+            words.append(None)
+            counts.append(len(words))
+            tokens.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+        self._learn(list(islice(known, before, None)))
+        at = np.concatenate(tokens)
+        self.uses += np.bincount(at, minlength=len(self.uses))
+        sizes = self.size[at]
+        ids = _gather(self.flat, self.start[at], sizes)
+        lengths = np.add.reduceat(sizes, np.cumsum(counts) - counts) if counts else np.zeros(0, np.int64)
+        if len(known) > self.MOST:
+            self._forget()
+        return ids, lengths
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Ids of words that were numbered just now."""
+        names, body, tail = _units(words)
+        ids, first, size = self._encode(names)
+        units = np.stack([body, tail], 1).ravel()
+        units = units[units >= 0]
+        own = size[body] + np.where(tail >= 0, size[tail] if len(size) else 0, 0)
+        self.start = np.concatenate([self.start, np.cumsum(own) - own + len(self.flat)])
+        self.size = np.concatenate([self.size, own])
+        self.flat = np.concatenate([self.flat, _gather(ids, first[units], size[units])])
+        self.uses = np.concatenate([self.uses, np.zeros(len(own), np.int64)])
+
+    def _forget(self) -> None:
+        """Keep the words asked for most, at least twice, and halve their counts."""
+        order = np.argsort(-self.uses[1:], kind="stable")[: self.MOST // 2] + 1
+        keep = np.concatenate([[0], order[self.uses[order] > 1]])
+        words = list(self.known)
+        self._number([words[k] for k in keep])
+        self.flat = _gather(self.flat, self.start[keep], self.size[keep])
+        self.size, self.uses = self.size[keep], self.uses[keep] // 2
+        self.start = np.cumsum(self.size) - self.size
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         merge, signs = self.tokenizer.model.tokenize, self.signs
@@ -111,28 +153,26 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, limit: int = 4096, end_id
     rows are packed as often as they occur.
     """
     with open(tokenizer_path, encoding="utf-8") as file:
-        definition = docs.sparkSession.sparkContext.broadcast(file.read())
+        encoder = docs.sparkSession.sparkContext.broadcast(_Words(file.read(), end_id))
 
     def run(batches):
-        encoder = None
         for block in blocks(batches, "body", BLOCK):
-            encoder = encoder or _Words(definition.value)
-            words, flat, at = index_words(t.as_py().split() for t in block.column("body"))
-            names, body, tail = _units(words)
-            ids, first, size = encoder.ids(names)
-            out = {"doc_id": [], "piece": [], "start": [], "length": [], "ids": []}
-            for k, key in enumerate(block.column("doc_id").to_pylist()):
-                mine = flat[at[k] : at[k + 1]]
-                units = np.stack([body[mine], tail[mine]], 1).ravel()
-                units = units[units >= 0]
-                found = np.append(_gather(ids, first[units], size[units]), np.uint32(end_id)).astype("<u4")
-                for start in range(0, len(found), limit):
-                    part = found[start : start + limit]
-                    for name, value in zip(out, (key, start // limit, start, len(part), part.tobytes())):
-                        out[name].append(value)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            made = pa.Table.from_arrays([pa.array(v, kind) for v, kind in zip(out.values(), kinds)], list(out))
-            yield from made.to_batches(max_chunksize=2000)
+            ids, lengths = encoder.value.texts(t.as_py() for t in block.column("body"))
+            pieces = -(-lengths // limit)
+            row = np.repeat(np.arange(len(lengths)), pieces)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * limit
+            length = np.minimum(limit, lengths[row] - start)
+            ends, ids = np.cumsum(length), ids.astype("<u4")
+            for a in range(0, len(row), 2000):
+                b = min(a + 2000, len(row))
+                first = int(ends[a] - length[a])
+                places = np.append(0, ends[a:b] - first) * 4
+                data = [None, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(ids[first : ends[b - 1]])]
+                made = [pa.array(piece[a:b], pa.int32()), pa.array(start[a:b], pa.int64()), pa.array(length[a:b], pa.int64())]
+                made += [pa.Array.from_buffers(pa.binary(), b - a, data)]
+                keys = block.column("doc_id").take(pa.array(row[a:b])).combine_chunks()
+                yield pa.RecordBatch.from_arrays([keys, *made], ["doc_id", "piece", "start", "length", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")

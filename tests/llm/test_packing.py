@@ -74,5 +74,17 @@ def test_pieces_hold_the_tokenizers_ids(spark, monkeypatch):
     assert sorted((str(r["doc_id"]), r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == sorted(want)
 
 
+def test_forgotten_words_are_encoded_anew(monkeypatch):
+    monkeypatch.setattr(packing._Words, "MOST", 60)
+    words = packing._Words(open(VOCABULARY, encoding="utf-8").read(), 1)
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    for k in range(12):
+        texts = [prose(k % 5, 60), "", prose(k + 100, 30) + ", 3.5 km?!", " \n"][: k % 5]
+        want = [tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+        ids, lengths = words.texts(t.encode() for t in texts)
+        assert ids.tolist() == sum(want, []) and lengths.tolist() == [len(w) for w in want]
+        assert len(words.known) <= 60
+
+
 def test_empty_table(spark):
     assert packing.packed_documents(empty(spark), VOCABULARY).count() == 0
