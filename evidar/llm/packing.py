@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 from evidar.llm.common import blocks, stored, text_bytes
 
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 #: Marks that end words; a run of them after letters is one piece for the splitter. No apostrophe, which it treats apart.
 TAIL = ".,!?;:*$#%&|)"
 SALT_ROWS = 250_000
@@ -43,7 +43,7 @@ class _Words:
     words: a worker process unpickles it once and keeps it over all its tasks. Past ``MOST`` words only the frequent half stays.
     """
 
-    MOST = 600_000
+    MOST = 200_000
 
     def __init__(self, definition: str, end_id: int):
         self.definition, self.end_id, self.tokenizer = definition, end_id, None
