@@ -22,6 +22,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_line_dedup": lines.OP2_SQL,
+    "op5_tool_calls": chat.OP5_SQL,
     "op9_benchmark_decontamination": decontam.OP9_SQL,
     "op11_spelling_variants": spelling.OP11_SQL,
 }

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidar.llm.common import stored
+from evidar.operators.slices import carry
 
 
 def canonical(fields: dict[str, Column]) -> Column:
@@ -45,17 +46,19 @@ def faults(arguments: Column, schema: dict[str, str], required: tuple[str, ...])
 
 
 def link_calls(
-    calls: DataFrame, results: DataFrame, schema: dict[str, str], required: tuple[str, ...]
+    calls: DataFrame, results: DataFrame, schema: dict[str, str], required: tuple[str, ...], messages: DataFrame | None = None
 ) -> DataFrame:
-    """One row per call and per result without a call: conv_id, call_id, parent_id, status, depth, faults, json.
+    """One row per call, per result without a call and per message: conv_id, call_id, parent_id, status, depth, faults, json.
 
     ``calls`` has conv_id, call_id, parent_id (the call whose result this one uses; NULL for none), name and arguments (JSON text); ``results`` has conv_id, call_id and
-    content. Calls and results are hash-joined by conversation and identifier.
+    content; ``messages`` are turns that are neither, with conv_id, call_id, name (who speaks) and content. Calls and results are hash-joined by conversation and identifier.
+    The least contents and the chains are written to the shared folder while the plan is built. Other columns are ignored; empty tables give no rows.
 
     status: 'linked', 'unanswered' (no result), 'orphan' (a result without a call), 'cycle' (the call is its own
     ancestor, or uses such a call). depth is the number of ancestors, found by pointer doubling; (depth, call_id) orders a conversation so that
     every call comes after what it uses. A parent that does not exist counts as none. Of several calls or results with one identifier the
     least by content is linked; the others are kept with status 'repeated'. Rows whose conv_id or call_id is NULL are kept with status 'unnamed'.
+    Messages are kept one by one with status 'message', whatever their identifiers, and are checked against no schema.
     """
     key = ["conv_id", "call_id"]
     named = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
@@ -100,11 +103,12 @@ def link_calls(
     for df, label, keep in (
         (more_calls, "repeated", ("parent_id", "name", "arguments")), (more_results, "repeated", ("content",)),
         (calls.where(~named), "unnamed", ("parent_id", "name", "arguments")), (results.where(~named), "unnamed", ("content",)),
+        *([(messages, "message", ("name", "content"))] if messages is not None else []),
     ):
         fields = [F.col(c) if c in (*key, *keep) else nothing.alias(c) for c in columns[:6]]
         out = out.unionByName(df.select(*fields, F.lit(None).cast("long").alias("depth"), F.lit(label).alias("status")))
 
-    has_call = F.col("name").isNotNull() | F.col("arguments").isNotNull()
+    has_call = (F.col("status") != "message") & (F.col("name").isNotNull() | F.col("arguments").isNotNull())
     checked = F.when(has_call, faults(F.col("arguments"), schema, required))
     parsed = F.try_parse_json("arguments")  # a variant keeps the names of an object in order
     record = canonical({
@@ -123,17 +127,58 @@ def op5_tool_calls(spark, sf_dir: str) -> DataFrame:
     """Operator 5 over all conversations.
 
     The table holds no tool calls, so they are read off its turns: a user turn is a call of 'reply' with its text and number,
-    which uses the call two turns before; the turn after it, if by the assistant, is its result. System turns are passed over.
+    which uses the call of the user turn before it in the conversation, whatever stands between; the turn after it, if by the assistant, is its result.
+    System turns, and any of another role, are messages.
     """
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    name = lambda t: F.concat_ws(":", F.col("conv_id").cast("string"), t.cast("string"))
-    turn = F.col("turn")
+    name = lambda t: F.concat(F.col("conv_id").cast("string"), F.lit(":"), t.cast("string"))
+    turn, role = F.col("turn"), F.coalesce("role", F.lit(""))
+    asked = turns.where(role == "user")
+    places = asked.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn").distinct()
+    places = carry(places, ["conv_id"], None, ["turn"], prev={"previous": turn})
     arguments = canonical({"text": json_text(F.col("text")), "turn": F.coalesce(turn.cast("string"), F.lit("null"))})
-    calls = turns.where("role = 'user'").select(
-        "conv_id", F.when(turn.isNotNull(), name(turn)).alias("call_id"), F.when(turn >= 2, name(turn - 2)).alias("parent_id"),
-        F.lit("reply").alias("name"), arguments.alias("arguments"),
+    calls = asked.join(places, ["conv_id", "turn"], "left").select(
+        "conv_id", name(turn).alias("call_id"), name(F.col("previous")).alias("parent_id"), F.lit("reply").alias("name"), arguments.alias("arguments")
     )
-    results = turns.where("role = 'assistant'").select(
-        "conv_id", F.when(turn.isNotNull(), name(turn - 1)).alias("call_id"), F.col("text").alias("content")
-    )
-    return link_calls(calls, results, REPLY_SCHEMA, ("text", "turn"))
+    results = turns.where(role == "assistant").select("conv_id", name(turn - 1).alias("call_id"), F.col("text").alias("content"))
+    messages = turns.where(~role.isin("user", "assistant")).select("conv_id", name(turn).alias("call_id"), F.col("role").alias("name"), F.col("text").alias("content"))
+    return link_calls(calls, results, REPLY_SCHEMA, ("text", "turn"), messages)
+
+
+#: The same reading of the turns; a chain has no branches here, so a call's depth is its rank among the calls of its conversation.
+OP5_SQL = """
+WITH asked AS (
+  SELECT conv_id, turn, conv_id || ':' || turn AS call_id,
+         '{"text":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"turn":' || coalesce(CAST(turn AS VARCHAR), 'null') || '}' AS arguments,
+         concat_ws(',', CASE WHEN text IS NULL THEN 'text' END, CASE WHEN turn IS NULL THEN 'turn' END) AS faults
+  FROM conversations WHERE role = 'user'),
+places AS (
+  SELECT conv_id, turn, lag(turn) OVER w AS previous, row_number() OVER w - 1 AS depth
+  FROM (SELECT DISTINCT conv_id, turn FROM asked WHERE call_id IS NOT NULL) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+calls AS (
+  SELECT a.*, p.depth, a.conv_id || ':' || p.previous AS parent_id, row_number() OVER (PARTITION BY a.conv_id, a.turn ORDER BY a.arguments) AS copy
+  FROM asked a LEFT JOIN places p ON p.conv_id = a.conv_id AND p.turn = a.turn),
+replies AS (
+  SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, text AS content, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text NULLS FIRST) AS copy
+  FROM conversations WHERE role = 'assistant'),
+whole AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.parent_id, c.depth, c.faults, c.arguments,
+         CASE WHEN c.arguments IS NOT NULL THEN 'reply' END AS name, r.content,
+         CASE WHEN c.arguments IS NULL THEN 'orphan' WHEN r.call_id IS NOT NULL THEN 'linked' ELSE 'unanswered' END AS status
+  FROM (SELECT * FROM calls WHERE call_id IS NOT NULL AND copy = 1) c
+  FULL JOIN (SELECT * FROM replies WHERE call_id IS NOT NULL AND copy = 1) r ON r.conv_id = c.conv_id AND r.call_id = c.call_id
+  UNION ALL
+  SELECT conv_id, call_id, parent_id, NULL, faults, arguments, 'reply', NULL, CASE WHEN call_id IS NULL THEN 'unnamed' ELSE 'repeated' END
+  FROM calls WHERE call_id IS NULL OR copy > 1
+  UNION ALL
+  SELECT conv_id, call_id, NULL, NULL, NULL, NULL, NULL, content, CASE WHEN call_id IS NULL THEN 'unnamed' ELSE 'repeated' END
+  FROM replies WHERE call_id IS NULL OR copy > 1
+  UNION ALL
+  SELECT conv_id, conv_id || ':' || turn, NULL, NULL, NULL, NULL, role, text, 'message'
+  FROM conversations WHERE coalesce(role, '') NOT IN ('user', 'assistant'))
+SELECT conv_id, call_id, parent_id, status, depth, coalesce(faults, '') AS faults,
+       '{"arguments":' || coalesce(arguments, 'null') || ',"id":' || coalesce(CAST(to_json(call_id) AS VARCHAR), 'null')
+       || ',"name":' || coalesce(CAST(to_json(name) AS VARCHAR), 'null') || ',"parent":' || coalesce(CAST(to_json(parent_id) AS VARCHAR), 'null')
+       || ',"result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || '}' AS json
+FROM whole
+"""

@@ -155,19 +155,27 @@ def train(docs: DataFrame, sample_bytes: int = 4 << 20) -> tuple:
     return languages, language, gram, n
 
 
-def predict(docs: DataFrame, counts: tuple, carry: list[str] | None = None) -> DataFrame:
+def has_letter(name: str = "text"):
+    """Whether a text column holds a letter; NULL does not."""
+    return F.coalesce(F.col(name).cast("string").rlike(r"\p{L}"), F.lit(False))
+
+
+def predict(docs: DataFrame, counts: tuple, carry: list[str] | None = None, cost: str | None = None) -> DataFrame:
     """Columns ``carry`` of ``docs`` (all by default) with _lang, the language that codes the whole text in the fewest bits, and _score, its posterior probability.
 
+    With ``cost``, a column of that name holds the bits that _lang takes for a byte of the text, NULL where _lang is ``und``.
+
     A text that is NULL or has no letter gets ``und`` with score 0, as does every text when nothing was learned. Equal code lengths go
     to the name that sorts first. All rows and columns are kept; names of added columns must not occur in ``docs``.
     """
     languages, carry = counts[0], carry or docs.columns
-    letters = F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))
     if not languages:
-        return docs.select(*carry, F.lit(UNKNOWN).alias("_lang"), F.lit(0.0).alias("_score"))
-    rows = docs.select(*carry, text_bytes().alias("_body"), letters.alias("_letters"))
+        none = [F.lit(None).cast("double").alias(cost)] if cost else []
+        return docs.select(*carry, F.lit(UNKNOWN).alias("_lang"), F.lit(0.0).alias("_score"), *none)
+    rows = docs.select(*carry, text_bytes().alias("_body"), has_letter().alias("_letters"))
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     schema = T.StructType([docs.schema[c] for c in carry]).add("_lang", "string").add("_score", "double")
+    schema = schema.add(cost, "double") if cost else schema
 
     def run(batches):
         model = None
@@ -175,9 +183,11 @@ def predict(docs: DataFrame, counts: tuple, carry: list[str] | None = None) -> D
             model = model or _build(*shared.value)
             letters = np.array(batch.column("_letters").to_pylist(), bool)
             bits = np.zeros((batch.num_rows, len(model.languages)))
+            lengths = np.ones(batch.num_rows)
             owners, parts, size = [], [], 0
             for k in np.flatnonzero(letters):
                 text = PAD + batch.column("_body")[int(k)].as_py().lower()
+                lengths[k] = len(text) - len(PAD)
                 # A very long text is costed in parts, each with the three bytes before it, so memory does not follow its length.
                 for at in range(len(PAD), len(text), BLOCK):
                     parts.append(text[at - len(PAD) : at + BLOCK])
@@ -192,6 +202,7 @@ def predict(docs: DataFrame, counts: tuple, carry: list[str] | None = None) -> D
             names = [model.languages[b] if known else UNKNOWN for b, known in zip(bits.argmin(1), letters)]
             columns = [batch.column(c) for c in batch.schema.names if c not in ("_body", "_letters")]
             columns += [pa.array(names, pa.string()), pa.array(np.where(letters, score, 0.0))]
+            columns += [pa.array(bits.min(1) / lengths, mask=~letters)] if cost else []
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return rows.mapInArrow(run, schema)

@@ -6,6 +6,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from evidar.llm import catalog, chat, decontam, lines, packing, substrings
@@ -56,7 +57,7 @@ def test_line_runs_equal_brute_force(spark):
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "conversations"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     got = catalog.QUERIES[name](spark, SF).toArrow()
     want = db.execute(catalog.ORACLES[name]).to_arrow_table()
@@ -142,6 +143,22 @@ def test_tool_calls(spark):
     assert nothing.count() == 0
 
 
+def test_tool_calls_of_awkward_turns_equal_sql(spark, tmp_path):
+    turns = [(7, t, ("system", "user", "assistant")[t % 3], f"t{t} \"é\"\n\\") for t in range(40)]  # a system turn between all exchanges
+    turns += [(8, 0, "user", "a"), (8, 0, "user", "b"), (8, 1, "assistant", None), (8, 1, "assistant", "x"), (8, 5, "user", None), (8, 9, None, "who")]
+    turns += [(9, None, "user", "no place"), (None, 1, "user", "no conversation"), (9, None, "assistant", ""), (9, 3, "assistant", "alone"), (9, None, "system", "s")]
+    turns += [(10, 2, "user", "same")] * 2 + [(10, 4, "tool", "other role")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("_n", F.lit(1)).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = chat.op5_tool_calls(spark, str(tmp_path)).toArrow()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = db.execute(chat.OP5_SQL).to_arrow_table().select(got.column_names)
+    assert sorted(map(str, got.to_pylist())) == sorted(map(str, want.to_pylist()))
+    rows = {(r["conv_id"], r["call_id"]): r for r in got.to_pylist()}
+    assert (rows[7, "7:4"]["parent_id"], rows[7, "7:4"]["depth"], rows[7, "7:4"]["status"]) == ("7:1", 1, "linked")
+    assert rows[7, "7:3"]["status"] == "message" and rows[8, "8:5"]["faults"] == "text"
+
+
 # ---- pipeline ----------------------------------------------------------------------
 def test_pipeline_stages(spark, tmp_path):
     passage = prose(50, 60)
@@ -161,4 +178,18 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(kept["near_dedup"]) == set(kept["line_dedup"])
     assert set(kept["decontaminate"]) == set(kept["near_dedup"]) - {18}
     assert sorted(r["doc_id"] for r in now.collect()) == sorted(kept["decontaminate"])
+    nothing = docs(spark, ["abc", None, "12"], clashes=True).withColumn("lang", F.lit(None).cast("string"))
+    assert [r["doc_id"] for r in corpus_pipeline.language_id(spark, nothing, "").collect()] == [0]
     assert packing.plan({}, 10)["length"].size == 0
+
+
+def test_language_stage_decides(spark):
+    texts = [(k, prose(k, 200)) for k in range(30)] + [(90, "Ωραία μέρα για μια βόλτα στη θάλασσα"), (91, "q9 Zx"), (92, prose(92, 60)), (93, prose(93, 60)), (94, "12345")]
+    table = docs(spark, texts, clashes=True).withColumn("_lang", F.lit("x")).withColumn("cost", F.lit(1)).withColumn("row", F.lit(2))
+    lang = F.when(F.col("doc_id") == 92, None).when(F.col("doc_id") == 93, "xx").when(F.col("doc_id") >= 90, None).otherwise("en")
+    table = table.withColumn("lang", lang)
+    kept = corpus_pipeline.language_id(spark, table, "")
+    rows = {r["doc_id"]: r for r in kept.collect()}
+    assert kept.columns == table.columns and set(rows) == {*range(30), 91, 92, 93}
+    assert rows[92]["lang"] == "en" and rows[92]["_lang"] == "x"
+    assert corpus_pipeline.language_id(spark, empty(spark), "").count() == 0
