@@ -216,7 +216,7 @@ SCORES_SQL = ", ".join(SCORES)
 
 def _top_fused(t, vectors: bool):
     chunks = vector_chunks(t) if vectors else document_chunks(t)
-    hits = retrieval.fused_hits(questions(t, vectors), chunks)
+    hits = retrieval.fused_hits(questions(t, vectors), chunks, keep=40)
     best = ranking.rank_hits(hits.filter("hybrid_score > 0"), 40)
     return best.select("query_id", "chunk_id", *SCORES, "rank")
 
@@ -243,7 +243,7 @@ gated AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC
 
 
 def qa_gate(t):
-    hits = retrieval.fused_hits(questions(t, True), vector_chunks(t))
+    hits = retrieval.fused_hits(questions(t, True), vector_chunks(t), keep=12)
     return selection.qa_gate(hits, 12).select("query_id", "chunk_id", "score", "rank")
 
 
@@ -257,7 +257,7 @@ SELECT query_id, doc_id::VARCHAR AS chunk_id, score, rank FROM gated
 def context_fill(t):
     asked = questions(t).withColumn("mode", F.lit("quiz"))
     chunks = document_chunks(t)
-    hits = retrieval.fused_hits(asked, chunks)
+    hits = retrieval.fused_hits(asked, chunks, keep=100)
     return selection.context_fill(hits, asked, chunks, 100).select("query_id", "chunk_id", "score", "rank")
 
 

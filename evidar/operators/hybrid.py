@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from evidar.config import DEFAULT, Config
 from evidar.functions.expr import r6
 from evidar.functions.text import cosine, dot, page_hint, question_variants, structure_boost, tokenize, type_hint, unit
-from evidar.operators.lexical import PLACE, LexicalIndex, bm25
+from evidar.operators.contenders import asked_of, scan
+from evidar.operators.lexical import PLACE, LexicalIndex, bm25, phrase_hits, query_terms
 from evidar.operators.joins import BROADCAST_ROWS, hint_small, is_small
 from evidar.operators.ranking import top_k
 from evidar.session import saved
@@ -178,8 +179,34 @@ def hybrid_score(
     )
 
 
-def score_variants(queries: DataFrame, chunks: DataFrame, index: LexicalIndex, cfg: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """Scores of every candidate of every query variant, and the variants."""
+def contending(
+    variants: DataFrame, chunks: DataFrame, index: LexicalIndex, others: DataFrame, vectors: DataFrame | None, keep: int, cfg: Config = DEFAULT
+) -> tuple[DataFrame, DataFrame]:
+    """(query_id, variant_pos, collection_id, chunk_id) of all pairs that matter for ``keep``, and the phrase hits among them.
+
+    ``others`` always count. Of the pairs that match, the best of each task are found with the largest score of the variant. The question itself is
+    scored for every chunk of its variants. A row outside is beaten by as many rows as the list has, whose fused score only grows.
+    """
+    pair = ["query_id", "variant_pos", "collection_id", "chunk_id"]
+    asked = asked_of(variants, index)
+    id_type = dict(variants.dtypes)["query_id"]
+    phrases = saved(phrase_hits(variants, chunks, index, cfg), "phrases")
+    first = saved(scan(index, asked, phrases, cfg, id_type=id_type), "first")
+    largest = {(r["query_id"], r["variant_pos"]): r["value"] for r in first.collect()}
+    best = scan(index, asked, phrases, cfg, largest, keep, vectors, id_type)
+    found = best.select(*pair).unionByName(first.select(*pair)).unionByName(others.select(*pair))
+    found = saved(found.unionByName(found.withColumn("variant_pos", F.lit(0))).distinct(), "pairs")
+    return found, phrases.join(hint_small(found, is_small(found)), pair, "left_semi")
+
+
+def score_variants(
+    queries: DataFrame, chunks: DataFrame, index: LexicalIndex, cfg: Config = DEFAULT, keep: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Scores of every candidate of every query variant, and the variants.
+
+    With ``keep``, only rows that can reach the fusion depth of a variant, or the best ``keep`` of a question by fused score among those with a
+    positive hybrid score or through the gate.
+    """
     # A variant without tokens ranks nothing, even when it has a vector. The small
     # table is written once: many branches below start from it.
     variants = saved(
@@ -196,8 +223,10 @@ def score_variants(queries: DataFrame, chunks: DataFrame, index: LexicalIndex, c
             variants.filter("variant_pos = 0"), vectors.join(place, ["collection_id", "chunk_id"]), cfg.rrf_depth, cfg)
         others = others.unionByName(
             near.join(place, ["collection_id", "chunk_id"]).select("query_id", F.lit(0).alias("variant_pos"), *PLACE))
+    few = keep is not None and is_small(query_terms(variants))
+    pairs, phrases = contending(variants, chunks, index, others, vectors, keep, cfg) if few else (None, None)
     # Read several times below (best score, ranks, scores), so written once.
-    lexical = saved(bm25(variants, chunks, index, cfg, also=others), "lexical")
+    lexical = saved(bm25(variants, chunks, index, cfg, also=others, pairs=pairs, phrases=phrases), "lexical")
     return hybrid_score(lexical, variants, vectors, cfg), variants
 
 

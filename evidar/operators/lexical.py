@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidar.config import DEFAULT, Config
 from evidar.functions.expr import let, one_of, r6
 from evidar.functions.text import LATIN_TOKEN, STOP_WORDS, evidence_reliability, normalize_ws, tokenize
-from evidar.operators.joins import is_small, join_hot
+from evidar.operators.joins import hint_small, is_small, join_hot
 from evidar.operators.ranking import top_k
 from evidar.session import saved
 
@@ -36,32 +39,32 @@ def postings_of(forward: DataFrame) -> DataFrame:
     return forward.select(*PLACE, "n_tokens", F.inline("terms"))
 
 
-def term_counts(tokens: Column, title_tokens: Column) -> Column:
-    """Distinct tokens with their count and whether the title has them.
-
-    Sorting and reading off runs keeps the count inside the row: no shuffle.
-    """
-
-    def runs(s: Column) -> Column:
-        n = F.size(s)
-        starts = F.filter(
-            F.sequence(F.lit(1), n),
-            lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))),
-        )
-        return let(
-            starts,
-            lambda b: F.transform(
-                b,
-                lambda at, k: F.struct(
-                    F.element_at(s, at).alias("token"),
-                    (F.coalesce(F.get(b, k + 1), n + 1) - at).alias("tf"),
-                    F.array_contains(title_tokens, F.element_at(s, at)).alias("in_title"),
-                ),
-            ),
-        )
-
-    empty = F.array().cast("array<struct<token:string,tf:int,in_title:boolean>>")
-    return F.when(F.size(tokens) == 0, empty).otherwise(let(F.sort_array(tokens), runs))
+TERMS = "array<struct<token:string,tf:int,in_title:boolean>>"
+
+
+def count_terms(batches):
+    """Distinct tokens of every row of ``_tokens``, sorted, with their count and whether ``_title`` has them: no shuffle."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lists, titles = batch.column("_tokens"), batch.column("_title")
+        words = pc.dictionary_encode(pa.concat_arrays([lists.flatten(), titles.flatten()]))
+        rank = np.empty(len(words.dictionary), np.int64)
+        rank[pc.sort_indices(words.dictionary).to_numpy()] = np.arange(len(rank))
+        code = rank[words.indices.to_numpy()]
+        n = max(len(rank), 1)
+        sizes = [pc.list_value_length(x).to_numpy() for x in (lists, titles)]
+        owners = [np.repeat(np.arange(batch.num_rows, dtype=np.int64), x) for x in sizes]
+        cut = len(owners[0])
+        found, tf = np.unique(owners[0] * n + code[:cut], return_counts=True)
+        in_title = np.isin(found, owners[1] * n + code[cut:])
+        sorted_words = words.dictionary.take(pc.sort_indices(words.dictionary))
+        ends = np.searchsorted(found, np.arange(batch.num_rows + 1, dtype=np.int64) * n).astype(np.int32)
+        terms = pa.StructArray.from_arrays(
+            [sorted_words.take(pa.array(found % n)), pa.array(tf.astype(np.int32)), pa.array(in_title)], ["token", "tf", "in_title"])
+        kept = [batch.column(c) for c in PLACE]
+        yield pa.RecordBatch.from_arrays(
+            [*kept, pa.array(sizes[0].astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), terms)], [*PLACE, "n_tokens", "terms"])
 
 
 def build_index(chunks: DataFrame, materialize: bool = True) -> LexicalIndex:
@@ -73,9 +76,8 @@ def build_index(chunks: DataFrame, materialize: bool = True) -> LexicalIndex:
         tokenize(F.concat(title, F.lit("\n"), F.col("text"))).alias("_tokens"),
         tokenize(title).alias("_title"),
     )
-    forward = tokenised.select(
-        *PLACE, F.size("_tokens").alias("n_tokens"), term_counts(F.col("_tokens"), F.col("_title")).alias("terms")
-    )
+    types = dict(tokenised.dtypes)
+    forward = tokenised.mapInArrow(count_terms, ", ".join(f"{c} {types[c]}" for c in PLACE) + f", n_tokens int, terms {TERMS}")
     if materialize:
         forward = saved(forward, "forward")
     frequencies = postings_of(forward).groupBy("collection_id", "token").agg(F.count(F.lit(1)).alias("df"))
@@ -101,8 +103,8 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def score_postings(queries: DataFrame, index: LexicalIndex, cfg: Config = DEFAULT) -> DataFrame:
-    """BM25 contribution of every matching (query token, chunk).
+def score_postings(queries: DataFrame, index: LexicalIndex, cfg: Config = DEFAULT, pairs: DataFrame | None = None) -> DataFrame:
+    """BM25 contribution of every matching (query token, chunk), or of those in ``pairs`` (query_id, variant_pos, collection_id, chunk_id).
 
     Query terms of a checked size are broadcast: postings then stay where their
     chunk is, and its contributions are summed before any shuffle. A frequent
@@ -118,7 +120,18 @@ def score_postings(queries: DataFrame, index: LexicalIndex, cfg: Config = DEFAUL
     )
     length = F.col("n_tokens") / F.greatest(F.col("avg_len"), F.lit(1.0))
     gain = (F.col("tf") * (cfg.k1 + 1)) / (F.col("tf") + cfg.k1 * ((1 - cfg.b) + cfg.b * length))
-    return join_hot(index.postings, terms, ["collection_id", "token"], "chunk_id", cfg.salts, small).select(
+    if pairs is None:
+        matched = join_hot(index.postings, terms, ["collection_id", "token"], "chunk_id", cfg.salts, small)
+    else:
+        key = ["query_id", "variant_pos", "collection_id"]
+        words = asked.groupBy(*key).agg(F.collect_set("token").alias("_asked"))
+        wanted = pairs.select(*key, F.col("chunk_id").alias("_chunk")).distinct().withColumnRenamed("collection_id", "_collection")
+        rows = index.forward.join(
+            hint_small(wanted, is_small(wanted)), (F.col("collection_id") == F.col("_collection")) & F.col("chunk_id").eqNullSafe(F.col("_chunk")))
+        rows = rows.drop("_chunk", "_collection").join(hint_small(words, small), key)
+        few = rows.select("query_id", "variant_pos", *PLACE, "n_tokens", F.inline(F.filter("terms", lambda w: F.array_contains(F.col("_asked"), w["token"]))))
+        matched = few.join(hint_small(terms, small), [*key, "token"])
+    return matched.select(
         "query_id", "variant_pos", *PLACE, "n_query_tokens", "token", "in_title",
         (F.col("idf") * gain).alias("part"),
     )
@@ -205,17 +218,19 @@ def gram_bit() -> Column:
 
 
 def bm25(
-    queries: DataFrame, chunks: DataFrame, index: LexicalIndex, cfg: Config = DEFAULT, also: DataFrame | None = None
+    queries: DataFrame, chunks: DataFrame, index: LexicalIndex, cfg: Config = DEFAULT, also: DataFrame | None = None,
+    pairs: DataFrame | None = None, phrases: DataFrame | None = None,
 ) -> DataFrame:
     """A2: lexical score and token coverage of every matching chunk.
 
-    ``also`` names further (query, chunk) pairs to keep with a score of zero.
+    ``also`` names further (query, chunk) pairs to keep with a score of zero. ``pairs`` names the pairs whose words count, all without it; it has
+    to hold those of ``also`` and ``phrases``, the phrase hits where they are known.
     """
-    words = score_postings(queries, index, cfg)
+    words = score_postings(queries, index, cfg, pairs)
     answerable = queries.filter(F.size(tokenize("text")) > 0)
     pair = ["query_id", "variant_pos", *PLACE]
     phrases = (
-        phrase_hits(answerable, chunks, index, cfg)
+        (phrase_hits(answerable, chunks, index, cfg) if phrases is None else phrases)
         .join(index.forward.select(*PLACE), ["collection_id", "chunk_id"])
         .select(*pair, F.lit(cfg.phrase_bonus).alias("part"))
     )

@@ -17,9 +17,12 @@ from evidar.operators.selection import (
 from evidar.session import saved
 
 
-def fused_hits(queries: DataFrame, chunks: DataFrame, index: LexicalIndex | None = None, cfg: Config = DEFAULT) -> DataFrame:
-    """Scored candidates of every query, before any gate."""
-    scored, variants = score_variants(queries, chunks, index or build_index(chunks), cfg)
+def fused_hits(
+    queries: DataFrame, chunks: DataFrame, index: LexicalIndex | None = None, cfg: Config = DEFAULT, keep: int | None = None
+) -> DataFrame:
+    """Scored candidates of every query, before any gate; with ``keep``, those that can be among the best ``keep`` with a positive hybrid score or
+    through the gate."""
+    scored, variants = score_variants(queries, chunks, index or build_index(chunks), cfg, keep)
     return rrf(scored, variants, cfg)
 
 
@@ -28,7 +31,7 @@ def retrieve_chunks(
 ) -> DataFrame:
     """Top ``k`` evidence per query: gate and neighbours for ``qa``, context fill otherwise."""
     modes = hint_small(queries.select("query_id", "mode"), is_small(queries))
-    hits = fused_hits(queries, chunks, index, cfg).join(modes, "query_id")
+    hits = fused_hits(queries, chunks, index, cfg, k).join(modes, "query_id")
     is_qa = F.col("mode") == "qa"
     supported = F.when(is_qa, passes_gate(cfg)).otherwise(F.col("hybrid_score") > 0)
     # At most k rows per query; the steps below read them several times.

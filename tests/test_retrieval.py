@@ -260,3 +260,26 @@ def test_whole_chain_and_evaluation(spark):
     assert by["2"][0][0] == "k0001" and "5" not in by
     kept = retrieval.retrieve(asked, table.drop("embedding"), rerank_scores=lambda h: h.select("query_id", "chunk_id", F.lit(0.01).alias("rerank_score")))
     assert {r.query_id for r in kept.collect()} == {"1"}
+
+
+@pytest.mark.parametrize("vectors", [False, True])
+def test_kept_hits_equal_those_of_all_pairs(spark, monkeypatch, vectors):
+    """With ``keep`` only contenders are scored; lists are those of all pairs, also for repeated chunks and phrases inside words."""
+    from evidar.operators import contenders
+
+    monkeypatch.setattr(contenders, "SPARE", 0)
+    monkeypatch.setattr(contenders, "CELLS", 200)
+    rng = random.Random(5)
+    words = [f"word{k}" for k in range(30)]
+    made = [chunk(i, " ".join(rng.choices(words, k=rng.randint(3, 12))), title=rng.choice(words), content_type=rng.choice(["prose", "table"]), weight=rng.choice([0.5, 0.9, 1.0]),
+                  vector=[rng.gauss(0, 1) for _ in range(4)] if rng.random() < 0.7 else None, number=i % 9 + 1) for i in range(300)]
+    table = chunks(spark, made + made[:7])
+    table = table if vectors else table.drop("embedding")
+    asks = [(f"q{k}", "qa", " ".join(rng.sample(words, 3)) + rng.choice(["", "; table on 3 slide", f"; {rng.choice(words)}"])) for k in range(8)] + [("p", "qa", "ord1 word2; ord2"), ("n", "qa", "nothing")]
+    asked = queries(spark, asks, {f"q{k}": [rng.gauss(0, 1) for _ in range(4)] for k in range(0, 8, 2)} if vectors else None)
+    cfg = Config(rrf_depth=6)
+    full, few = retrieval.fused_hits(asked, table, cfg=cfg), retrieval.fused_hits(asked, table, cfg=cfg, keep=5)
+    columns = ["query_id", "chunk_id", "rank", "lexical_score", "token_coverage", "hybrid_score", "rrf_score", "score"]
+    for best in (lambda h: ranking.rank_hits(h.filter("hybrid_score > 0"), 5), lambda h: selection.qa_gate(h, 5)):
+        assert rows(best(few), *columns) == rows(best(full), *columns) != []
+    assert few.count() < full.count() / 2
