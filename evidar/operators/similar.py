@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,57 +13,91 @@ from evidar.functions.text import tokenize
 from evidar.session import saved
 
 KEY = ["collection_id", "class_id"]
+#: Tokens whose frequency tasks know; all others count as rare. Any common order gives the same pairs.
+FREQUENT = 1 << 16
 
 
-def token_classes(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """(collection_id, chunk_id, class_id, tokens): chunks of a collection with equal token sets share the least chunk_id as class.
+def token_sets(chunks: DataFrame, text: str = "text") -> DataFrame:
+    """(collection_id, chunk_id, codes, _a, _b): distinct tokens of a chunk as sorted 64-bit hashes, and two hashes of the whole set.
 
-    A NULL text has no tokens; chunks without tokens have no class and no row, as they are similar to nothing.
+    A NULL text has no tokens; chunks without tokens have no row, as they are similar to nothing.
     """
     tokens = F.array_sort(F.array_distinct(tokenize(F.coalesce(F.col(text), F.lit("")))))
-    sets = chunks.select("collection_id", "chunk_id", tokens.alias("tokens")).where("size(tokens) > 0")
-    # Two hashes of 64 bits stand for the set, so copies meet without moving their tokens twice.
+    rows = chunks.select("collection_id", "chunk_id", tokens.alias("tokens")).where("size(tokens) > 0")
     joined = F.array_join("tokens", " ")
-    sets = saved(sets.withColumn("_a", F.xxhash64(joined)).withColumn("_b", F.xxhash64(F.concat(joined, F.lit("#")))), "sets")
-    least = sets.groupBy("collection_id", "_a", "_b").agg(F.min("chunk_id").alias("class_id"))
-    return sets.join(least, ["collection_id", "_a", "_b"]).select("collection_id", "chunk_id", "class_id", "tokens")
+    rows = rows.withColumn("_a", F.xxhash64(joined)).withColumn("_b", F.xxhash64(F.concat(joined, F.lit("#"))))
+    types = dict(rows.dtypes)
+
+    def hashed(batches):
+        for batch in batches:
+            lists = batch.column("tokens")
+            words = pc.dictionary_encode(lists.flatten())
+            codes = np.array([xxhash.xxh64_intdigest(w) for w in words.dictionary.to_pylist()], np.uint64).view(np.int64)
+            sizes = pc.list_value_length(lists).to_numpy()
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            flat = codes[words.indices.to_numpy()] if len(codes) else np.zeros(0, np.int64)
+            found = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("collection_id", "chunk_id")], found, batch.column("_a"), batch.column("_b")], ["collection_id", "chunk_id", "codes", "_a", "_b"])
+
+    return rows.mapInArrow(hashed, f"collection_id {types['collection_id']}, chunk_id {types['chunk_id']}, codes array<long>, _a long, _b long")
 
 
 def token_jaccard_pairs(chunks: DataFrame, min_sim: float, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Classes (collection_id, chunk_id, class_id) and all pairs of classes of one collection whose token sets have a
     Jaccard similarity of ``min_sim`` (above 0) or more: collection_id, left_id < right_id, similarity.
 
-    Tokens of a set are ordered from rare to frequent. Two sets that are similar enough share a token among the first few of both, so only
-    those are joined; tokens that one set alone has are counted but not joined. Sizes and the places of the shared token
-    bound the overlap that is still possible before any set is compared. Copies are joined once, through their class.
+    Chunks of a collection with equal token sets share the least chunk_id as class. Tokens of a set are ordered from rare to frequent. Two sets that are
+    similar enough share a token among the first few of both, so only those leave a set and are joined. Sizes and the places of the shared token
+    bound the overlap that is still possible before any set is compared, and only sets with a partner left are read again. Copies are joined
+    once, through their class. Tokens are compared by 64-bit hashes.
     """
     if not 0 < min_sim <= 1:
         raise ValueError("min_sim must be above 0 and at most 1")
-    classes = saved(token_classes(chunks, text), "classes")
-    sets = classes.where("chunk_id = class_id").select(*KEY, "tokens")
-    exploded = sets.select(*KEY, F.explode("tokens").alias("token"))
-    frequency = exploded.groupBy("collection_id", "token").agg(F.count(F.lit(1)).alias("df"))
-    ranked = exploded.join(frequency, ["collection_id", "token"]).groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked"))
-    ordered = saved(ranked.withColumn("size", F.size("ranked")), "ranked")
+    sets = saved(token_sets(chunks, text), "sets")
+    least = sets.groupBy("collection_id", "_a", "_b").agg(F.min("chunk_id").alias("class_id"))
+    classes = saved(sets.drop("codes").join(least, ["collection_id", "_a", "_b"]).select("collection_id", "chunk_id", "class_id"), "classes")
+    # A chunk that comes n times has a set n times as large, as ever.
+    heads_of = classes.where("chunk_id = class_id").groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_rows"))
+    reps = sets.withColumnRenamed("chunk_id", "class_id").select(*KEY, "codes").join(heads_of, KEY).dropDuplicates(KEY)
+    reps = saved(reps.withColumn("size", F.size("codes")), "codes")
+    frequency = reps.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    known = frequency.orderBy(F.col("df").desc(), "code").limit(FREQUENT).toArrow()
+    frequent, df = known.column("code").combine_chunks(), np.append(known.column("df").to_numpy(), 1)
+    types = dict(reps.dtypes)
+
+    def first_codes(batches):
+        for batch in batches:
+            lists = batch.column("codes")
+            sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
+            flat, owner = lists.flatten(), np.repeat(np.arange(batch.num_rows), sizes)
+            often = df[pc.fill_null(pc.index_in(flat, value_set=frequent), len(df) - 1).to_numpy()]
+            code = flat.to_numpy()
+            order = np.lexsort((code, often, owner))
+            place = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            # A millionth keeps products that are whole numbers from being rounded up.
+            first = sizes - np.ceil(sizes * min_sim - 1e-6).astype(np.int64) + 1
+            kept = place < first[owner]
+            at = pa.array(owner[kept])
+            yield pa.RecordBatch.from_arrays([
+                *[batch.column(c).take(at) for c in KEY], batch.column("size").take(at), pa.array(place[kept].astype(np.int32)), pa.array(code[order][kept])
+            ], [*KEY, "size", "place", "code"])
 
-    # A millionth keeps products that are whole numbers from being rounded up.
-    first = F.col("size") - F.ceil(F.col("size") * min_sim - 1e-6) + 1
-    heads = ordered.select(*KEY, "size", F.posexplode(F.slice("ranked", 1, first.cast("int"))).alias("place", "t")).where("t.df > 1")
-    heads = heads.select(*KEY, "size", "place", F.col("t.token").alias("token"))
+    heads = reps.select(*KEY, "size", "codes").mapInArrow(first_codes, f"collection_id {types['collection_id']}, class_id {types['class_id']}, size int, place int, code long")
     a, b = heads.alias("a"), heads.alias("b")
     small, large = F.least("a.size", "b.size"), F.greatest("a.size", "b.size")
     needed = F.ceil((F.col("a.size") + F.col("b.size")) * min_sim / (1 + min_sim) - 1e-6)
     # What the two sets can still share from this token on; shared tokens before it are found at their own place.
     possible = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))
     before = F.least("a.place", "b.place")
-    near = a.join(b, (F.col("a.collection_id") == F.col("b.collection_id")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.class_id") < F.col("b.class_id")))
+    near = a.join(b, (F.col("a.collection_id") == F.col("b.collection_id")) & (F.col("a.code") == F.col("b.code")) & (F.col("a.class_id") < F.col("b.class_id")))
     near = near.where((small >= large * min_sim - 1e-6) & (possible + before >= needed))
-    pairs = near.select("a.collection_id", F.col("a.class_id").alias("left_id"), F.col("b.class_id").alias("right_id")).distinct()
+    pairs = saved(near.select("a.collection_id", F.col("a.class_id").alias("left_id"), F.col("b.class_id").alias("right_id")).distinct(), "pairs")
 
-    lists = ordered.select(*KEY, "size", F.col("ranked.token").alias("tokens"))
-    left = lists.select("collection_id", F.col("class_id").alias("left_id"), F.col("tokens").alias("l"))
-    right = lists.select("collection_id", F.col("class_id").alias("right_id"), F.col("tokens").alias("r"))
+    asked = pairs.select("collection_id", F.col("left_id").alias("class_id")).union(pairs.select("collection_id", F.col("right_id").alias("class_id"))).distinct()
+    lists = reps.join(asked, KEY, "left_semi")
+    left = lists.select("collection_id", F.col("class_id").alias("left_id"), F.col("codes").alias("l"), (F.col("size") * F.col("n_rows")).alias("_m"))
+    right = lists.select("collection_id", F.col("class_id").alias("right_id"), F.col("codes").alias("r"), (F.col("size") * F.col("n_rows")).alias("_n"))
     both = pairs.join(left, ["collection_id", "left_id"]).join(right, ["collection_id", "right_id"])
-    shared = both.select("collection_id", "left_id", "right_id", F.size(F.array_intersect("l", "r")).alias("_s"), (F.size("l") + F.size("r")).alias("_n"))
+    shared = both.select("collection_id", "left_id", "right_id", F.size(F.array_intersect("l", "r")).alias("_s"), (F.col("_m") + F.col("_n")).alias("_n"))
     found = shared.withColumn("similarity", F.col("_s") / (F.col("_n") - F.col("_s"))).where(F.col("similarity") >= min_sim - 1e-12)
-    return classes.drop("tokens"), found.select("collection_id", "left_id", "right_id", "similarity")
+    return classes, found.select("collection_id", "left_id", "right_id", "similarity")

@@ -46,3 +46,22 @@ def test_no_chunks_and_bad_bound(spark):
     assert [df.collect() for df in token_jaccard_pairs(empty, 0.5)] == [[], []]
     with pytest.raises(ValueError):
         token_jaccard_pairs(empty, 0.0)
+
+
+def test_only_first_tokens_leave_a_set(spark):
+    """Sets are read whole for partners only; what is joined are the first tokens of each set."""
+    from evidar.operators import similar
+
+    words = [f"t{k}" for k in range(100)]
+    made = [("c", f"k{n}", " ".join([*words[:90], f"own{n}", *(f"x{n}y{k}" for k in range(9))]), "x", 1) for n in range(6)]
+    written = []
+    keep = similar.saved
+    try:
+        similar.saved = lambda df, name: (written.append((name, df.columns)), keep(df, name))[1]
+        _, pairs = similar.token_jaccard_pairs(spark.createDataFrame(made, CHUNK), 0.8)
+        assert pairs.count() == 15
+    finally:
+        similar.saved = keep
+    # Token texts are written nowhere, and a class table holds no tokens.
+    assert {name: columns for name, columns in written}["classes"] == ["collection_id", "chunk_id", "class_id"]
+    assert all("tokens" not in columns and "ranked" not in columns for _, columns in written)
