@@ -11,6 +11,7 @@ from evidar.functions import text as T
 from evidar.operators import answers as A
 from evidar.operators import attribution as C
 from evidar.operators import lexical
+from evidar.session import saved
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -101,7 +102,8 @@ ORACLES["rank_anchors"] = f"WITH {CLAIMS_SQL} SELECT answer_id, claim_id, anchor
 
 
 def direct_coverage(t):
-    quotes = _hits(t).join(_anchors(t), "chunk_id")
+    # Terms of a quote are taken once, not for every claim that meets it.
+    quotes = _hits(t).join(_anchors(t).withColumn("terms", F.array_distinct(K.attribution_terms("exact_quote"))), "chunk_id")
     return C.direct_coverage(_claims(t), quotes).select("answer_id", "claim_id", F.round("coverage", 4).alias("coverage"))
 
 
@@ -137,7 +139,8 @@ ORACLES["subset_cover"] = f"WITH {CLAIMS_SQL}, {SUBSET_SQL} SELECT answer_id, cl
 
 def _verified(t):
     """A verifier that names the weakest two candidates first, then the best one."""
-    rows = _candidates(t).filter(F.size("anchors") > 0)
+    # Written once: the verifier's two items, the verification and what follows all read it.
+    rows = saved(_candidates(t).filter(F.size("anchors") > 0), "candidates")
     ids = F.transform("anchors", lambda a: a["anchor_id"])
     weak = rows.select("answer_id", F.lit(0).alias("item_pos"), "claim_id", F.slice(F.reverse(ids), 1, 2).alias("anchor_ids"))
     best = rows.select("answer_id", F.lit(1).alias("item_pos"), "claim_id", F.slice(ids, 1, 1).alias("anchor_ids"))

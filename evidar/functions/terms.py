@@ -56,18 +56,21 @@ def coverage_of(claim_terms: Column, evidence_terms: Column) -> Column:
     Zero when a number or a term that changes the meaning is missing, or fewer
     than two terms match.
     """
+    return let(F.array_distinct(claim_terms), lambda claim: coverage_in(claim, critical_in(claim), evidence_terms))
 
-    def share(claim: Column) -> Column:
-        veto = F.exists(
-            claim,
-            lambda w: (w.rlike("^[0-9]+$") | one_of(w, CRITICAL_TERMS)) & ~F.array_contains(evidence_terms, w),
-        )
-        return let(
-            F.size(F.array_intersect(claim, evidence_terms)),
-            lambda hits: F.when((F.size(claim) == 0) | veto | (hits < 2), F.lit(0.0)).otherwise(hits / F.size(claim)),
-        )
-
-    return let(F.array_distinct(claim_terms), share)
+
+def critical_in(claim: Column) -> Column:
+    """Terms of a claim that evidence must not miss."""
+    return F.filter(claim, lambda w: w.rlike("^[0-9]+$") | one_of(w, CRITICAL_TERMS))
+
+
+def coverage_in(claim: Column, critical: Column, evidence: Column) -> Column:
+    """C3 for the distinct terms of a claim and those of them that must not miss."""
+    return let(
+        F.size(F.array_intersect(claim, evidence)),
+        lambda hits: F.when(
+            (F.size(claim) == 0) | (hits < 2) | (F.size(F.array_except(critical, evidence)) > 0), F.lit(0.0)).otherwise(hits / F.size(claim)),
+    )
 
 
 def content_key(**fields: Column) -> Column:

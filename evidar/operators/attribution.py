@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from evidar.config import FACTORS
 from evidar.functions.expr import let
-from evidar.functions.terms import HYPOTHETICAL_LABEL, attribution_terms, coverage_of, words
+from evidar.functions.terms import HYPOTHETICAL_LABEL, attribution_terms, coverage_in, coverage_of, critical_in, words
 from evidar.operators.ranking import top_k
 
 CLAIM = ["answer_id", "claim_id"]
@@ -28,10 +28,15 @@ def rank_anchors(claims: DataFrame, hits: DataFrame, anchors: DataFrame, max_per
     """
     open_claims = claims.filter(~F.col("text").startswith(HYPOTHETICAL_LABEL)).select(
         *CLAIM, F.array_distinct(words("text")).alias("_claim"))
-    quotes = anchors.select("anchor_id", "chunk_id", words("exact_quote").alias("_quote"))
+    # Words of a quote once, and their repeats (mostly none) apart: distinct words meet without a look at every pair of them.
+    quotes = anchors.select("anchor_id", "chunk_id", words("exact_quote").alias("_all")).select(
+        "anchor_id", "chunk_id", F.array_distinct("_all").alias("_quote"),
+        F.when(F.size(F.array_distinct("_all")) < F.size("_all"), F.filter("_all", lambda w, i: F.array_position(F.col("_all"), w) != i + 1)).alias("_again"))
     rows = hits.select(*CLAIM, "chunk_id", F.col("rank").alias("_hit")).join(open_claims, CLAIM).join(quotes, "chunk_id")
-    overlap = F.size(F.filter("_quote", lambda w: F.array_contains(F.col("_claim"), w)))
-    scored = rows.select(*CLAIM, "anchor_id", "_hit", overlap.alias("overlap"))
+    again = F.when(F.col("_again").isNotNull(), F.size(F.filter("_again", lambda w: F.array_contains(F.col("_claim"), w)))).otherwise(0)
+    overlap = F.size(F.array_intersect("_quote", "_claim")) + again
+    # Dealt by claim once, for the grouping and the ranking.
+    scored = rows.select(*CLAIM, "anchor_id", "_hit", overlap.alias("overlap")).repartition(*CLAIM)
     once = scored.groupBy(*CLAIM, "anchor_id").agg(F.max("overlap").alias("overlap"), F.min("_hit").alias("_hit"))
     order = [F.col("overlap").desc(), F.col("_hit"), F.col("anchor_id")]
     return top_k(once, CLAIM, order, max_per_claim).drop("_hit")
@@ -48,9 +53,14 @@ def candidates(claims: DataFrame, ranked: DataFrame, anchors: DataFrame) -> Data
 
 
 def direct_coverage(claims: DataFrame, anchors: DataFrame) -> DataFrame:
-    """C3 for claims with given anchors. ``anchors``: answer_id, claim_id, exact_quote (few per claim)."""
-    terms = anchors.select(*CLAIM, F.explode(attribution_terms("exact_quote")).alias("term")).distinct()
-    evidence = terms.groupBy(*CLAIM).agg(F.collect_list("term").alias("_terms"))
+    """C3 for claims with given anchors. ``anchors``: answer_id, claim_id, exact_quote; ``terms`` where they are known already.
+
+    Only terms of the claim itself can count, so no others leave a pair of claim and quote.
+    """
+    terms = F.col("terms") if "terms" in anchors.columns else attribution_terms("exact_quote")
+    own = claims.select(*CLAIM, F.array_distinct(attribution_terms("text")).alias("_own"))
+    shared = anchors.select(*CLAIM, terms.alias("_terms")).join(own, CLAIM).select(*CLAIM, F.explode(F.array_intersect("_own", "_terms")).alias("term"))
+    evidence = shared.groupBy(*CLAIM).agg(F.collect_set("term").alias("_terms"))
     blank = F.array().cast("array<string>")
     return claims.join(evidence, CLAIM, "left").withColumn(
         "coverage", coverage_of(attribution_terms("text"), F.coalesce("_terms", blank))).drop("_terms")
@@ -77,24 +87,29 @@ def verify_attributions(candidate_rows: DataFrame, selections: DataFrame) -> Dat
 
 def best_subset(claim_terms: Column, anchors: Column) -> Column:
     """Smallest anchor subset that covers the claim, best coverage first; NULL if none."""
-    pool = F.slice(anchors, 1, RECOVER_FROM)
-
-    def option(mask: Column) -> Column:
-        chosen = F.filter(pool, lambda a, i: F.getbit(mask.cast("bigint"), i) == 1)
-        return let(
-            chosen,
-            lambda c: F.struct(
-                (-F.size(c)).alias("fewest"),
-                coverage_of(claim_terms, F.flatten(F.transform(c, lambda a: a["terms"]))).alias("coverage"),
-                (-mask).alias("first"), F.transform(c, lambda a: a["anchor_id"]).alias("anchor_ids"),
-            ),
-        )
-
-    masks = F.sequence(F.lit(1), (F.pow(F.lit(2), F.size(pool)) - 1).cast("int"))
-    options = F.filter(
-        F.transform(masks, option), lambda o: (o["fewest"] >= -MAX_ANCHORS) & (o["coverage"] >= RECOVER_COVERAGE)
-    )
-    return F.when(F.size(pool) > 0, F.array_max(options))
+
+    def cover(pool: Column, claim: Column, critical: Column, size: int) -> Column:
+        """Best covering subset of ``size`` anchors."""
+        def option(mask: int) -> Column:
+            places = [i for i in range(RECOVER_FROM) if mask >> i & 1]
+            chosen = [F.get(pool, F.lit(i)) for i in places]
+            return let(
+                F.flatten(F.array(*[a["terms"] for a in chosen])),
+                lambda evidence: F.when(F.size(pool) > places[-1], F.struct(
+                    coverage_in(claim, critical, evidence).alias("coverage"), F.lit(-mask).alias("first"),
+                    F.array(*[a["anchor_id"] for a in chosen]).alias("anchor_ids"))),
+            )
+
+        masks = [m for m in range(1, 1 << RECOVER_FROM) if m.bit_count() == size]
+        return F.array_max(F.filter(F.array(*[option(m) for m in masks]), lambda o: o["coverage"] >= RECOVER_COVERAGE))
+
+    def search(claim: Column) -> Column:
+        """Fewest anchors first: larger subsets are looked at only where no smaller one covers the claim."""
+        own = F.transform(F.slice(anchors, 1, RECOVER_FROM), lambda a: F.struct(a["anchor_id"].alias("anchor_id"), F.array_intersect(a["terms"], claim).alias("terms")))
+        return let(critical_in(claim), lambda critical: let(own, lambda pool: F.coalesce(*[
+            cover(pool, claim, critical, size) for size in range(1, MAX_ANCHORS + 1)])))
+
+    return F.when(F.size(anchors) > 0, let(F.array_distinct(claim_terms), search))
 
 
 def subset_cover(candidate_rows: DataFrame) -> DataFrame:

@@ -166,3 +166,21 @@ def test_study_plan_shares_answers_between_paired_conditions(spark):
         kept.setdefault(r.answer_id, []).append(r.text)
     assert sorted(map(len, kept.values())) == [1, 1, 2, 2] and kept["B"] == kept["D"] == [DEFINITION]
     assert rows(out["citations"].select("answer_id").distinct(), "answer_id") == [("C",), ("D",)]
+
+
+def test_terms_of_quotes_are_taken_once_for_all_claims(spark):
+    """Known terms of a quote count as they are; only shared ones leave a pair."""
+    claims = spark.createDataFrame([("a", "c1", DEFINITION), ("a", "c2", CHANGE), ("a", "c3", "Nothing here")], CLAIMS)
+    quotes = [("a", c, q) for c in ("c1", "c2") for q in (DEFINITION, CHANGE + " changes changes")]
+    anchors = spark.createDataFrame(quotes, "answer_id string, claim_id string, exact_quote string")
+    plain = rows(C.direct_coverage(claims, anchors), "claim_id", "coverage")
+    known = anchors.withColumn("terms", K.attribution_terms("exact_quote")).withColumn("exact_quote", F.lit("gone"))
+    assert plain == rows(C.direct_coverage(claims, known), "claim_id", "coverage") == [("c1", 1.0), ("c2", 1.0), ("c3", 0.0)]
+
+
+def test_repeated_words_of_a_quote_count_each(spark):
+    claims = spark.createDataFrame([("a", "c", "alpha beta gamma")], CLAIMS)
+    hits = spark.createDataFrame([("a", "c", "k", 1)], "answer_id string, claim_id string, chunk_id string, rank int")
+    anchors = spark.createDataFrame([("x", "k", "alpha alpha beta other other"), ("y", "k", "alpha beta"), ("z", "k", None)], "anchor_id string, chunk_id string, exact_quote string")
+    got = C.rank_anchors(claims, hits, anchors)
+    assert rows(got, "anchor_id", "overlap")[:2] == [("x", 3), ("y", 2)]
