@@ -80,10 +80,10 @@ def segment_sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(at[1:] > at[:-1], total, 0.0)
 
 
-def by_group(
-    df: DataFrame, keys: list[str], fn: Callable[[pa.Table], dict | None], schema: str, order: list[str] | None = None
+def by_block(
+    df: DataFrame, keys: list[str], fn: Callable[[pa.Table, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], schema: str, order: list[str] | None = None
 ) -> DataFrame:
-    """Apply ``fn`` to the rows of every key; for many small groups of bounded size.
+    """Apply ``fn`` to blocks of whole groups, with where each begins and ends; for many small groups of bounded size.
 
     One shuffle by key and one sort; groups are then read off the sorted stream, so a group costs no
     call into Spark. The caller bounds the rows of a key (chunks of hot keys).
@@ -104,11 +104,18 @@ def by_group(
             starts = np.flatnonzero(change)
             last = int(starts[-1]) if len(starts) else 0
             bounds = np.concatenate([[0], starts])
-            yield from emit(table, bounds[:-1], bounds[1:])
+            yield from fn(table.slice(0, last), bounds[:-1], bounds[1:])
             rest = table.slice(last)
         if rest is not None:
-            yield from emit(rest, [0], [rest.num_rows])
+            yield from fn(rest, np.array([0]), np.array([rest.num_rows]))
+
+    return ordered.mapInArrow(run, schema)
+
 
+def by_group(
+    df: DataFrame, keys: list[str], fn: Callable[[pa.Table], dict | None], schema: str, order: list[str] | None = None
+) -> DataFrame:
+    """Apply ``fn`` to the rows of every key, as ``by_block`` reads them."""
     def emit(table, starts, ends):
         out = None
         for a, b in zip(starts, ends):
@@ -120,7 +127,7 @@ def by_group(
         if out:
             yield pa.RecordBatch.from_pydict({name: np.concatenate(values) for name, values in out.items()})
 
-    return ordered.mapInArrow(run, schema)
+    return by_block(df, keys, emit, schema, order)
 
 
 def components(edges: DataFrame) -> DataFrame:
