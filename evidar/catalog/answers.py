@@ -8,6 +8,7 @@ from evidar.catalog.common import document_chunks, norm, tables, trim
 from evidar.catalog.retrieval import plain_questions
 from evidar.functions import terms as K
 from evidar.functions import text as T
+from evidar.functions.expr import let
 from evidar.operators import answers as A
 from evidar.operators import attribution as C
 from evidar.operators import lexical
@@ -140,7 +141,11 @@ ORACLES["subset_cover"] = f"WITH {CLAIMS_SQL}, {SUBSET_SQL} SELECT answer_id, cl
 def _verified(t):
     """A verifier that names the weakest two candidates first, then the best one."""
     # Written once: the verifier's two items, the verification and what follows all read it.
-    rows = saved(_candidates(t).filter(F.size("anchors") > 0), "candidates")
+    # Only terms of the claim itself can count, so no others are written.
+    own = K.attribution_terms("claim_text")
+    shared = let(own, lambda claim: F.transform("anchors", lambda a: F.struct(
+        a["rank"].alias("rank"), a["anchor_id"].alias("anchor_id"), F.array_intersect(a["terms"], claim).alias("terms"))))
+    rows = saved(_candidates(t).filter(F.size("anchors") > 0).withColumn("anchors", shared), "candidates")
     ids = F.transform("anchors", lambda a: a["anchor_id"])
     weak = rows.select("answer_id", F.lit(0).alias("item_pos"), "claim_id", F.slice(F.reverse(ids), 1, 2).alias("anchor_ids"))
     best = rows.select("answer_id", F.lit(1).alias("item_pos"), "claim_id", F.slice(ids, 1, 1).alias("anchor_ids"))

@@ -15,6 +15,8 @@ from evidar.functions.terms import HYPOTHETICAL_LABEL, attribution_terms, covera
 from evidar.operators.ranking import top_k
 
 CLAIM = ["answer_id", "claim_id"]
+#: What tells lists of hits apart, and the claims of one list that are compared with its quotes at a time.
+HITS, BLOCK = ["_n", "_x", "_y"], 128
 # Fixed values.
 VERIFY_COVERAGE, RECOVER_COVERAGE, MAX_ANCHORS, RECOVER_FROM = 0.4, 0.7, 3, 4
 NO_SUPPORT = "The fixed lecture does not provide enough directly supported information to answer this question."
@@ -32,14 +34,22 @@ def rank_anchors(claims: DataFrame, hits: DataFrame, anchors: DataFrame, max_per
     quotes = anchors.select("anchor_id", "chunk_id", words("exact_quote").alias("_all")).select(
         "anchor_id", "chunk_id", F.array_distinct("_all").alias("_quote"),
         F.when(F.size(F.array_distinct("_all")) < F.size("_all"), F.filter("_all", lambda w, i: F.array_position(F.col("_all"), w) != i + 1)).alias("_again"))
-    rows = hits.select(*CLAIM, "chunk_id", F.col("rank").alias("_hit")).join(open_claims, CLAIM).join(quotes, "chunk_id")
+    # Claims with the same hits, up to their hashes, meet the quotes of one of them: words travel once a claim and once a block of claims, not once
+    # a hit, and a pair of claim and quote never leaves its task.
+    hashes = [F.sum(F.shiftright(F.xxhash64(F.lit(seed), "chunk_id", "rank"), 24)).alias(name) for seed, name in enumerate(HITS[1:])]
+    listed = open_claims.join(hits.groupBy(*CLAIM).agg(F.count(F.lit(1)).alias(HITS[0]), *hashes), CLAIM)
+    lists = listed.groupBy(*HITS).agg(F.min(F.struct(*CLAIM)).alias("_one"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
+    one = lists.select("_one.*", *HITS, "_blocks")
+    shown = hits.select(*CLAIM, "chunk_id", F.col("rank").alias("_hit")).join(one.select(*CLAIM), CLAIM, "left_semi").join(one, CLAIM)
+    shown = shown.select(*HITS, "_blocks", "chunk_id", "_hit").join(quotes, "chunk_id").withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    dealt = listed.join(lists.select(*HITS, "_blocks"), HITS).withColumn("_block", F.pmod(F.xxhash64(*CLAIM), F.col("_blocks")).cast("int")).drop("_blocks")
+    rows = dealt.join(shown.drop("_blocks"), [*HITS, "_block"])
     again = F.when(F.col("_again").isNotNull(), F.size(F.filter("_again", lambda w: F.array_contains(F.col("_claim"), w)))).otherwise(0)
     overlap = F.size(F.array_intersect("_quote", "_claim")) + again
-    # Dealt by claim once, for the grouping and the ranking.
-    scored = rows.select(*CLAIM, "anchor_id", "_hit", overlap.alias("overlap")).repartition(*CLAIM)
-    once = scored.groupBy(*CLAIM, "anchor_id").agg(F.max("overlap").alias("overlap"), F.min("_hit").alias("_hit"))
+    scored = rows.select(*HITS, "_block", *CLAIM, "anchor_id", "_hit", overlap.alias("overlap"))
+    once = scored.groupBy(*HITS, "_block", *CLAIM, "anchor_id").agg(F.max("overlap").alias("overlap"), F.min("_hit").alias("_hit"))
     order = [F.col("overlap").desc(), F.col("_hit"), F.col("anchor_id")]
-    return top_k(once, CLAIM, order, max_per_claim).drop("_hit")
+    return top_k(once, [*HITS, "_block", *CLAIM], order, max_per_claim).drop("_hit", *HITS, "_block")
 
 
 def candidates(claims: DataFrame, ranked: DataFrame, anchors: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -184,3 +185,30 @@ def test_repeated_words_of_a_quote_count_each(spark):
     anchors = spark.createDataFrame([("x", "k", "alpha alpha beta other other"), ("y", "k", "alpha beta"), ("z", "k", None)], "anchor_id string, chunk_id string, exact_quote string")
     got = C.rank_anchors(claims, hits, anchors)
     assert rows(got, "anchor_id", "overlap")[:2] == [("x", 3), ("y", 2)]
+
+
+def test_claims_of_one_list_of_hits_meet_its_quotes_in_blocks(spark, monkeypatch):
+    """Best anchors equal brute force, whichever claims share hits; words of a claim travel by claim and block, not by hit."""
+    monkeypatch.setattr(C, "BLOCK", 2)
+    vocabulary = "alpha beta gamma delta eps zeta eta theta".split()
+    pick = random.Random(4)
+    text = lambda n: " ".join(pick.choice(vocabulary) for _ in range(n))
+    claims = [(f"a{a}", f"c{c}", text(5)) for a in range(3) for c in range(5)] + [("a0", "c0", text(4)), (None, "c1", "alpha"), ("a2", "c9", None)]
+    hits = [(a, c, f"k{k}", k) for a, c, _ in claims for k in range(3) if a != "a1" or c != f"c{k}"] + [("a0", "c1", "k1", 0), ("a0", "c2", None, 1)]
+    anchors = [(f"q{k}-{i}", f"k{k}", text(6)) for k in range(3) for i in range(4)] + [("q0-0", "k2", text(3)), ("q1-1", "k1", text(6)), ("q9", None, "alpha")]
+    tables = [spark.createDataFrame(rows, schema) for rows, schema in (
+        (claims, "answer_id string, claim_id string, text string"), (hits, "answer_id string, claim_id string, chunk_id string, rank int"),
+        (anchors, "anchor_id string, chunk_id string, exact_quote string"))]
+    best = {}
+    for a, c, said in claims:
+        for a2, c2, chunk, rank in hits:
+            for anchor, chunk2, quote in anchors:
+                if a and said and (a, c) == (a2, c2) and chunk and chunk == chunk2:
+                    overlap, at = best.get((a, c, anchor), (0, 99))
+                    best[a, c, anchor] = max(overlap, sum(w in said.split() for w in quote.split())), min(at, rank)
+    want = [
+        (a, c, anchor, best[a, c, anchor][0], n + 1) for a, c in sorted({k[:2] for k in best})
+        for n, anchor in enumerate(sorted((k[2] for k in best if k[:2] == (a, c)), key=lambda x: (-best[a, c, x][0], best[a, c, x][1], x))[:4])]
+    found = C.rank_anchors(*tables)
+    assert sorted(tuple(r) for r in found.select("answer_id", "claim_id", "anchor_id", "overlap", "rank").collect()) == sorted(want)
+    assert len(want) == 15 * 4
