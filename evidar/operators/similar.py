@@ -15,6 +15,8 @@ from evidar.session import saved
 KEY = ["collection_id", "class_id"]
 #: Tokens whose frequency tasks know; all others count as rare. Any common order gives the same pairs.
 FREQUENT = 1 << 16
+#: 64-bit words of a parity sketch. Two sets differ in at least as many tokens as their sketches differ in bits.
+SKETCH = 8
 
 
 def token_sets(chunks: DataFrame, text: str = "text") -> DataFrame:
@@ -42,13 +44,21 @@ def token_sets(chunks: DataFrame, text: str = "text") -> DataFrame:
     return rows.mapInArrow(hashed, f"collection_id {types['collection_id']}, chunk_id {types['chunk_id']}, codes array<long>, _a long, _b long")
 
 
+def sketches(codes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Parity sketches of ``n`` sets as rows of signed 64-bit words; ``owner`` is the set of each code."""
+    bits = SKETCH * 64
+    at = owner * bits + (codes.view(np.uint64) >> np.uint64(20)).astype(np.int64) % bits
+    parity = (np.bincount(at, minlength=n * bits) & 1).astype(np.uint8)
+    return np.packbits(parity).view(np.int64).reshape(n, SKETCH)
+
+
 def token_jaccard_pairs(chunks: DataFrame, min_sim: float, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Classes (collection_id, chunk_id, class_id) and all pairs of classes of one collection whose token sets have a
     Jaccard similarity of ``min_sim`` (above 0) or more: collection_id, left_id < right_id, similarity.
 
     Chunks of a collection with equal token sets share the least chunk_id as class. Tokens of a set are ordered from rare to frequent. Two sets that are
-    similar enough share a token among the first few of both, so only those leave a set and are joined. Sizes and the places of the shared token
-    bound the overlap that is still possible before any set is compared, and only sets with a partner left are read again. Copies are joined
+    similar enough share a token among the first few of both, so only those leave a set and are joined. Sizes, the places of the shared token and
+    parity sketches bound the overlap that is still possible where two sets meet, before a pair is written; only sets with a partner left are read again. Copies are joined
     once, through their class. Tokens are compared by 64-bit hashes.
     """
     if not 0 < min_sim <= 1:
@@ -78,11 +88,15 @@ def token_jaccard_pairs(chunks: DataFrame, min_sim: float, text: str = "text") -
             first = sizes - np.ceil(sizes * min_sim - 1e-6).astype(np.int64) + 1
             kept = place < first[owner]
             at = pa.array(owner[kept])
+            sketch = sketches(code, owner, batch.num_rows)[owner[kept]]
             yield pa.RecordBatch.from_arrays([
-                *[batch.column(c).take(at) for c in KEY], batch.column("size").take(at), pa.array(place[kept].astype(np.int32)), pa.array(code[order][kept])
-            ], [*KEY, "size", "place", "code"])
+                *[batch.column(c).take(at) for c in KEY], batch.column("size").take(at), pa.array(place[kept].astype(np.int32)), pa.array(code[order][kept]),
+                *[pa.array(sketch[:, k]) for k in range(SKETCH)]
+            ], [*KEY, "size", "place", "code", *words])
 
-    heads = reps.select(*KEY, "size", "codes").mapInArrow(first_codes, f"collection_id {types['collection_id']}, class_id {types['class_id']}, size int, place int, code long")
+    words = [f"s{k}" for k in range(SKETCH)]
+    heads = reps.select(*KEY, "size", "codes").mapInArrow(
+        first_codes, f"collection_id {types['collection_id']}, class_id {types['class_id']}, size int, place int, code long, " + ", ".join(f"{w} long" for w in words))
     a, b = heads.alias("a"), heads.alias("b")
     small, large = F.least("a.size", "b.size"), F.greatest("a.size", "b.size")
     needed = F.ceil((F.col("a.size") + F.col("b.size")) * min_sim / (1 + min_sim) - 1e-6)
@@ -90,8 +104,13 @@ def token_jaccard_pairs(chunks: DataFrame, min_sim: float, text: str = "text") -
     possible = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))
     before = F.least("a.place", "b.place")
     near = a.join(b, (F.col("a.collection_id") == F.col("b.collection_id")) & (F.col("a.code") == F.col("b.code")) & (F.col("a.class_id") < F.col("b.class_id")))
-    near = near.where((small >= large * min_sim - 1e-6) & (possible + before >= needed))
-    pairs = saved(near.select("a.collection_id", F.col("a.class_id").alias("left_id"), F.col("b.class_id").alias("right_id")).distinct(), "pairs")
+    apart = sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in words), F.lit(0))
+    near = near.where((small >= large * min_sim - 1e-6) & (possible + before >= needed) & (apart <= F.col("a.size") + F.col("b.size") - 2 * needed))
+    # Tokens shared behind the first ones are fewer than a set has there, so similar sets share the rest among their first ones.
+    behind = F.ceil(large * min_sim - 1e-6) - 1
+    near = near.select("a.collection_id", F.col("a.class_id").alias("left_id"), F.col("b.class_id").alias("right_id"), (needed - behind).alias("least"))
+    met = near.groupBy("collection_id", "left_id", "right_id", "least").agg(F.count(F.lit(1)).alias("met")).where("met >= least")
+    pairs = saved(met.select("collection_id", "left_id", "right_id"), "pairs")
 
     asked = pairs.select("collection_id", F.col("left_id").alias("class_id")).union(pairs.select("collection_id", F.col("right_id").alias("class_id"))).distinct()
     lists = reps.join(asked, KEY, "left_semi")

@@ -65,3 +65,27 @@ def test_only_first_tokens_leave_a_set(spark):
     # Token texts are written nowhere, and a class table holds no tokens.
     assert {name: columns for name, columns in written}["classes"] == ["collection_id", "chunk_id", "class_id"]
     assert all("tokens" not in columns and "ranked" not in columns for _, columns in written)
+
+
+def test_pairs_out_of_reach_are_not_written(spark):
+    """Sets that share rare tokens but are far apart are sorted out where they meet; near pairs of large sets with few shared first tokens stay."""
+    from evidar.operators import similar
+
+    rng = random.Random(3)
+    vocabulary = [f"v{k}" for k in range(4000)]
+    texts = []
+    for n in range(40):
+        own = rng.sample(vocabulary, 300 if n % 2 else 1500)
+        texts += [" ".join(own)] + [" ".join(own[len(own) // 6 :] + ["x" + w for w in own[: len(own) // 50]])] * (n % 5 == 0)
+    made = [("c", f"k{n:03d}", t, "x", 1) for n, t in enumerate(texts)]
+    sets = [set(t.split()) for t in texts]
+    want = {(f"k{i:03d}", f"k{j:03d}") for i in range(len(sets)) for j in range(i + 1, len(sets)) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    written = {}
+    keep = similar.saved
+    try:
+        similar.saved = lambda df, name: written.setdefault(name, keep(df, name))
+        _, pairs = similar.token_jaccard_pairs(spark.createDataFrame(made, CHUNK), 0.8)
+        assert {(r.left_id, r.right_id) for r in pairs.collect()} == want and len(want) == 8
+    finally:
+        similar.saved = keep
+    assert written["pairs"].count() <= 100 < len(sets) * (len(sets) - 1) // 2
